@@ -26,7 +26,6 @@ UNATTRIBUTED = "unattributed"
 UNATTRIBUTED_EMAIL = "Rows reviewed before reviewer tracking"
 UNATTRIBUTED_NAME = "Unattributed"
 
-status = F.col("status")
 COUNTS = ("total", "reviewed", "approved", "rejected", "needs_review", "draft")
 
 
@@ -34,11 +33,11 @@ def _status_aggregates() -> list[Column]:
     known = ("approved", "rejected", "needs_review")
     return [
         F.count("*").alias("total"),
-        F.count_if(status.isin("approved", "rejected")).alias("reviewed"),
-        F.count_if(status == "approved").alias("approved"),
-        F.count_if(status == "rejected").alias("rejected"),
-        F.count_if(status == "needs_review").alias("needs_review"),
-        F.count_if(~F.coalesce(status.isin(*known), F.lit(False))).alias("draft"),
+        F.count_if(F.col("status").isin("approved", "rejected")).alias("reviewed"),
+        F.count_if(F.col("status") == "approved").alias("approved"),
+        F.count_if(F.col("status") == "rejected").alias("rejected"),
+        F.count_if(F.col("status") == "needs_review").alias("needs_review"),
+        F.count_if(~F.coalesce(F.col("status").isin(*known), F.lit(False))).alias("draft"),
     ]
 
 
@@ -133,11 +132,11 @@ def by_name(reports: DataFrame) -> DataFrame:
 
 def reviewer_report(members: DataFrame, users: DataFrame, records: DataFrame) -> DataFrame:
     """A4. Reviewers who left are not listed but stay in the denominator."""
-    done = records.filter(status.isin("approved", "rejected"))
+    done = records.filter(F.col("status").isin("approved", "rejected"))
     per_reviewer = done.groupBy("event_id", F.col("reviewed_by").alias("user_id")).agg(
         F.count("*").alias("reviewed"),
-        F.count_if(status == "approved").alias("approved"),
-        F.count_if(status == "rejected").alias("rejected"),
+        F.count_if(F.col("status") == "approved").alias("approved"),
+        F.count_if(F.col("status") == "rejected").alias("rejected"),
         F.max(F.coalesce("reviewed_at", "updated_at")).alias("last_reviewed_at"),
     )
     totals = per_reviewer.groupBy("event_id").agg(F.sum("reviewed").alias("_total"))
@@ -202,15 +201,15 @@ def field_quality(fields: DataFrame, records: DataFrame, cells: DataFrame) -> Da
 
 def activity_marks(records: DataFrame) -> DataFrame:
     """One row per creation and one per review (U3), ready to count by day."""
-    done = status.isin("approved", "rejected")
+    done = F.col("status").isin("approved", "rejected")
     created = F.struct(
         F.to_date("created_at").alias("date"), F.lit(1).alias("created"),
         F.lit(0).alias("approved"), F.lit(0).alias("rejected"),
     )
     reviewed = F.struct(
         F.to_date(F.coalesce("reviewed_at", "updated_at")).alias("date"), F.lit(0).alias("created"),
-        (status == "approved").cast("int").alias("approved"),
-        (status == "rejected").cast("int").alias("rejected"),
+        (F.col("status") == "approved").cast("int").alias("approved"),
+        (F.col("status") == "rejected").cast("int").alias("rejected"),
     )
     marks = F.when(done, F.array(created, reviewed)).otherwise(F.array(created))
     return records.select("event_id", F.explode(marks).alias("m")).select("event_id", "m.*")

@@ -1,5 +1,5 @@
 """Queries over the given tables, each with its SQL counterpart where SQL can say it."""
 
-from catalog import reports
+from catalog import access, cleaning, reports, review
 
-GROUPS = (reports,)
+GROUPS = (reports, review, access, cleaning)

@@ -155,7 +155,7 @@ def search_records(records: DataFrame, query: str, wanted: str = "all") -> DataF
             F.coalesce(F.element_at(label_map(STATUS_LABELS), F.col("status")), F.lit("")),
             F.col("file_name"),
         ),
-        F.map_values("data"),
+        F.coalesce(F.map_values("data"), F.array().cast("array<string>")),
     )
     return kept.filter(
         F.exists(texts, lambda t: F.contains(F.lower(F.coalesce(t, F.lit(""))), F.lit(needle)))
@@ -179,9 +179,9 @@ def record_details(records: DataFrame, documents: DataFrame, users: DataFrame) -
 
 def cells_with_fields(cells: DataFrame, fields: DataFrame) -> DataFrame:
     """Cells with the key, type and place of their field."""
+    described = fields.select("field_id", "key", "type", "sort_order")
     return lookup_join(
-        cells, fields.select("field_id", "key", "type", "sort_order"), "field_id", "inner",
-        spread=["record_id"],
+        cells.drop("key", "type", "sort_order"), described, "field_id", "inner", spread=["record_id"]
     )
 
 

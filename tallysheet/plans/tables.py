@@ -1,4 +1,7 @@
-"""From layout cells and pairs to cleaned record rows."""
+"""From layout cells and pairs to cleaned record rows.
+
+Intermediate tables that several steps read are staged (see `tallysheet.session.stage`).
+"""
 
 from __future__ import annotations
 
@@ -16,8 +19,10 @@ from tallysheet.operators.matching import (
     assign_in_field_order, fallback_columns, match_headers, match_pairs, template_terms,
 )
 from tallysheet.operators.ordered import carry_forward, number_rows
+from tallysheet.session import stage
 
-DEFAULT_ROW_COUNT = 25
+# Rows kept when a request names no count, and the most it may name.
+DEFAULT_ROW_COUNT, MAX_ROW_COUNT = 25, 100
 BAND = 4096
 
 
@@ -64,15 +69,16 @@ def header_rows(cells: DataFrame, carry: bool) -> DataFrame:
             "document_id", "table_index", own.alias("header_row"), F.col("table_index").alias("header_table")
         )
     first_table = tables.groupBy("document_id").agg(F.min("table_index").alias("_first_table"))
-    known = lookup_join(tables, first_table, "document_id", spread=["table_index"]).withColumn(
-        "_gives", F.col("_marked").isNotNull() | (F.col("table_index") == F.col("_first_table"))
-    )
     carried = carry_forward(
-        known, ["document_id"], [F.col("table_index")], int_div(F.col("table_index"), F.lit(BAND)),
-        F.when(F.col("_gives"), F.col("table_index")), "header_table",
+        tables, ["document_id"], [F.col("table_index")], int_div(F.col("table_index"), F.lit(BAND)),
+        F.when(F.col("_marked").isNotNull(), F.col("table_index")), "_marked_table",
     )
-    return carried.select(
-        "document_id", "table_index", F.when(F.col("_gives"), own).alias("header_row"), "header_table"
+    known = lookup_join(carried, first_table, "document_id", spread=["table_index"])
+    header_table = F.coalesce("_marked_table", "_first_table")
+    return known.select(
+        "document_id", "table_index",
+        F.when(header_table == F.col("table_index"), own).alias("header_row"),
+        header_table.alias("header_table"),
     )
 
 
@@ -109,88 +115,101 @@ def map_columns(headers: DataFrame, fields: DataFrame, first_column: int = 0, fa
 def table_rows(
     cells: DataFrame, documents: DataFrame, fields: DataFrame, carry: bool = True,
     first_column: int = 0, fallback: bool = True, value_confidence: str = "provider",
-) -> tuple[DataFrame, DataFrame]:
-    """L1: (rows, cells) of every document from its layout tables.
+) -> DataFrame:
+    """L1: the cleaned cells of every document's table rows, see `keep_filled_rows`.
 
     `documents`: document_id, template_id and optionally row_count and page_start.
     """
-    mine = lookup_join(
+    mine = stage(lookup_join(
         cells, documents.select("document_id", "template_id"), "document_id", "inner",
         spread=["table_index", "row_index", "column_index"],
-    )
-    heads = header_rows(cells, carry)
+    ))
+    heads = header_rows(mine, carry)
     placed = lookup_join(
         mine, heads, ["document_id", "table_index"], spread=["row_index", "column_index"]
     )
     headers = placed.filter(F.col("row_index") == F.col("header_row")).select(
         "document_id", "template_id", "table_index", "column_index", "text"
     )
-    mapping = map_columns(headers, fields, first_column, fallback).groupBy(
+    mapping = stage(map_columns(headers, fields, first_column, fallback).groupBy(
         "document_id", F.col("table_index").alias("header_table")
     ).agg(
         F.array_sort(
             F.collect_list(F.struct("sort_order", "field_id", "column_index", "structure_pct"))
         ).alias("_columns")
-    )
+    ))
     body = placed.filter(F.col("header_row").isNull() | (F.col("row_index") > F.col("header_row")))
     rows = body.groupBy("document_id", "template_id", "header_table", "table_index", "row_index").agg(
         F.collect_list(F.struct("column_index", "text", "provider_pct", "box")).alias("_cells"),
         F.min_by("page", "column_index").alias("page"),
     )
+    numbers = number_rows(
+        body.select("document_id", "table_index", "row_index").distinct(), ["document_id"],
+        [F.col("table_index"), F.col("row_index")],
+        F.struct("table_index", int_div(F.col("row_index"), F.lit(BAND)).alias("b")), "row_number",
+    )
     mapped = lookup_join(
-        rows, mapping, ["document_id", "header_table"], "inner", spread=["table_index", "row_index"]
+        rows.join(numbers, ["document_id", "table_index", "row_index"]), mapping, ["document_id", "header_table"], "inner", spread=["table_index", "row_index"]
     )
     filled = mapped.select(
-        "document_id", "template_id", "table_index", "row_index", "page", "_cells",
+        "document_id", "template_id", "table_index", "row_index", "row_number", "page", "_cells",
         F.explode("_columns").alias("c"),
     ).withColumn(
         "_cell",
         F.get(F.filter("_cells", lambda x: x["column_index"] == F.col("c.column_index")), F.lit(0)),
     ).select(
-        "document_id", "template_id", "table_index", "row_index", "page", "c.field_id", "c.sort_order",
+        "document_id", "template_id", "table_index", "row_index", "row_number", "page", "c.field_id", "c.sort_order",
         "c.structure_pct", F.col("_cell.text").alias("raw_text"), "_cell.provider_pct", "_cell.box",
     )
     scored = clean_and_score(filled, fields, ["document_id", "table_index", "row_index"], value_confidence)
     return keep_filled_rows(scored, documents, ["table_index", "row_index"])
 
 
-def keep_filled_rows(scored: DataFrame, documents: DataFrame, place: Sequence[str]
-                     ) -> tuple[DataFrame, DataFrame]:
+def keep_filled_rows(scored: DataFrame, documents: DataFrame, place: Sequence[str]) -> DataFrame:
     """Drop rows without a populated cell, then keep the first rows of a document.
 
-    `row_number` is the place of a row before the blank rows are dropped, `output_row` the
-    place after. The row limit is row_count of the document (25 when absent).
+    One row per cell, with its row's page, confidence and places: `row_number` counts
+    before the blank rows are dropped, `output_row` after. The limit is row_count of the
+    document, 25 when absent and never more than a request may ask for; ranking under
+    that fixed bound is cut down in every task before rows of a document meet.
     """
-    keys = ["document_id", *place]
-    rows = scored.groupBy(*keys).agg(
-        F.bool_or(is_populated(F.col("normalized_value"), F.col("value_kind"))).alias("_filled"),
-        F.first("page", ignorenulls=True).alias("page"),
-        mean_of(F.sum(F.col("confidence_pct").cast("bigint")), F.count("confidence_pct")).alias("row_confidence_pct"),
-    )
-    band = F.struct(*[F.col(p) for p in place[:-1]], int_div(F.col(place[-1]), F.lit(BAND)).alias("b"))
-    numbered = number_rows(rows, ["document_id"], [F.col(p) for p in place], band, "row_number")
+    row = Window.partitionBy("document_id", *place)
+    filled = is_populated(F.col("normalized_value"), F.col("value_kind"))
+    judged = scored.withColumns({
+        "_filled": F.max(filled.cast("int")).over(row),
+        "row_confidence_pct": mean_of(
+            F.sum(F.col("confidence_pct").cast("bigint")).over(row), F.count("confidence_pct").over(row)
+        ),
+        "page": F.max("page").over(row),
+    }).filter(F.col("_filled") == 1)
     first = Window.partitionBy("document_id").orderBy(*place)
-    ranked = numbered.filter("_filled").withColumn("output_row", F.row_number().over(first))
+    ranked = judged.withColumn("output_row", F.dense_rank().over(first)).filter(
+        F.col("output_row") <= MAX_ROW_COUNT
+    )
+    given = documents.columns
     wanted = documents.select(
         "document_id",
-        (F.coalesce("row_count", F.lit(DEFAULT_ROW_COUNT)) if "row_count" in documents.columns
+        (F.coalesce("row_count", F.lit(DEFAULT_ROW_COUNT)) if "row_count" in given
          else F.lit(DEFAULT_ROW_COUNT)).alias("_limit"),
-        (F.col("page_start") if "page_start" in documents.columns else F.lit(None).cast("int")).alias("_page"),
+        (F.col("page_start") if "page_start" in given else F.lit(None).cast("int")).alias("_page"),
     )
-    kept = lookup_join(ranked, wanted, "document_id", spread=list(place)).filter(
+    return lookup_join(ranked, wanted, "document_id", spread=[*place, "field_id"]).filter(
         F.col("output_row") <= F.col("_limit")
-    ).select(
-        *keys, "row_number", "output_row", F.coalesce("page", "_page").alias("source_page"),
-        "row_confidence_pct",
-    )
-    return kept, scored.drop("page").join(kept.select(*keys, "output_row"), keys)
+    ).withColumn("source_page", F.coalesce("page", "_page")).drop("_filled", "page", "_limit", "_page")
 
 
-def pair_rows(pairs: DataFrame, documents: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """L3: one row per document that has pairs; documents without pairs go the table way."""
+def rows_of(cells: DataFrame) -> DataFrame:
+    """The rows of `keep_filled_rows` output."""
+    return cells.select(
+        "document_id", "row_number", "output_row", "source_page", "row_confidence_pct"
+    ).distinct()
+
+
+def pair_rows(pairs: DataFrame, documents: DataFrame, fields: DataFrame) -> DataFrame:
+    """L3: one row per document that has pairs."""
     matched = match_pairs(pairs, documents, fields).select(
         "document_id", "template_id", "field_id", "sort_order", "page",
-        F.lit(1).alias("table_index"), F.lit(1).alias("row_index"),
+        F.lit(1).alias("table_index"), F.lit(1).alias("row_index"), F.lit(1).cast("bigint").alias("row_number"),
         F.coalesce("raw_text", F.lit("")).alias("raw_text"),
         F.coalesce("pair_pct", F.lit(FALLBACK_PAIR)).alias("structure_pct"),
         F.lit(None).cast("int").alias("provider_pct"),
@@ -200,15 +219,12 @@ def pair_rows(pairs: DataFrame, documents: DataFrame, fields: DataFrame) -> tupl
 
 
 def form_or_table_rows(pairs: DataFrame, cells: DataFrame, documents: DataFrame, fields: DataFrame,
-                       **table_options) -> tuple[DataFrame, DataFrame]:
+                       **table_options) -> DataFrame:
     """L3 with its fallback: a form request without pairs is read as a table."""
-    form_rows, form_cells = pair_rows(pairs, documents, fields)
+    forms = pair_rows(pairs, documents, fields)
     rest = cells.join(pairs.select("document_id").distinct(), "document_id", "left_anti")
-    rows, out = table_rows(rest, documents, fields, **table_options)
-    return (
-        form_rows.unionByName(rows.select(*form_rows.columns)),
-        form_cells.unionByName(out.select(*form_cells.columns)),
-    )
+    tables = table_rows(rest, documents, fields, **table_options)
+    return forms.unionByName(tables.select(*forms.columns))
 
 
 def ready_rows(rows: DataFrame, documents: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:

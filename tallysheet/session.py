@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,29 @@ def build_session(app_name: str = "tallysheet", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a scratch one only for local runs."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return tempfile.mkdtemp(prefix="tallysheet-ckpt-")
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tallysheet-")
+    return _LOCAL_ROOTS[context.applicationId]
+
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor costs a re-read and not a re-run."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    Used where a plan needs one result in several places: the work is done once, a lost
+    executor costs a re-read, and the written size tells later joins how large it is.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/tallysheet-stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

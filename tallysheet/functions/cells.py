@@ -1,6 +1,7 @@
 """Type-directed cell cleaning (N1, J10, T12) as one chain of projections.
 
-Confidences are whole hundredths here; `normalize_cells` also gives the fraction.
+Every step that later steps read more than once is a column of its own, so it is computed
+once per row and only for the types that need it. Confidences are whole hundredths.
 """
 
 from __future__ import annotations
@@ -8,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysheet.functions.numeric import int_div
 from tallysheet.functions.text import clean_text, noisy_term, squash, unaccented
 
 # Texts read as a signature, and as its absence.
@@ -27,24 +27,9 @@ OPTION_EXACT, OPTION_CONTAINS, OPTION_EDIT = 92, 78, 72
 MISSING_REQUIRED, MISSING_OPTIONAL = 34, 68
 SIGNED, NOT_SIGNED, UNCLEAR = 88, 84, 72
 
-RESULT = "struct<value:string,confidence:int,issues:array<string>>"
-_LIST_BREAK = r"(?i)(?U)\s*(?:,|;|\band\b)\s*"
 
-
-def _result(value: Column, confidence: Column | int, *issues: str) -> Column:
-    score = F.lit(confidence) if isinstance(confidence, int) else confidence
-    codes = F.array(*[F.lit(i) for i in issues]) if issues else F.array()
-    return F.struct(
-        value.alias("value"), score.cast("int").alias("confidence"),
-        codes.cast("array<string>").alias("issues"),
-    )
-
-
-def _failed(value: Column, confidence: Column | int, required: Column, *issues: str) -> Column:
-    score = F.lit(confidence) if isinstance(confidence, int) else confidence
-    return _result(
-        value, F.when(required, F.least(score, F.lit(REQUIRED_CAP))).otherwise(score), *issues
-    )
+def sql_list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
 
 
 def option_terms(options: Column) -> Column:
@@ -62,199 +47,58 @@ def option_terms(options: Column) -> Column:
     )
 
 
-def match_option(value_term: Column, options: Column) -> Column:
-    """Best option as struct(confidence, option), null when none is close enough."""
-    value_noisy = noisy_term(value_term)
-
-    def score(opt: Column) -> Column:
-        pairs = [(v, o) for v in (value_term, value_noisy) for o in (opt["term"], opt["noisy"])]
-        same = pairs[0][0] == pairs[0][1]
-        inside = pairs[0][0].contains(pairs[0][1]) | pairs[0][1].contains(pairs[0][0])
-        for v, o in pairs[1:]:
-            same = same | (v == o)
-            inside = inside | v.contains(o) | o.contains(v)
-        longest = F.greatest(F.length(value_term), F.length(opt["term"]))
-        allowed = F.greatest(F.lit(1), int_div(longest, F.lit(5)))
-        distance = F.least(*[F.levenshtein(v, o) for v, o in pairs])
-        usable = (value_term != "") & (opt["term"] != "")
-        return (
-            F.when(usable & same, OPTION_EXACT)
-            .when(usable & (F.length(opt["term"]) >= 4) & inside, OPTION_CONTAINS)
-            .when(
-                usable
-                & (F.abs(F.length(value_term) - F.length(opt["term"])) <= allowed)
-                & (distance <= allowed),
-                OPTION_EDIT,
-            )
-        )
-
-    scored = F.transform(
-        options,
-        lambda o, i: F.struct(
-            score(o).alias("confidence"), (-i).alias("place"), o["option"].alias("option")
-        ),
-    )
-    best = F.array_max(F.filter(scored, lambda s: s["confidence"].isNotNull()))
-    return F.when(
-        best.isNotNull(), F.struct(best["confidence"].alias("confidence"), best["option"].alias("option"))
-    )
-
-
-def _list_parts(folded: Column) -> Column:
-    parts = F.transform(F.split(folded, _LIST_BREAK), lambda p: F.btrim(p, F.lit(" :;,.")))
-    return F.filter(parts, lambda p: p != "")
-
-
-def _list_choice(matches: Column, cap: int) -> Column:
-    """First-seen distinct options of a part list and the capped lowest confidence."""
-    names = F.transform(matches, lambda m: m["option"])
-    first = F.filter(
-        matches, lambda m, i: F.array_position(names, m["option"]) == (i + 1).cast("bigint")
-    )
-    lowest = F.array_min(F.transform(first, lambda m: m["confidence"]))
-    return F.struct(
-        F.array_distinct(names).alias("options"),
-        F.least(F.lit(cap), lowest).alias("confidence"),
-    )
-
-
-def _email(raw: Column, required: Column) -> Column:
-    value = F.lower(raw)
-    for pattern, text in (
-        (r"(?U)\s+(?:at|\(at\)|\[at\])\s+", "@"),
-        (r"(?U)\s+(?:dot|\(dot\)|\[dot\])\s+", "."),
-        (r"(?U)\s*@\s*", "@"),
-        (r"(?U)\s*\.\s*", "."),
-        (r",", "."),
-        (r"c0m\b", "com"),
-        (r"0rg\b", "org"),
-        (r"c0\b", "co"),
-        (r"(?U)\s+", ""),
-    ):
-        value = F.regexp_replace(value, pattern, text)
-    return F.when(
-        value.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), _result(value, EMAIL_OK)
-    ).otherwise(_failed(value, EMAIL_BAD, required, "bad_email"))
-
-
-def repair_digits(text: Column) -> Column:
-    """Letters commonly read in place of digits."""
-    return F.translate(text, "OoIl|SsBb", "001115588")
-
-
-def _phone(raw: Column, required: Column) -> Column:
-    kept = F.regexp_replace(repair_digits(raw), r"[^0-9+]", "")
-    kept = F.when(kept.startswith("00"), F.concat(F.lit("+"), F.substr(kept, F.lit(3)))).otherwise(kept)
-    digits = F.regexp_replace(kept, "[^0-9]", "")
-    value = F.when(kept.contains("+"), F.concat(F.lit("+"), digits)).otherwise(kept)
-    return F.when(F.length(digits).between(7, 15), _result(value, PHONE_OK)).otherwise(
-        _failed(value, PHONE_BAD, required, "bad_phone")
-    )
-
-
-def canonical_number(text: Column) -> Column:
-    """Shortest text of a plain decimal: no plus sign, no padding zeros, no negative zero."""
-    whole = F.regexp_replace(F.regexp_extract(text, r"^[-+]?0*(\d*)", 1), "^$", "0")
-    part = F.regexp_extract(text, r"\.(\d*?)0*$", 1)
-    size = F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
-    return F.when(text.startswith("-") & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size)
-
-
-def _number(raw: Column, required: Column) -> Column:
-    value = F.regexp_replace(repair_digits(raw), r"(?U)[,\s]", "")
-    return F.when(
-        value.rlike(r"^[-+]?[0-9]+(\.[0-9]+)?$"), _result(canonical_number(value), NUMBER_OK)
-    ).otherwise(_failed(raw, NUMBER_BAD, required, "bad_number"))
-
-
-def _full_year(year: Column) -> Column:
-    return F.when(year >= 100, year).when(year >= 70, year + 1900).otherwise(year + 2000)
-
-
-def _date(raw: Column, required: Column) -> Column:
-    value = F.translate(raw, "OoIl|Ss", "0011155")
-    iso = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})$"
-    local = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{2,4})$"
-    named = r"^([0-9OoIlSs]{1,2})\s+([A-Za-z]+)\s+([0-9OoIlSs]{2,4})$"
-
-    def number(text: Column, pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group).try_cast("int")
-
-    first, second = number(value, local, 1), number(value, local, 2)
-    swap = (first <= 12) & (second > 12)
-    month_name = F.lower(F.left(F.regexp_extract(raw, named, 2), F.lit(3)))
-    month_number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month_name).cast("int")
-
-    def fixed(group: int) -> Column:
-        return F.translate(F.regexp_extract(raw, named, group), "OoIl|Ss", "0011155").try_cast("int")
-
-    is_iso, is_local = value.rlike(iso), value.rlike(local)
-    is_named = raw.rlike(named) & (month_number > 0)
-    year = _full_year(
-        F.when(is_iso, number(value, iso, 1)).when(is_local, number(value, local, 3)).otherwise(fixed(3))
-    )
-    month = (
-        F.when(is_iso, number(value, iso, 2))
-        .when(is_local, F.when(swap, first).otherwise(second))
-        .otherwise(month_number)
-    )
-    day = (
-        F.when(is_iso, number(value, iso, 3))
-        .when(is_local, F.when(swap, second).otherwise(first))
-        .otherwise(fixed(1))
-    )
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    exists = (year >= 1900) & (year <= 2100) & F.try_to_date(text, "yyyy-MM-dd").isNotNull()
-    return (
-        F.when(~(is_iso | is_local | is_named), _failed(raw, DATE_BAD, required, "bad_date"))
-        .when(exists, _result(text, DATE_OK))
-        .otherwise(_failed(raw, DATE_BAD, required, "invalid_date"))
-    )
-
-
-def _select(raw: Column, term: Column, required: Column, options: Column, matches: Column) -> Column:
-    several = _list_choice(matches, SEVERAL_CAP)
-    all_match = (F.size(matches) >= 2) & F.forall(matches, lambda m: m.isNotNull())
-    one = match_option(term, options)
-    return (
-        F.when(F.size(options) == 0, _result(raw, NO_OPTIONS))
-        .when(
-            all_match & (F.size(several["options"]) >= 2),
-            _failed(F.array_join(several["options"], ", "), several["confidence"], required,
-                    "option_multiple"),
-        )
-        .when(one.isNotNull(), _result(one["option"], one["confidence"]))
-        .otherwise(_failed(raw, OPTION_BAD, required, "option_unknown"))
-    )
-
+OPTION_TERMS = "array<struct<option:string,term:string,noisy:string>>"
 
-def _multi_select(raw: Column, required: Column, options: Column, matches: Column) -> Column:
-    chosen = _list_choice(matches, LIST_CAP)
-    all_match = (F.size(matches) >= 1) & F.forall(matches, lambda m: m.isNotNull())
-    return (
-        F.when(F.size(options) == 0, _result(raw, NO_OPTIONS))
-        .when(all_match, _result(F.array_join(chosen["options"], ", "), chosen["confidence"]))
-        .otherwise(_failed(raw, OPTION_BAD, required, "options_unknown"))
-    )
 
+def match_options(probes: str, options: str) -> str:
+    """J10 as SQL: for each probe struct(term, noisy) the best option as
+    struct(confidence, place, option), null when none is close enough.
 
-def _signature(term: Column, required: Column) -> Column:
-    return (
-        F.when(term.isin(*SIGNED_TERMS), _result(F.lit("true"), SIGNED))
-        .when(
-            term.isin(*UNSIGNED_TERMS),
-            F.when(required, _result(F.lit("false"), REQUIRED_CAP, "signature_missing"))
-            .otherwise(_result(F.lit("false"), NOT_SIGNED)),
-        )
-        .otherwise(_result(F.lit("true"), UNCLEAR, "signature_unclear"))
-    )
+    Exact beats contained beats a small edit distance; ties go to the first option (D9),
+    an empty term matches nothing (D8).
+    """
+    contained = " OR ".join(
+        f"contains({x}, {y}) OR contains({y}, {x})" for x in ("p.term", "p.noisy") for y in ("o.term", "o.noisy")
+    )
+    distance = ", ".join(
+        f"levenshtein({x}, {y})" for x in ("p.term", "p.noisy") for y in ("o.term", "o.noisy")
+    )
+    allowed = "greatest(1, greatest(length(p.term), length(o.term)) div 5)"
+    score = f"""CASE WHEN p.term = '' OR o.term = '' THEN NULL
+        WHEN p.term IN (o.term, o.noisy) OR p.noisy IN (o.term, o.noisy) THEN {OPTION_EXACT}
+        WHEN length(o.term) >= 4 AND ({contained}) THEN {OPTION_CONTAINS}
+        WHEN abs(length(p.term) - length(o.term)) <= {allowed} AND least({distance}) <= {allowed}
+        THEN {OPTION_EDIT} END"""
+    return f"""transform({probes}, p -> array_max(filter(
+        transform({options}, (o, i) -> struct({score} AS confidence, -i AS place, o.option AS option)),
+        m -> m.confidence IS NOT NULL)))"""
+
+
+# Spellings an e-mail address is repaired from, in the order applied.
+EMAIL_REPAIRS = (
+    (r"(?U)\s+(?:at|\(at\)|\[at\])\s+", "@"),
+    (r"(?U)\s+(?:dot|\(dot\)|\[dot\])\s+", "."),
+    (r"(?U)\s*@\s*", "@"),
+    (r"(?U)\s*\.\s*", "."),
+    (r",", "."),
+    (r"c0m\b", "com"),
+    (r"0rg\b", "org"),
+    (r"c0\b", "co"),
+    (r"(?U)\s+", ""),
+)
+# Letters commonly read in place of digits.
+DIGIT_LETTERS = "'OoIl|SsBb', '001115588'"
+DATE_LETTERS = "'OoIl|Ss', '0011155'"
+ISO_DATE = r"^[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}$"
+LOCAL_DATE = r"^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}$"
+NAMED_DATE = r"^[0-9OoIlSs]{1,2}\s+[A-Za-z]+\s+[0-9OoIlSs]{2,4}$"
 
 
-def _missing(kind: Column, required: Column) -> Column:
-    blank = F.when(kind == "signature", F.lit("false")).otherwise(F.lit(""))
-    return F.when(required, _result(blank, MISSING_REQUIRED, "missing_required")).otherwise(
-        _result(blank, MISSING_OPTIONAL)
-    )
+def _email_text() -> str:
+    text = "lower(raw_value)"
+    for pattern, to in EMAIL_REPAIRS:
+        text = f"regexp_replace({text}, r'{pattern}', '{to}')"
+    return text
 
 
 def normalize_cells(
@@ -268,45 +112,116 @@ def normalize_cells(
 
     Adds raw_value, normalized_value, value_kind, confidence_pct and issues.
     """
-    k, must = F.col(kind), F.coalesce(F.col(required), F.lit(False))
-    declared = F.coalesce(F.col(options), F.array().cast(
-        "array<struct<option:string,term:string,noisy:string>>"))
-    staged = cells.withColumn("raw_value", F.coalesce(clean_text(F.col(raw)), F.lit("")))
-    staged = staged.withColumn("_folded", unaccented(F.col("raw_value")))
-    staged = staged.withColumn("_term", squash(F.col("_folded"))).withColumn("_options", declared)
-    staged = staged.withColumn(
-        "_matches",
-        F.when(
-            k.isin("select", "multi_select") & (F.size("_options") > 0),
-            F.transform(_list_parts(F.col("_folded")),
-                        lambda p: match_option(squash(p), F.col("_options"))),
+    k, chosen = f"`{kind}`", f"`{kind}` IN ('select', 'multi_select')"
+    steps = [{
+        "raw_value": F.coalesce(clean_text(F.col(raw)), F.lit("")),
+        "_must": F.coalesce(F.col(required), F.lit(False)),
+        "_options": F.coalesce(F.col(options), F.array().cast(OPTION_TERMS)),
+    }, {
+        "_fixed": F.expr(rf"""CASE {k} WHEN 'email' THEN {_email_text()}
+            WHEN 'phone' THEN regexp_replace(translate(raw_value, {DIGIT_LETTERS}), '[^0-9+]', '')
+            WHEN 'number' THEN regexp_replace(translate(raw_value, {DIGIT_LETTERS}), r'(?U)[,\s]', '')
+            WHEN 'date' THEN translate(raw_value, {DATE_LETTERS}) END"""),
+        "_folded": F.when(
+            F.expr(f"{chosen} OR {k} = 'signature'"), unaccented(F.col("raw_value"))
         ),
-    )
-    value, opts, found = F.col("raw_value"), F.col("_options"), F.col("_matches")
-    outcome = (
-        F.when(value == "", _missing(k, must))
-        .when(k == "email", _email(value, must))
-        .when(k == "phone", _phone(value, must))
-        .when(k == "number", _number(value, must))
-        .when(k == "date", _date(value, must))
-        .when(k == "select", _select(value, F.col("_term"), must, opts, found))
-        .when(k == "multi_select", _multi_select(value, must, opts, found))
-        .when(k == "signature", _signature(F.col("_term"), must))
-        .otherwise(_result(value, TEXT_OK))
-    )
-    return (
-        staged.withColumn("_outcome", outcome)
-        .withColumn("normalized_value", F.col("_outcome.value"))
-        .withColumn("confidence_pct", F.col("_outcome.confidence"))
-        .withColumn("issues", F.col("_outcome.issues"))
-        .withColumn(
-            "value_kind",
-            F.when(k == "signature", F.lit("boolean"))
-            .when((k == "number") & (F.col("raw_value") != "") & (F.size("issues") == 0), F.lit("number"))
-            .otherwise(F.lit("string")),
-        )
-        .drop("_folded", "_term", "_options", "_matches", "_outcome")
-    )
+    }, {
+        "_term": squash(F.col("_folded")),
+        "_phone": F.expr(f"""CASE WHEN {k} = 'phone' THEN
+            if(startswith(_fixed, '00'), concat('+', substr(_fixed, 3)), _fixed) END"""),
+        "_form": F.expr(rf"""CASE WHEN {k} <> 'date' THEN NULL WHEN _fixed RLIKE r'{ISO_DATE}' THEN 'iso'
+            WHEN _fixed RLIKE r'{LOCAL_DATE}' THEN 'local' WHEN raw_value RLIKE r'{NAMED_DATE}' THEN 'named' END"""),
+        "_parts": F.expr(rf"""CASE WHEN {chosen} AND size(_options) > 0 THEN filter(transform(
+            split(_folded, r'(?i)(?U)\s*(?:,|;|\band\b)\s*'), p -> btrim(p, ' :;,.')), p -> p <> '') END"""),
+        "_whole": F.expr(rf"""CASE WHEN {k} = 'number' AND _fixed RLIKE r'^[-+]?[0-9]+(\.[0-9]+)?$'
+            THEN regexp_replace(regexp_extract(_fixed, r'^[-+]?0*([0-9]*)', 1), '^$', '0') END"""),
+    }, {
+        "_terms": F.when(
+            F.col("_parts").isNotNull(),
+            F.concat(F.array("_term"), F.transform("_parts", squash)),
+        ),
+        "_digits": F.expr("regexp_replace(_phone, '[^0-9]', '')"),
+        "_bits": F.expr("if(_form = 'named', split(raw_value, ' '), split(_fixed, '[-/.]'))"),
+        "_size": F.expr(r"""CASE WHEN _whole IS NULL THEN NULL
+            WHEN regexp_extract(_fixed, r'\.([0-9]*?)0*$', 1) = '' THEN _whole
+            ELSE concat(_whole, '.', regexp_extract(_fixed, r'\.([0-9]*?)0*$', 1)) END"""),
+    }, {
+        "_probes": F.transform(
+            "_terms", lambda t: F.struct(t.alias("term"), noisy_term(t).alias("noisy"))
+        ),
+        "_numbers": F.expr(f"""CASE WHEN _form = 'named' THEN array(
+              try_cast(translate(_bits[2], {DATE_LETTERS}) AS INT),
+              int(array_position(array({sql_list(MONTHS)}), lower(left(_bits[1], 3)))),
+              try_cast(translate(_bits[0], {DATE_LETTERS}) AS INT))
+            WHEN _form = 'iso' THEN transform(_bits, b -> try_cast(b AS INT))
+            WHEN _form = 'local' THEN if(int(_bits[0]) <= 12 AND int(_bits[1]) > 12,
+              array(int(_bits[2]), int(_bits[0]), int(_bits[1])),
+              array(int(_bits[2]), int(_bits[1]), int(_bits[0]))) END"""),
+    }, {
+        "_found": F.expr(match_options("_probes", "_options")),
+        "_year": F.expr("""CASE WHEN _numbers[0] >= 100 THEN _numbers[0]
+            WHEN _numbers[0] >= 70 THEN _numbers[0] + 1900 ELSE _numbers[0] + 2000 END"""),
+    }, {
+        "_one": F.expr("_found[0]"),
+        "_several": F.expr("slice(_found, 2, greatest(size(_found) - 1, 0))"),
+        "_date": F.expr("""CASE WHEN _year BETWEEN 1900 AND 2100 THEN
+            date_format(try_to_date(format_string('%04d-%02d-%02d', _year, _numbers[1], _numbers[2]), 'yyyy-MM-dd'),
+              'yyyy-MM-dd') END"""),
+    }, {
+        "_names": F.expr("transform(_several, m -> m.option)"),
+        "_all_match": F.expr("size(_several) >= 1 AND forall(_several, m -> m IS NOT NULL)"),
+    }, {
+        "_low": F.expr("""array_min(transform(
+            filter(_several, (m, i) -> array_position(_names, m.option) = i + 1), m -> m.confidence))"""),
+        "_names": F.expr("array_distinct(_names)"),
+    }, {
+        # Which of the outcomes below applies; anything after `ok_` has no issue.
+        "_case": F.expr(rf"""CASE
+            WHEN raw_value = '' THEN if(_must, 'missing_required', 'ok_missing')
+            WHEN {k} = 'email' THEN if(_fixed RLIKE r'^[^\s@]+@[^\s@]+\.[^\s@]+$', 'ok_email', 'bad_email')
+            WHEN {k} = 'phone' THEN if(length(_digits) BETWEEN 7 AND 15, 'ok_phone', 'bad_phone')
+            WHEN {k} = 'number' THEN if(_size IS NOT NULL, 'ok_number', 'bad_number')
+            WHEN {k} = 'date' THEN CASE WHEN _form IS NULL OR (_form = 'named' AND _numbers[1] = 0) THEN 'bad_date'
+              WHEN _date IS NULL THEN 'invalid_date' ELSE 'ok_date' END
+            WHEN {chosen} AND size(_options) = 0 THEN 'ok_no_options'
+            WHEN {k} = 'select' THEN CASE WHEN _all_match AND size(_names) >= 2 THEN 'option_multiple'
+              WHEN _one IS NOT NULL THEN 'ok_option' ELSE 'option_unknown' END
+            WHEN {k} = 'multi_select' THEN if(_all_match, 'ok_options', 'options_unknown')
+            WHEN {k} = 'signature' THEN CASE WHEN _term IN ({sql_list(SIGNED_TERMS)}) THEN 'ok_signed'
+              WHEN _term NOT IN ({sql_list(UNSIGNED_TERMS)}) THEN 'signature_unclear'
+              WHEN _must THEN 'signature_missing' ELSE 'ok_unsigned' END
+            ELSE 'ok_text' END"""),
+    }, {
+        "normalized_value": F.expr(f"""CASE
+            WHEN {k} = 'signature' THEN if(_case IN ('ok_signed', 'signature_unclear'), 'true', 'false')
+            WHEN raw_value = '' THEN '' WHEN {k} = 'email' THEN _fixed
+            WHEN {k} = 'phone' THEN if(contains(_phone, '+'), concat('+', _digits), _phone)
+            WHEN _case = 'ok_number' THEN if(startswith(_fixed, '-') AND _size <> '0', concat('-', _size), _size)
+            WHEN _case = 'ok_date' THEN _date WHEN _case = 'ok_option' THEN _one.option
+            WHEN _case IN ('option_multiple', 'ok_options') THEN array_join(_names, ', ')
+            ELSE raw_value END"""),
+        "confidence_pct": F.expr(f"""int(CASE _case
+            WHEN 'missing_required' THEN {MISSING_REQUIRED} WHEN 'ok_missing' THEN {MISSING_OPTIONAL}
+            WHEN 'ok_email' THEN {EMAIL_OK} WHEN 'bad_email' THEN if(_must, least({EMAIL_BAD}, {REQUIRED_CAP}), {EMAIL_BAD})
+            WHEN 'ok_phone' THEN {PHONE_OK} WHEN 'bad_phone' THEN if(_must, least({PHONE_BAD}, {REQUIRED_CAP}), {PHONE_BAD})
+            WHEN 'ok_number' THEN {NUMBER_OK} WHEN 'bad_number' THEN if(_must, least({NUMBER_BAD}, {REQUIRED_CAP}), {NUMBER_BAD})
+            WHEN 'ok_date' THEN {DATE_OK} WHEN 'bad_date' THEN {DATE_BAD} WHEN 'invalid_date' THEN {DATE_BAD}
+            WHEN 'ok_no_options' THEN {NO_OPTIONS} WHEN 'ok_option' THEN _one.confidence
+            WHEN 'option_multiple' THEN least({SEVERAL_CAP}, _low, if(_must, {REQUIRED_CAP}, 100))
+            WHEN 'ok_options' THEN least({LIST_CAP}, _low)
+            WHEN 'option_unknown' THEN {OPTION_BAD} WHEN 'options_unknown' THEN {OPTION_BAD}
+            WHEN 'ok_signed' THEN {SIGNED} WHEN 'ok_unsigned' THEN {NOT_SIGNED}
+            WHEN 'signature_missing' THEN {REQUIRED_CAP} WHEN 'signature_unclear' THEN {UNCLEAR}
+            ELSE {TEXT_OK} END)"""),
+        "issues": F.expr("if(startswith(_case, 'ok_'), CAST(array() AS ARRAY<STRING>), array(_case))"),
+        "value_kind": F.expr(
+            f"CASE WHEN {k} = 'signature' THEN 'boolean' WHEN _case = 'ok_number' THEN 'number' ELSE 'string' END"
+        ),
+    }]
+    staged = cells
+    for columns in steps:
+        staged = staged.withColumns(columns)
+    return staged.drop(*{c for columns in steps for c in columns if c.startswith("_")})
 
 
 def canonical_options(chosen: Column, options: Column) -> Column:

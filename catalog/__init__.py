@@ -1,5 +1,5 @@
 """Queries over the given tables, each with its SQL counterpart where SQL can say it."""
 
-from catalog import access, cleaning, reports, review
+from catalog import access, cleaning, layout, reports, review
 
-GROUPS = (reports, review, access, cleaning)
+GROUPS = (reports, review, access, cleaning, layout)

@@ -62,7 +62,7 @@ def records(spark, sf):
 def _first_lines(spark, sf):
     """One lineitem per (order, line number)."""
     order = F.struct("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    row = F.struct("l_partkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+    row = F.struct("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
                    "l_shipdate")
     return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         F.min_by(row, order).alias("r")
@@ -193,7 +193,11 @@ def template_fields(spark, sf):
     )
     return rows.withColumn(
         "key", F.btrim(F.regexp_replace(F.lower("label"), "[^a-z0-9]+", "_"), F.lit("_"))
-    ).withColumn("aliases", F.array().cast("array<string>"))
+    ).withColumn("aliases", F.array().cast("array<string>")).withColumn(
+        "options",
+        F.when(F.col("type") == "select", F.array(*[F.lit(o) for o in ("Open", "Filled", "Shipped")]))
+        .otherwise(F.array().cast("array<string>")),
+    )
 
 
 # The same views as SQL.

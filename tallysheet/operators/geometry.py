@@ -198,12 +198,16 @@ def words_text(words: Column, style: str) -> Column:
     return let(joined, clean_text)
 
 
-def words_box(words: Column, page: Column, digits: int) -> Column:
-    """The box around a word group, null when it is empty."""
-    edges = F.struct(
-        span_left(words).alias("l"), span_top(words).alias("t"),
-        span_right(words).alias("r"), span_bottom(words).alias("b"),
-    )
+def words_box(words: Column, page: Column, digits: int, also: tuple[Column, ...] | None = None) -> Column:
+    """The box around a word group, null when it is empty.
+
+    `also` is (left, top, right, bottom) of an area to include, each null for none.
+    """
+    found = [span_left(words), span_top(words), span_right(words), span_bottom(words)]
+    if also:
+        found = [F.least(found[0], also[0]), F.least(found[1], also[1]),
+                 F.greatest(found[2], also[2]), F.greatest(found[3], also[3])]
+    edges = F.struct(*[e.alias(n) for e, n in zip(found, "ltrb")])
     return let(
         edges,
         lambda e: F.when(

@@ -35,14 +35,18 @@ def field_rules(fields: DataFrame) -> DataFrame:
 
 
 def clean_and_score(
-    cells: DataFrame, fields: DataFrame, spread: Sequence[str], value_confidence: str = "provider"
+    cells: DataFrame, fields: DataFrame, spread: Sequence[str], value_confidence: str = "provider",
+    keep_clean: bool = False,
 ) -> DataFrame:
     """N1, N6 and N5 for cells with template_id, field_id, raw_text, structure_pct, provider_pct.
 
     A provider confidence replaces the cleaner's ("provider"), or only lowers it ("min").
+    With `keep_clean` the cleaner's own confidence stays as clean_pct.
     """
     typed = lookup_join(cells, field_rules(fields), ["template_id", "field_id"], spread=spread)
     cleaned = normalize_cells(typed)
+    if keep_clean:
+        cleaned = cleaned.withColumn("clean_pct", F.col("confidence_pct"))
     if value_confidence == "min":
         value = F.least(F.col("confidence_pct"), F.col("provider_pct"))
     else:

@@ -169,7 +169,7 @@ def q_n5(spark, sf):
 def q_n9(spark, sf):
     fields = b.template_fields(spark, sf)
     terms = scoring.field_terms(scoring.configured_terms(F.col("key"), F.col("label"), F.col("aliases")))
-    return fields.select("field_id", F.array_join(F.array_sort(terms), ",").alias("terms"))
+    return fields.select("field_id", F.array_join(F.sort_array(terms), ",").alias("terms"))
 
 
 def q_n10(spark, sf):

@@ -267,11 +267,11 @@ def _ready_json(spark, sf):
     cell = F.array(F.struct(F.lit("email_address").alias("fieldKey"), F.col("email").alias("rawValue"), F.lit(0.777).alias("confidence")))
     row = F.struct(
         F.when(F.col("n") > 2, F.col("n") * 10).alias("rowNumber"), F.col("n").alias("sourcePage"),
-        F.create_map(F.lit("full_name"), F.col("name"), F.lit("phone"), F.col("phone")).alias("data"),
+        F.struct(F.col("name").alias("full_name"), F.col("phone")).alias("data"),
         F.when(F.col("flag") == "R", cell).otherwise(F.array().cast("array<struct<fieldKey:string,rawValue:string,confidence:double>>")).alias("values"),
         F.col("n").alias("_n"),
     )
-    grouped = _lines(spark, sf).groupBy("order").agg(F.array_sort(F.collect_list(F.struct("n", row.alias("row")))).alias("rows"))
+    grouped = _lines(spark, sf).groupBy("order").agg(F.sort_array(F.collect_list(F.struct("n", row.alias("row")))).alias("rows"))
     body = F.struct(F.lit("reader").alias("providerName"), F.transform("rows", lambda r: r["row"]).alias("rows"))
     return grouped.select(F.col("order").cast("string").alias("document_id"), F.to_json(body).alias("response"))
 
@@ -326,7 +326,7 @@ def form_words(spark, sf):
     """A page per order with one short form per line of the order."""
     def word(place, text, x, y, width):
         return F.struct((F.col("n") * 10 + place).cast("int").alias("word"), text.alias("text"), F.lit(float(x)).alias("x"),
-                        (F.col("n") * 150 + y).cast("double").alias("y"), F.lit(float(width)).alias("width"))
+                        (F.col("n") * 250 + y).cast("double").alias("y"), F.lit(float(width)).alias("width"))
     form = F.array(
         word(0, F.lit("Full"), 32, 0, 30), word(1, F.lit("Name:"), 66, 0, 40), word(2, F.lit("Person"), 160, 0, 44),
         word(3, F.element_at(F.split("name", " "), -1), 210, 0, 36), word(4, F.lit("Email"), 32, 38, 42),
@@ -342,7 +342,7 @@ def q_l4_grid(spark, sf):
 
 
 def q_l4_nested(spark, sf):
-    first = form_words(spark, sf).filter(F.col("y") < 300)
+    first = form_words(spark, sf).filter(F.col("y") < 450)
     return _word_result(word_forms.nested_form_rows(first, documents(spark, sf), short_fields(spark, sf)))
 
 

@@ -56,7 +56,7 @@ def _edited(spark, sf):
 
 
 def _pairs(data):
-    entries = F.array_sort(F.transform(F.map_entries(data), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    entries = F.sort_array(F.transform(F.map_entries(data), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return F.array_join(entries, ";")
 
 

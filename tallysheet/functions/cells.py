@@ -81,9 +81,9 @@ EMAIL_REPAIRS = (
     (r"(?U)\s*@\s*", "@"),
     (r"(?U)\s*\.\s*", "."),
     (r",", "."),
-    (r"c0m\b", "com"),
-    (r"0rg\b", "org"),
-    (r"c0\b", "co"),
+    (r"c0m(?![A-Za-z0-9_])", "com"),
+    (r"0rg(?![A-Za-z0-9_])", "org"),
+    (r"c0(?![A-Za-z0-9_])", "co"),
     (r"(?U)\s+", ""),
 )
 # Letters commonly read in place of digits.
@@ -132,7 +132,7 @@ def normalize_cells(
         "_form": F.expr(rf"""CASE WHEN {k} <> 'date' THEN NULL WHEN _fixed RLIKE r'{ISO_DATE}' THEN 'iso'
             WHEN _fixed RLIKE r'{LOCAL_DATE}' THEN 'local' WHEN raw_value RLIKE r'{NAMED_DATE}' THEN 'named' END"""),
         "_parts": F.expr(rf"""CASE WHEN {chosen} AND size(_options) > 0 THEN filter(transform(
-            split(_folded, r'(?i)(?U)\s*(?:,|;|\band\b)\s*'), p -> btrim(p, ' :;,.')), p -> p <> '') END"""),
+            split(_folded, r'(?i)(?U)\s*(?:,|;|(?<![A-Za-z0-9_])and(?![A-Za-z0-9_]))\s*'), p -> btrim(p, ' :;,.')), p -> p <> '') END"""),
         "_whole": F.expr(rf"""CASE WHEN {k} = 'number' AND _fixed RLIKE r'^[-+]?[0-9]+(\.[0-9]+)?$'
             THEN regexp_replace(regexp_extract(_fixed, r'^[-+]?0*([0-9]*)', 1), '^$', '0') END"""),
     }, {

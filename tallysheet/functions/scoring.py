@@ -28,7 +28,8 @@ COMMON_TERMS = (
     (("date",),
      ("date", "attendance date", "day")),
 )
-ACCEPT_SCORE = 14
+# An edit distance d scores d + 10, so accepted ones are at most 4.
+ACCEPT_SCORE, ACCEPT_DISTANCE = 14, 4
 PAIR_DEFAULT = 74
 FALLBACK_COLUMN = 58
 FALLBACK_COLUMN_GEO = 62
@@ -56,28 +57,33 @@ def variants(terms: Column) -> Column:
     return F.filter(both, lambda t: t != "")
 
 
-def pair_score(a: Column, b: Column) -> Column:
-    """N7 for one pair of terms; lower is better, null is no match."""
+def pair_score(a: Column, b: Column, farthest: int | None = None) -> Column:
+    """N7 for one pair of terms; lower is better, null is no match.
+
+    `farthest` stops the edit distance early and drops pairs farther apart than it.
+    """
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     allowed = F.greatest(F.lit(2), int_div(long * 22, F.lit(100)))
-    distance = F.levenshtein(a, b)
+    if farthest is None:
+        distance = F.levenshtein(a, b)
+    else:
+        allowed = F.least(allowed, F.lit(farthest))
+        distance = F.levenshtein(a, b, farthest)
+    near = F.when((long - short <= allowed) & (short > 1), distance)
     return (
         F.when(a == b, 0)
         .when((short >= 3) & (a.contains(b) | b.contains(a)), (long - short + 2).cast("int"))
-        .when(
-            (long - short <= allowed) & (distance <= allowed) & (distance < short),
-            (distance + 10).cast("int"),
-        )
+        .when((near >= 0) & (near <= allowed) & (near < short), (near + 10).cast("int"))
     )
 
 
-def match_score(header_variants: Column, term_variants: Column) -> Column:
+def match_score(header_variants: Column, term_variants: Column, farthest: int | None = None) -> Column:
     """Best score over all pairs."""
     return F.array_min(
         F.flatten(
             F.transform(
                 header_variants,
-                lambda h: F.transform(term_variants, lambda t: pair_score(h, t)),
+                lambda h: F.transform(term_variants, lambda t: pair_score(h, t, farthest)),
             )
         )
     )

@@ -62,7 +62,7 @@ def event_view(events: DataFrame, templates: DataFrame, fields: DataFrame) -> Da
     empty stub.
     """
     listed = fields.groupBy("template_id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(
                 F.struct("sort_order", "field_id", "label", "key", "type", "required", "options")
             )

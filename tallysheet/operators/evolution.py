@@ -72,7 +72,7 @@ def key_changes(reconciled: DataFrame) -> DataFrame:
     """Per template the removed keys and the (old, new) renames, at most one per field."""
     return reconciled.groupBy("template_id").agg(
         F.collect_list(F.when(F.col("change") == "removed", F.col("old_key"))).alias("removed"),
-        F.array_sort(
+        F.sort_array(
             F.collect_list(
                 F.when(F.col("change") == "renamed", F.struct("position", "old_key", "new_key"))
             )

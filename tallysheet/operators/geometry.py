@@ -55,7 +55,7 @@ def array_median(values: Column, default: float) -> Column:
         upper = F.get(ordered, half)
         return F.when(F.size(ordered) % 2 == 1, upper).otherwise((F.get(ordered, half - 1) + upper) / 2)
 
-    return F.coalesce(let(F.array_sort(values), middle), F.lit(default))
+    return F.coalesce(let(F.sort_array(values), middle), F.lit(default))
 
 
 def array_upper_median(values: Column, default: float) -> Column:
@@ -64,7 +64,7 @@ def array_upper_median(values: Column, default: float) -> Column:
     def upper(ordered: Column) -> Column:
         return F.get(ordered, F.call_function("div", F.size(ordered), F.lit(2)).cast("int"))
 
-    return F.coalesce(let(F.array_sort(F.filter(values, lambda v: v > 0)), upper), F.lit(default))
+    return F.coalesce(let(F.sort_array(F.filter(values, lambda v: v > 0)), upper), F.lit(default))
 
 
 def page_tolerance(words: DataFrame, style: str) -> DataFrame:
@@ -120,7 +120,7 @@ def with_lines(words: DataFrame, style: str) -> DataFrame:
 def line_arrays(lined: DataFrame) -> DataFrame:
     """One row per line with its words from left to right; a line is one line of a page."""
     return lined.groupBy(*LINE).agg(
-        F.array_sort(F.collect_list(word_struct())).alias("words"), F.avg("_level").alias("line_y")
+        F.sort_array(F.collect_list(word_struct())).alias("words"), F.avg("_level").alias("line_y")
     )
 
 
@@ -154,44 +154,48 @@ def span_average_y(words: Column) -> Column:
 
 
 def is_compact(span: Column, style: str) -> Column:
-    """Neighbouring words of a span are close compared with their width."""
+    """Neighbouring words of a span are close, in pixels or compared with their width."""
+    least, factor = (
+        (GRID_SPAN_GAP, GRID_SPAN_FACTOR) if style == "grid" else (NESTED_SPAN_GAP, NESTED_SPAN_FACTOR)
+    )
     widths = F.transform(span, lambda w: w["width"])
-    if style == "grid":
-        limit = F.greatest(F.lit(float(GRID_SPAN_GAP)), array_median(widths, GRID_MEDIAN) * GRID_SPAN_FACTOR)
-    else:
-        limit = F.greatest(
-            F.lit(float(NESTED_SPAN_GAP)), array_upper_median(widths, NESTED_MEDIAN) * NESTED_SPAN_FACTOR
-        )
+    middle = (
+        array_median(widths, GRID_MEDIAN) if style == "grid" else array_upper_median(widths, NESTED_MEDIAN)
+    )
     gaps = F.zip_with(F.slice(span, 2, MAX_SPAN_WORDS), span, lambda b, a: b["x"] - right_of(a))
-    return F.forall(gaps, lambda g: g.isNull() | (g <= limit))
+    widest = F.coalesce(F.array_max(gaps), F.lit(0.0))
+    return let(widest, lambda gap: (gap <= least) | (gap <= middle * factor))
 
 
 def spans(words: Column, style: str) -> Column:
     """Runs of one to four neighbouring words of a line whose every prefix is compact."""
     n = F.size(words)
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(MAX_SPAN_WORDS), n - s)),
+
+    def runs_from(s: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.least(F.lit(MAX_SPAN_WORDS), n - s))
+        compact = F.transform(
+            sizes, lambda k: (k == 1) | is_compact(F.slice(words, s + 1, k), style)
+        )
+        return let(
+            compact,
+            lambda flags: F.transform(
+                F.filter(
+                    F.transform(flags, lambda f, i: i + 1),
+                    lambda k: F.forall(F.slice(flags, F.lit(1), k), lambda f: f),
+                ),
                 lambda k: F.slice(words, s + 1, k),
             ),
         )
-    )
-    return F.filter(
-        runs,
-        lambda r: F.forall(
-            F.sequence(F.lit(1), F.size(r)), lambda k: is_compact(F.slice(r, F.lit(1), k), style)
-        ),
-    )
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), runs_from))
 
 
 def words_text(words: Column, style: str) -> Column:
     """Text of words on one line: from left to right, in `nested` style by top first."""
     if style == "grid":
-        joined = F.array_join(F.transform(F.array_sort(words), lambda w: w["clean"]), " ")
+        joined = F.array_join(F.transform(F.sort_array(words), lambda w: w["clean"]), " ")
     else:
-        ordered = F.array_sort(
+        ordered = F.sort_array(
             F.transform(words, lambda w: F.struct(w["y"].alias("y"), w["x"].alias("x"), w["clean"].alias("t")))
         )
         joined = F.array_join(F.transform(ordered, lambda o: o["t"]), " ")

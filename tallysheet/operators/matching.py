@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallysheet.functions.scoring import (
-    ACCEPT_SCORE, configured_terms, field_terms, match_score, variants,
+    ACCEPT_DISTANCE, ACCEPT_SCORE, configured_terms, field_terms, match_score, variants,
 )
 from tallysheet.functions.text import term
 from tallysheet.operators.joins import lookup_join
@@ -27,7 +27,7 @@ def template_terms(fields: DataFrame) -> DataFrame:
         configured_terms(F.col("key"), F.col("label"), F.col("aliases")).alias("_configured"),
     ).withColumn("terms", variants(field_terms(F.col("_configured"))))
     return terms.groupBy("template_id").agg(
-        F.array_sort(F.collect_list(F.struct("sort_order", "field_id", "terms"))).alias("fields")
+        F.sort_array(F.collect_list(F.struct("sort_order", "field_id", "terms"))).alias("fields")
     )
 
 
@@ -43,7 +43,7 @@ def score_texts(texts: DataFrame, fields: DataFrame) -> DataFrame:
     scored = F.transform(
         "fields",
         lambda f: F.struct(
-            match_score(F.col("_variants"), f["terms"]).alias("score"),
+            match_score(F.col("_variants"), f["terms"], ACCEPT_DISTANCE).alias("score"),
             f["sort_order"].alias("sort_order"), f["field_id"].alias("field_id"),
         ),
     )
@@ -153,7 +153,7 @@ def assign_globally(candidates: Column, one_per_field: bool = True) -> Column:
         )
         return F.when(free, taken).otherwise(acc)
 
-    return F.aggregate(F.array_sort(candidates.cast(f"array<{CHOSEN}>")), start, step,
+    return F.aggregate(F.sort_array(candidates.cast(f"array<{CHOSEN}>")), start, step,
                        lambda acc: acc["out"])
 
 

@@ -289,7 +289,7 @@ def sequential_average(
     tables = banded.groupBy(*keys, "_band").applyInPandas(
         fold_band, f"{schema}, _band bigint, _after array<int>"
     )
-    steps = F.array_sort(F.collect_list(F.struct("_band", "_after")))
+    steps = F.sort_array(F.collect_list(F.struct("_band", "_after")))
     final = F.aggregate(
         steps, F.lit(-1), lambda state, step: F.get(step["_after"], state + 1)
     )

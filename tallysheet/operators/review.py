@@ -60,7 +60,7 @@ def apply_cell_edits(records: DataFrame, cells: DataFrame, edits: DataFrame, fie
     `edits`: record_id, data; `fields`: template rows with event_id, field_id, key.
     """
     template = fields.groupBy("event_id").agg(
-        F.array_sort(F.collect_list(F.struct("sort_order", "field_id", "key"))).alias("_fields")
+        F.sort_array(F.collect_list(F.struct("sort_order", "field_id", "key"))).alias("_fields")
     )
     touched = lookup_join(
         records.select("record_id", "event_id").join(edits, "record_id"), template, "event_id",
@@ -103,7 +103,7 @@ def create_records(rows: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataF
     `rows`: record_id, event_id, position, row_number, data, confidence, status.
     """
     template = fields.groupBy("event_id").agg(
-        F.array_sort(F.collect_list(F.struct("sort_order", "field_id", "key"))).alias("_fields")
+        F.sort_array(F.collect_list(F.struct("sort_order", "field_id", "key"))).alias("_fields")
     )
     filled = lookup_join(rows, template, "event_id", spread=["record_id"])
     score = F.coalesce("confidence", F.lit(1.0))
@@ -193,7 +193,7 @@ def record_view(records: DataFrame, documents: DataFrame, users: DataFrame, cell
     cell list of a record is small.
     """
     listed = cells_with_fields(cells, fields).groupBy("record_id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(
                 F.struct("sort_order", "key", "normalized_value", "confidence", "issues")
             )
@@ -285,7 +285,7 @@ def first_success(attempts: DataFrame, providers: tuple[str, ...]) -> DataFrame:
     ranked = attempts.withColumn("_rank", F.element_at(order, F.col("provider")))
     best = ranked.groupBy("document_id").agg(
         F.min(F.when(F.col("ok"), F.col("_rank"))).alias("_won"),
-        F.array_sort(
+        F.sort_array(
             F.collect_list(
                 F.when(
                     ~F.col("ok"),

@@ -91,24 +91,38 @@ def map_columns(headers: DataFrame, fields: DataFrame, first_column: int = 0, fa
     """W4 (b): for every header table one row per field with its column and confidence.
 
     `headers`: document_id, template_id, table_index, column_index, text. A header is one
-    row of one table, so its columns fit in a row.
+    row of one table, so its columns fit in a row. Equal headers of a template are mapped
+    once and looked up by every table that has them.
     """
+    tables = headers.groupBy("document_id", "template_id", "table_index").agg(
+        F.sort_array(
+            F.collect_list(F.struct(F.col("column_index").cast("int").alias("item"), "text"))
+        ).alias("_header")
+    )
+    layouts = tables.select("template_id", "_header").distinct()
     scored = match_headers(
-        headers.withColumn("item", F.col("column_index").cast("int")), fields, ["document_id", "item"]
+        layouts.select("template_id", "_header", F.explode("_header").alias("h")).select(
+            "template_id", "_header", "h.item", "h.text"
+        ),
+        fields, ["_header", "item"],
     )
-    tables = scored.groupBy("document_id", "template_id", "table_index").agg(
+    items = scored.groupBy("template_id", "_header").agg(
         F.collect_list(F.struct("item", "matches")).alias("_items")
     )
     with_fields = lookup_join(
-        tables, template_terms(fields), "template_id", how="inner", spread=["document_id", "table_index"]
-    )
-    assigned = assign_in_field_order(F.col("_items"), F.col("fields"))
+        items, template_terms(fields), "template_id", how="inner", spread=["_header"]
+    ).withColumn("_assigned", assign_in_field_order(F.col("_items"), F.col("fields")))
     if fallback:
-        with_fields = with_fields.withColumn("_assigned", assigned)
-        assigned = fallback_columns(F.col("_assigned"), first_column)
+        with_fields = with_fields.withColumn(
+            "_assigned", fallback_columns(F.col("_assigned"), first_column)
+        )
+    mapped = lookup_join(
+        tables, with_fields.select("template_id", "_header", "_assigned"), ["template_id", "_header"],
+        "inner", spread=["document_id", "table_index"],
+    )
     structure = F.when(F.col("a.score").isNull(), FALLBACK_COLUMN).otherwise(match_confidence(F.col("a.score")))
-    return with_fields.select(
-        "document_id", "template_id", "table_index", F.explode(assigned).alias("a")
+    return mapped.select(
+        "document_id", "template_id", "table_index", F.explode("_assigned").alias("a")
     ).select(
         "document_id", "template_id", "table_index", "a.field_id", "a.sort_order",
         F.col("a.item").alias("column_index"), F.col("a.score").alias("score"),
@@ -138,7 +152,7 @@ def table_rows(
     mapping = stage(map_columns(headers, fields, first_column, fallback).groupBy(
         "document_id", F.col("table_index").alias("header_table")
     ).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("sort_order", "field_id", "column_index", "structure_pct"))
         ).alias("_columns")
     ))
@@ -239,7 +253,7 @@ def ready_rows(rows: DataFrame, documents: DataFrame, fields: DataFrame) -> tupl
     from tallysheet.sources.layouts import provider_pct
 
     template = fields.groupBy("template_id").agg(
-        F.array_sort(F.collect_list(F.struct("sort_order", "field_id", "key"))).alias("_fields")
+        F.sort_array(F.collect_list(F.struct("sort_order", "field_id", "key"))).alias("_fields")
     )
     mine = lookup_join(rows, documents.select("document_id", "template_id"), "document_id", "inner", spread=["_at"])
     wide = lookup_join(mine, template, "template_id", "inner", spread=["document_id", "_at"])

@@ -240,7 +240,7 @@ def block_texts(graph: DataFrame) -> DataFrame:
     )
     parts = children.join(words, ["document_id", "child_id"]).groupBy("document_id", "block_id").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda s: s["word"]), " "
+            F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda s: s["word"]), " "
         ).alias("_words")
     )
     return graph.join(parts, ["document_id", "block_id"], "left").withColumn(

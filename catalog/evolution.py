@@ -121,7 +121,7 @@ def q_s8(spark, sf):
 
 def q_s1(spark, sf):
     """Cells written as the stored table and read back through the declared schema."""
-    root = f"{checkpoint_root(spark)}/tables-{spark.sparkContext.applicationId}"
+    root = _stream_folder(spark, "tables")
     rows = b.cells(spark, sf).select(
         F.concat_ws("-", "record_id", "field_id").alias("cell_id"), "record_id", "field_id", "normalized_value",
         "confidence", "issues")

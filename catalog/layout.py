@@ -322,8 +322,11 @@ def q_l2_grid(spark, sf):
     return _word_result(word_tables.word_table_rows(table_words(spark, sf, 30.0), documents(spark, sf), short_fields(spark, sf), "grid"))
 
 
-def form_words(spark, sf):
-    """A page per order with one short form per line of the order."""
+def form_words(spark, sf, one_per_page=False):
+    """A page per order with one short form per line of the order, or a page per line."""
+    document = F.col("order").cast("string")
+    if one_per_page:
+        document = F.concat_ws("-", document, F.col("n").cast("string"))
     def word(place, text, x, y, width):
         return F.struct((F.col("n") * 10 + place).cast("int").alias("word"), text.alias("text"), F.lit(float(x)).alias("x"),
                         (F.col("n") * 250 + y).cast("double").alias("y"), F.lit(float(width)).alias("width"))
@@ -333,7 +336,7 @@ def form_words(spark, sf):
         word(5, F.regexp_replace("email", " at mail dot com", "@mail.com"), 160, 38, 90), word(6, F.lit("Phone"), 32, 76, 44),
         word(7, F.col("phone"), 160, 76, 80),
     )
-    return _lines(spark, sf).select(F.col("order").cast("string").alias("document_id"), F.explode(form).alias("w")).select(
+    return _lines(spark, sf).select(document.alias("document_id"), F.explode(form).alias("w")).select(
         "document_id", F.lit(1).alias("page"), "w.*", F.lit(18.0).alias("height"), F.lit(95).alias("confidence_pct"))
 
 
@@ -342,8 +345,10 @@ def q_l4_grid(spark, sf):
 
 
 def q_l4_nested(spark, sf):
-    first = form_words(spark, sf).filter(F.col("y") < 450)
-    return _word_result(word_forms.nested_form_rows(first, documents(spark, sf), short_fields(spark, sf)))
+    pages = _lines(spark, sf).select(
+        F.concat_ws("-", F.col("order").cast("string"), F.col("n").cast("string")).alias("document_id"),
+        (F.col("order") % 250).cast("string").alias("template_id"))
+    return _word_result(word_forms.nested_form_rows(form_words(spark, sf, True), pages, short_fields(spark, sf)))
 
 
 def _spots(spark, sf):
@@ -570,7 +575,8 @@ ORACLE = {
         "WHEN 1 THEN (90*72+96*28+50)//100 WHEN 2 THEN (94*72+96*28+50)//100 ELSE (90*72+96*28+50)//100").replace("{row}", RANK),
 }
 ORACLE["l2_grid_word_tables"] = ORACLE["l2_nested_word_tables"]
-ORACLE["l4_nested_forms"] = ORACLE["l4_grid_forms"].replace("FROM lines, (", "FROM (SELECT * FROM lines WHERE n = 1) lines, (")
+ORACLE["l4_nested_forms"] = ORACLE["l4_grid_forms"].replace(RANK, "1").replace(
+    "SELECT CAST(ord AS VARCHAR) AS document_id", "SELECT ord || '-' || n AS document_id")
 for _name in ("l1_table_cells", "s2_ready_cells", "s2_ready_rows"):
     ORACLE[_name] = ORACLE[_name].replace("WITH lines AS", f"WITH v_template_fields AS ({b.VIEWS['v_template_fields']}), lines AS", 1)
 

@@ -225,11 +225,11 @@ def dedupe_keys(
         F.array_union(taken_numbers, F.coalesce("_literals", F.array().cast("array<int>"))),
         lambda n: n >= 1,
     )
-    free = F.filter(
-        F.sequence(F.lit(1), (F.col("_nth") + F.size(blocked)).cast("int")),
-        lambda n: ~F.array_contains(blocked, n),
+    # The n-th free number: every blocked number at or below it pushes it up by one.
+    number = F.aggregate(
+        F.sort_array(F.array_distinct(blocked)), F.col("_nth"),
+        lambda n, used: F.when(used <= n, n + 1).otherwise(n),
     )
-    number = F.get(free, (F.col("_nth") - 1).cast("int"))
     return joined.withColumn(
         "unique_key",
         F.when(number == 1, stem).otherwise(F.concat_ws("_", stem, number.cast("string"))),

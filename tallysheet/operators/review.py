@@ -280,9 +280,16 @@ def export_order() -> list[Column]:
 
 def first_success(attempts: DataFrame, providers: tuple[str, ...]) -> DataFrame:
     """Per document the first provider in priority order that worked, and the
-    number and redacted text of the failures before it."""
+    redacted text of the failures before it.
+
+    Attempts fold to one row per document and provider first, so the list of a document is
+    never longer than the list of providers.
+    """
     order = F.create_map(*[x for i, p in enumerate(providers) for x in (F.lit(p), F.lit(i))])
-    ranked = attempts.withColumn("_rank", F.element_at(order, F.col("provider")))
+    once = attempts.groupBy("document_id", "provider").agg(
+        F.bool_or("ok").alias("ok"), F.min(F.when(~F.col("ok"), F.col("error"))).alias("error")
+    )
+    ranked = once.withColumn("_rank", F.element_at(order, F.col("provider")))
     best = ranked.groupBy("document_id").agg(
         F.min(F.when(F.col("ok"), F.col("_rank"))).alias("_won"),
         F.sort_array(

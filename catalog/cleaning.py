@@ -206,7 +206,7 @@ QUERIES = {
 }
 
 _BLANK = r"' :;,.' || chr(10) || chr(13) || chr(9)"
-CLEAN = r"trim(regexp_replace(replace(translate({0}, '|¦‘’“”‐‑‒–—―', '  ''''""------'), ' ', ' '), '\s+', ' ', 'g'), ' :;,.')"
+CLEAN = r"""trim(regexp_replace(replace(translate({0}, '|¦‘’“”‐‑‒–—―', '  ''''""------'), ' ', ' '), '\s+', ' ', 'g'), ' :;,.')"""
 TERM = r"regexp_replace(replace(lower(strip_accents({0})), '&', ' and '), '[^a-z0-9]+', '', 'g')"
 NOISY = r"""CASE WHEN length(regexp_replace({0}, '[^a-z]', '', 'g')) > 0
   AND length(regexp_replace({0}, '[a-z]', '', 'g')) <= length(regexp_replace({0}, '[^a-z]', '', 'g'))

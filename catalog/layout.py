@@ -471,11 +471,11 @@ RANK = "CAST(row_number() OVER (PARTITION BY ord, f ORDER BY n) AS INTEGER)"
 ORACLE = {
     "s3_cell_tables": f"""WITH {LINES}, heads(c, t) AS (VALUES {CLEAN_HEAD}),
       v AS (SELECT ord, n, unnest([0,1,2,3,8,9]) AS c, unnest([name, email, phone, day, status, flag]) AS t FROM lines)
-      SELECT CAST(ord AS VARCHAR) AS document_id, 0 AS table_index, 0 AS row_index, c AS column_index, true AS is_header, t AS text, 1 AS page, 4.0 AS width
+      SELECT CAST(ord AS VARCHAR) AS document_id, 0 AS table_index, 0 AS row_index, c AS column_index, true AS is_header, t AS text, 1 AS page, 4.0::DOUBLE AS width
       FROM (SELECT DISTINCT ord FROM lines), heads
       UNION ALL
       SELECT CAST(ord AS VARCHAR), CASE WHEN n <= 4 THEN 0 ELSE 1 END, CASE WHEN n <= 4 THEN n ELSE n - 5 END, c, false, t,
-        CASE WHEN n <= 4 THEN 1 ELSE 2 END, 4.0 FROM v""",
+        CASE WHEN n <= 4 THEN 1 ELSE 2 END, 4.0::DOUBLE FROM v""",
     "l1_table_cells": f"""WITH {LINES}, f AS (SELECT CAST(template_id AS INTEGER) AS t, sort_order, type, required FROM v_template_fields),
       x AS (SELECT ord, n, sort_order, required, row_number() OVER (PARTITION BY ord, sort_order ORDER BY n) AS r,
         CASE sort_order WHEN 1 THEN name WHEN 2 THEN 'u' || l_suppkey || '@mail.com' WHEN 3 THEN '0801234' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0')
@@ -559,7 +559,7 @@ ORACLE = {
     "s6_word_boxes": """WITH l AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
         ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) = 1)
       SELECT CAST(l_orderkey AS VARCHAR) AS document_id, 1 AS page, 'W' || l_returnflag AS text, CAST(l_partkey % 500 AS DOUBLE) AS x, l_quantity AS y,
-        12.0 AS width, 8.0 AS height, CAST(l_linenumber * 10 AS INTEGER) AS confidence_pct FROM l""",
+        12.0::DOUBLE AS width, 8.0::DOUBLE AS height, CAST(l_linenumber * 10 AS INTEGER) AS confidence_pct FROM l""",
     "s2_ready_cells": f"""WITH {LINES} SELECT CAST(ord AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY ord, f ORDER BY n) - 1 AS INTEGER) AS place,
         CAST(f AS INTEGER) AS sort_order, CASE f WHEN 1 THEN name WHEN 2 THEN CASE WHEN flag = 'R' THEN email ELSE '' END ELSE phone END AS raw_value,
         CASE f WHEN 1 THEN name WHEN 2 THEN CASE WHEN flag = 'R' THEN 'u' || l_suppkey || '@mail.com' ELSE '' END ELSE '0801234' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') END AS normalized_value,

@@ -612,3 +612,75 @@ ORACLE["j5_match_headers"] = b.sql(
 ORACLE["n7_match_score"] = f"""WITH p AS (SELECT p_partkey, {_TERM.format('p_name')} AS a, {_TERM.format("('red ' || string_split(p_name, ' ')[-1])")} AS t FROM part),
   s AS (SELECT p_partkey, CAST({_SCORE} AS INTEGER) AS score FROM p)
   SELECT p_partkey, score, CAST(CASE WHEN score = 0 THEN 96 WHEN score <= 4 THEN 90 WHEN score <= 8 THEN 82 ELSE 72 END AS INTEGER) AS confidence_pct FROM s"""
+
+
+def _type_values(spark, sf):
+    text = F.when(F.col("p_size") % 5 == 0, F.col("p_type")).otherwise(F.col("p_size").cast("string"))
+    return b.table(spark, sf, "part").select(
+        F.call_function("div", F.col("p_partkey"), F.lit(3)).alias("column"), "p_partkey",
+        F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("a@b."), F.col("p_name"))).otherwise(text).alias("text"),
+    )
+
+
+def q_x3(spark, sf):
+    sampled = discovery.sample_values(_type_values(spark, sf), ["column"], ["p_partkey"])
+    return sampled.select("column", discovery.infer_type(F.col("samples")).alias("type"))
+
+
+def q_w3(spark, sf):
+    found = q_j5(spark, sf)
+    return matching.best_per_field(found, ["field_id"], [F.col("score"), F.col("header_id")])
+
+
+def q_j6(spark, sf):
+    matched = matching.match_pairs(
+        layouts.read_listed_pairs(_pairs_json(spark, sf)), documents(spark, sf), b.template_fields(spark, sf))
+    return matched.select("document_id", "sort_order", "item", "score")
+
+
+def q_j8(spark, sf):
+    graph = layouts.blocks(_block_json(spark, sf))
+    return layouts.block_links(graph, "child_ids", "child_id").filter(F.col("block_id") != "t").select(
+        "document_id", "block_id", "at", "child_id")
+
+
+def q_p7(spark, sf):
+    """Rows of each supplier's lineitems: blank unless the flag is R; five or the default rows kept."""
+    cells = b._first_lines(spark, sf).select(
+        F.col("l_suppkey").cast("string").alias("document_id"), F.col("l_orderkey").alias("line"),
+        F.col("l_linenumber").alias("field_id"), F.col("l_partkey").alias("_p"),
+        F.when(F.col("l_returnflag") == "R", "R").otherwise("").alias("normalized_value"),
+        F.lit("string").alias("value_kind"), (F.col("l_linenumber") * 10).alias("confidence_pct"),
+        F.lit(None).cast("int").alias("page"),
+    )
+    documents_ = b.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("document_id"),
+        F.when(F.col("s_suppkey") % 2 == 0, 5).alias("row_count"), F.lit(1).alias("page_start"))
+    kept = tables.keep_filled_rows(cells, documents_, ["line"])
+    return kept.select("document_id", "line", "output_row", "row_confidence_pct").distinct()
+
+
+QUERIES.update({
+    "x3_infer_type": q_x3, "w3_best_match": q_w3, "j6_match_pairs": q_j6, "j8_block_links": q_j8,
+    "p7_filled_rows": q_p7,
+})
+ORACLE["x3_infer_type"] = ORACLE["a14_column_types"]
+ORACLE["w3_best_match"] = (
+    f"SELECT field_id, arg_min(header_id, (score, header_id)) AS header_id, min(score) AS score "
+    f"FROM ({ORACLE['j5_match_headers']}) GROUP BY field_id"
+)
+ORACLE["j6_match_pairs"] = b.sql(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS document_id, sort_order,
+      CAST(CASE sort_order WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 7 THEN 1 END AS INTEGER) AS item,
+      CAST(CASE sort_order WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 7 THEN 0 END AS INTEGER) AS score
+    FROM orders JOIN v_template_fields ON template_id = CAST(o_orderkey % 250 AS VARCHAR)""", "v_template_fields")
+ORACLE["j8_block_links"] = f"""WITH {LINES}
+  SELECT CAST(ord AS VARCHAR) AS document_id, p || n AS block_id, CAST(i AS INTEGER) AS at, c || n AS child_id
+  FROM lines, (VALUES ('a', 0, 'w'), ('a', 1, 'v'), ('b', 0, 's'), ('b', 1, 'e')) x(p, i, c)"""
+ORACLE["p7_filled_rows"] = b.sql(
+    """, r AS (SELECT l_suppkey, l_orderkey, bool_or(l_returnflag = 'R') AS filled,
+        (2 * sum(l_linenumber * 10) + count(*)) // (2 * count(*)) AS conf FROM v_lines GROUP BY ALL),
+      k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS n FROM r WHERE filled)
+    SELECT CAST(l_suppkey AS VARCHAR) AS document_id, l_orderkey AS line, CAST(n AS INTEGER) AS output_row,
+      CAST(conf AS BIGINT) AS row_confidence_pct
+    FROM k WHERE n <= CASE WHEN l_suppkey % 2 = 0 THEN 5 ELSE 25 END""", "v_lines")

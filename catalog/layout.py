@@ -33,7 +33,7 @@ def _row_values():
 def documents(spark, sf):
     return b.table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("document_id"),
-        (F.col("o_orderkey") % 250).cast("string").alias("template_id"),
+        (F.col("o_orderkey") % 25).cast("string").alias("template_id"),
     )
 
 
@@ -347,7 +347,7 @@ def q_l4_grid(spark, sf):
 def q_l4_nested(spark, sf):
     pages = _lines(spark, sf).select(
         F.concat_ws("-", F.col("order").cast("string"), F.col("n").cast("string")).alias("document_id"),
-        (F.col("order") % 250).cast("string").alias("template_id"))
+        (F.col("order") % 25).cast("string").alias("template_id"))
     return _word_result(word_forms.nested_form_rows(form_words(spark, sf, True), pages, short_fields(spark, sf)))
 
 
@@ -482,7 +482,7 @@ ORACLE = {
           WHEN 4 THEN '' WHEN 5 THEN 'false' WHEN 7 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE '' END AS value,
         CASE sort_order WHEN 1 THEN 90 WHEN 2 THEN 94 WHEN 3 THEN 90 WHEN 7 THEN 90 ELSE CASE WHEN required THEN 34 ELSE 68 END END AS v,
         CASE sort_order WHEN 1 THEN 72 WHEN 2 THEN 96 WHEN 3 THEN 90 WHEN 7 THEN 96 ELSE 58 END AS s
-      FROM lines JOIN f ON f.t = ord % 250)
+      FROM lines JOIN f ON f.t = ord % 25)
       SELECT CAST(ord AS VARCHAR) AS document_id, CAST(r AS INTEGER) AS output_row, CASE WHEN n <= 4 THEN 1 ELSE 2 END AS source_page,
         sort_order, value AS normalized_value,
         CAST(CASE WHEN value IN ('', 'false') AND required THEN least(68, (v * 72 + s * 28 + 50) // 100) ELSE (v * 72 + s * 28 + 50) // 100 END AS INTEGER) AS confidence_pct,
@@ -496,7 +496,7 @@ ORACLE = {
     "w4_column_mapping": """SELECT CAST(o_orderkey AS VARCHAR) AS document_id, f AS sort_order,
         CAST([0, 1, 2, 4, 5, 6, 3, 7][f] AS INTEGER) AS column_index, CAST([11, 0, 4, NULL, NULL, NULL, 0, NULL][f] AS INTEGER) AS score,
         CAST([72, 96, 90, 58, 58, 58, 96, 58][f] AS INTEGER) AS structure_pct
-      FROM orders, (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS f) WHERE (o_orderkey % 250) * 8 <= (SELECT max(p_partkey) FROM part)""",
+      FROM orders, (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS f) WHERE (o_orderkey % 25) * 8 <= (SELECT max(p_partkey) FROM part)""",
     "x2_suggested_fields": f"""WITH {LINES}, v AS (SELECT ord, n, unnest([8, 9]) AS c, unnest([status, flag]) AS t FROM lines),
       g AS (SELECT ord, c, string_agg(t, ',' ORDER BY p) AS samples, count(*) AS k FROM (SELECT ord, c, t, min(n) AS p FROM v GROUP BY ALL) GROUP BY ALL)
       SELECT CAST(ord AS VARCHAR) AS document_id, 'Line Status' AS label, CASE c WHEN 8 THEN 'line_status' ELSE 'line_status_2' END AS key,
@@ -546,7 +546,7 @@ ORACLE = {
             WHEN 7 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 5 THEN 'false' ELSE '' END AS value,
           CASE sort_order WHEN 1 THEN 90 WHEN 2 THEN 94 WHEN 7 THEN 90 ELSE CASE WHEN required THEN 34 ELSE 68 END END AS v,
           CASE WHEN sort_order IN (1, 2, 7) THEN 74 ELSE 62 END AS s
-        FROM orders JOIN v_template_fields ON template_id = CAST(o_orderkey % 250 AS VARCHAR))
+        FROM orders JOIN v_template_fields ON template_id = CAST(o_orderkey % 25 AS VARCHAR))
         SELECT CAST(o_orderkey AS VARCHAR) AS document_id, sort_order, value AS normalized_value,
           CAST((v * 72 + s * 28 + 50) // 100 AS INTEGER) AS confidence_pct FROM x""", "v_template_fields"),
     "s4_anchor_tables": """SELECT CAST(c_custkey AS VARCHAR) AS document_id, CAST(r AS INTEGER) AS row_index, CAST(c AS INTEGER) AS column_index, r = 0 AS is_header,
@@ -564,11 +564,11 @@ ORACLE = {
         CAST(f AS INTEGER) AS sort_order, CASE f WHEN 1 THEN name WHEN 2 THEN CASE WHEN flag = 'R' THEN email ELSE '' END ELSE phone END AS raw_value,
         CASE f WHEN 1 THEN name WHEN 2 THEN CASE WHEN flag = 'R' THEN 'u' || l_suppkey || '@mail.com' ELSE '' END ELSE '0801234' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') END AS normalized_value,
         CAST(CASE f WHEN 1 THEN 90 WHEN 2 THEN CASE WHEN flag = 'R' THEN 78 WHEN required THEN 34 ELSE 68 END ELSE 90 END AS INTEGER) AS confidence_pct
-      FROM lines, (SELECT unnest([1, 2, 3]) AS f) JOIN v_template_fields ON template_id = CAST(ord % 250 AS VARCHAR) AND sort_order = f""",
+      FROM lines, (SELECT unnest([1, 2, 3]) AS f) JOIN v_template_fields ON template_id = CAST(ord % 25 AS VARCHAR) AND sort_order = f""",
     "s2_ready_rows": f"""WITH {LINES}, r AS (SELECT ord, n, flag, row_number() OVER (PARTITION BY ord ORDER BY n) AS at FROM lines)
       SELECT CAST(ord AS VARCHAR) AS document_id, CAST(CASE WHEN n > 2 THEN n * 10 ELSE r.at END AS INTEGER) AS row_number, n AS source_page,
         CAST((2 * (180 + CASE WHEN flag = 'R' THEN 78 WHEN required THEN 34 ELSE 68 END) + 3) // 6 AS BIGINT) AS row_confidence_pct
-      FROM r JOIN v_template_fields ON template_id = CAST(ord % 250 AS VARCHAR) AND sort_order = 2""",
+      FROM r JOIN v_template_fields ON template_id = CAST(ord % 25 AS VARCHAR) AND sort_order = 2""",
     "l2_nested_word_tables": _short(
         "WHEN 1 THEN (90*72+96*28+50)//100 WHEN 2 THEN (94*72+96*28+50)//100 ELSE (90*72+96*28+50)//100").replace("{row}", RANK),
     "l4_grid_forms": _short(
@@ -673,7 +673,7 @@ ORACLE["j6_match_pairs"] = b.sql(
     """SELECT CAST(o_orderkey AS VARCHAR) AS document_id, sort_order,
       CAST(CASE sort_order WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 7 THEN 1 END AS INTEGER) AS item,
       CAST(CASE sort_order WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 7 THEN 0 END AS INTEGER) AS score
-    FROM orders JOIN v_template_fields ON template_id = CAST(o_orderkey % 250 AS VARCHAR)""", "v_template_fields")
+    FROM orders JOIN v_template_fields ON template_id = CAST(o_orderkey % 25 AS VARCHAR)""", "v_template_fields")
 ORACLE["j8_block_links"] = f"""WITH {LINES}
   SELECT CAST(ord AS VARCHAR) AS document_id, p || n AS block_id, CAST(i AS INTEGER) AS at, c || n AS child_id
   FROM lines, (VALUES ('a', 0, 'w'), ('a', 1, 'v'), ('b', 0, 's'), ('b', 1, 'e')) x(p, i, c)"""

@@ -28,20 +28,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallysheet.llm.bitmaps import broadcast_bitmap, holds
-from tallysheet.llm.words import WordHashes, run_hashes, split_words, spread, steps, texts_of
-from tallysheet.session import stage
+from tallysheet.llm.words import WordHashes, as_bytes, run_hashes, split_words, spread, steps, texts_of
 
 WINDOW = 50
 MINIMISER_WORDS = 12
-#: Bits of the bitmap of repeated minimisers: 32 MB.
-BITS = 1 << 28
+#: Bits of the bitmap of repeated minimisers: 16 MB.
+BITS = 1 << 27
 
-STAGED = "kind int, uid bigint, doc_id bigint, bucket int, payload binary, n_words bigint, n_removed bigint, kept string"
+#: Rows that travel: finished documents, texts with windows that may recur, spans to remove
+#: (pairs of places) and packed runs of windows.
 DONE, TEXT, SPANS, PACKED = 0, 1, 2, 3
 
 
@@ -170,88 +170,104 @@ def removal(text: str | None, spans: np.ndarray, digest: bool) -> tuple[int, int
 
 
 def _rows(kind: int, **columns) -> pa.RecordBatch:
-    names = ["kind", "uid", "doc_id", "bucket", "payload", "n_words", "n_removed", "kept"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
+    """Rows of one kind; the columns not given are null."""
+    types = PACKED_TYPES if kind in (SPANS, PACKED) else TEXT_TYPES
     n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind), t) if c == "kind" else pa.array(columns.get(c, [None] * n), t) for c, t in zip(names, types, strict=True)], names
-    )
+    values = {"kind": np.full(n, kind)} | columns
+    return pa.RecordBatch.from_arrays([pa.array(values.get(c, [None] * n), t) for c, t in types.items()], list(types))
+
+
+PACKED_TYPES = {"kind": pa.int32(), "uid": pa.int64(), "bucket": pa.int32(), "payload": pa.binary()}
+TEXT_TYPES = {
+    "kind": pa.int32(), "uid": pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(),
+    "n_removed": pa.int64(), "kept": pa.string(),
+}
+PACKED_SCHEMA = "kind int, uid bigint, bucket int, payload binary"
+TEXT_SCHEMA = "kind int, uid bigint, doc_id bigint, n_words bigint, n_removed bigint, kept string"
+
+
+class Step:
+    """The texts of one step: their words, and the windows whose minimiser is in the bitmap."""
+
+    def __init__(self, batch: pa.RecordBatch, cache: WordHashes, bitmap: np.ndarray, window: int, length: int):
+        self.texts, self.ids = texts_of(batch, "text"), texts_of(batch, "doc_id")
+        words = [split_words(t) for t in self.texts]
+        self.counts = np.array([len(w) for w in words], dtype=np.int64)
+        self.codes = cache.of([w for ws in words for w in ws])
+        doc, self.starts = spread(self.counts)
+        known = np.array([i is not None for i in self.ids], dtype=bool)
+        self.owner = np.array([0 if i is None else i for i in self.ids], dtype=np.int64)
+        self.low = minimisers(self.codes, window, length) if len(self.codes) >= window else np.zeros(0, np.uint64)
+        self.of = doc[: len(self.low)]
+        self.flags = whole_windows(self.counts, window)[: len(self.low)] & holds(bitmap, self.low) & known[self.of]
+
+    def uids(self) -> np.ndarray:
+        """The same for equal rows, whichever task reads them."""
+        found = [xxhash.xxh3_64_intdigest(as_bytes(t), seed=i & 0xFFFFFFFF) for t, i in zip(self.texts, self.owner.tolist(), strict=True)]
+        return np.array(found, dtype=np.uint64).astype(np.int64)
+
+
+def _packed(n_buckets: int, window: int, length: int, repeated) -> Callable:
+    """Packed runs of windows by bucket, and the spans that are decided within a step."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, shift = WordHashes(), np.uint64(64 - (n_buckets.bit_length() - 1))
+        codec = pa.Codec("zstd", 1)
+        for batch in steps(batches, "text"):
+            step = Step(batch, cache, repeated.value, window, length)
+            at = np.flatnonzero(step.flags)
+            if not len(at):
+                continue
+            words, uids, owner = step.codes.astype(np.uint32), step.uids(), step.owner[step.of[at]]
+            later = owner > first_owner(words, at, owner, window)
+            decided = np.zeros(len(step.flags), bool)
+            decided[at[later]] = True
+            first, last = runs(decided, step.of)
+            of = step.of[first]
+            yield _span_rows(uids[of], first - step.starts[of], last - step.starts[of] + window, n_buckets)
+            first, last = runs(step.flags & ~decided, step.of, step.low)
+            bucket = (step.low[first] >> shift).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            first, size, bucket = first[order], (last - first + window)[order], bucket[order]
+            of = step.of[first]
+            head = np.stack([uids[of], step.owner[of], first - step.starts[of], size])
+            cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
+            full, payload = np.flatnonzero(np.diff(cuts)), []
+            for i in full:
+                part = slice(cuts[i], cuts[i + 1])
+                run, offset = spread(size[part])
+                body = words[first[part][run] + np.arange(len(run)) - offset[run]]
+                raw = np.int64(len(offset)).tobytes() + head[:, part].tobytes() + body.tobytes()
+                payload.append(np.int64(len(raw)).tobytes() + codec.compress(raw, asbytes=True))
+            yield _rows(PACKED, bucket=full, payload=payload)
 
+    return packed
 
-def _split(n_buckets: int, window: int, length: int, repeated, digest: bool) -> Callable:
-    """Finished documents, texts and spans of the others, and packed runs of windows by bucket."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, bitmap = WordHashes(), repeated.value
-        uid = TaskContext.get().partitionId() << 40
-        for batch in steps(batches, "text"):
-            texts, ids = texts_of(batch, "text"), texts_of(batch, "doc_id")
-            uids = np.arange(uid, uid + len(texts))
-            uid += len(texts)
-            words = [split_words(t) for t in texts]
-            counts = np.array([len(w) for w in words], dtype=np.int64)
-            codes = cache.of([w for ws in words for w in ws])
-            doc, starts = spread(counts)
-            open_doc = np.zeros(len(texts), bool)
-            known = np.array([i is not None for i in ids], dtype=bool)
-            numbers = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-            if len(codes) >= window:
-                low = minimisers(codes, window, length)
-                of = doc[: len(low)]
-                flags = whole_windows(counts, window) & holds(bitmap, low) & known[of]
-                at = np.flatnonzero(flags)
-                open_doc[of[at]] = True
-            if open_doc.any():
-                packed = codes.astype(np.uint32)
-                later = numbers[of[at]] > first_owner(packed, at, numbers[of[at]], window)
-                decided = np.zeros(len(flags), bool)
-                decided[at[later]] = True
-                first, last = runs(decided, of)
-                yield _span_rows(uids[of[first]], first - starts[of[first]], last - starts[of[first]] + window)
-                yield from _packed_rows(packed, flags & ~decided, of, low, starts, uids, numbers, n_buckets, window)
-            done = np.flatnonzero(~open_doc)
-            none = np.zeros((0, 2), np.int64)
-            found = [removal(texts[i], none, digest) for i in done]
-            yield _rows(DONE, doc_id=[ids[i] for i in done], n_words=[x[0] for x in found], n_removed=[0] * len(found), kept=[x[2] for x in found])
-            left = np.flatnonzero(open_doc)
-            yield _rows(TEXT, uid=uids[left], doc_id=[ids[i] for i in left], kept=[texts[i] for i in left])
-
-    return split
-
-
-def _span_rows(uid: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+def _span_rows(uid: np.ndarray, start: np.ndarray, end: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     """A row per uid: its spans as pairs of places."""
     order = np.argsort(uid, kind="stable")
     uid, spans = uid[order], np.stack([start, end], axis=1)[order].astype(np.int64)
     at = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1]][: len(uid)])
-    return _rows(SPANS, uid=uid[at], payload=[x.tobytes() for x in np.split(spans, at[1:])] if len(at) else [])
-
-
-def _packed_rows(packed, flags, of, low, starts, uids, numbers, n_buckets, window) -> Iterator[pa.RecordBatch]:
-    first, last = runs(flags, of, low)
-    bucket = (low[first] >> np.uint64(64 - (n_buckets.bit_length() - 1))).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    first, last, bucket = first[order], last[order], bucket[order]
-    size = last - first + window
-    cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    full, payload = np.flatnonzero(np.diff(cuts)), []
-    for i in full:
-        s, e = cuts[i], cuts[i + 1]
-        run, offset = spread(size[s:e])
-        body = packed[first[s:e][run] + np.arange(len(run)) - offset[run]]
-        head = np.stack([uids[of[first[s:e]]], numbers[of[first[s:e]]], first[s:e] - starts[of[first[s:e]]], size[s:e]])
-        payload.append(np.int64(e - s).tobytes() + head.astype(np.int64).tobytes() + body.tobytes())
-    yield _rows(PACKED, bucket=full, payload=payload)
-
-
-def _bucket_spans(window: int) -> Callable:
+    payload = [x.tobytes() for x in np.split(spans, at[1:])] if len(at) else []
+    return _rows(SPANS, uid=uid[at], bucket=uid[at] % n_buckets, payload=payload)
+
+
+def _bucket_spans(window: int, n_buckets: int) -> Callable:
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
         for _, rows in grouped(batches, "bucket"):
             heads, bodies = [], []
             for row in rows:
-                n = int(np.frombuffer(row["payload"], np.int64, 1)[0])
-                heads.append(np.frombuffer(row["payload"], np.int64, 4 * n, 8).reshape(4, n))
-                bodies.append(np.frombuffer(row["payload"], np.uint32, -1, 8 + 32 * n))
+                if row["kind"] == SPANS:
+                    yield _rows(SPANS, uid=[row["uid"]], payload=[row["payload"]])
+                    continue
+                raw = codec.decompress(row["payload"][8:], int(np.frombuffer(row["payload"], np.int64, 1)[0]), asbytes=True)
+                n = int(np.frombuffer(raw, np.int64, 1)[0])
+                heads.append(np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n))
+                bodies.append(np.frombuffer(raw, np.uint32, -1, 8 + 32 * n))
+            if not heads:
+                continue
             uid, owner, start, size = np.concatenate(heads, axis=1)
             words = np.concatenate(bodies)
             run, offset = spread(size)
@@ -261,33 +277,67 @@ def _bucket_spans(window: int) -> Callable:
             flags[at[later]] = True
             first, last = runs(flags, run)
             of = run[first]
-            yield _span_rows(uid[of], first - offset[of] + start[of], last - offset[of] + start[of] + window).select(["uid", "payload"])
+            yield _span_rows(uid[of], first - offset[of] + start[of], last - offset[of] + start[of] + window, n_buckets)
 
     return spans
 
 
+def removal(text: str | None, spans: np.ndarray, digest: bool) -> tuple[int, int, str]:
+    """Words, words removed, and the kept words joined by a space (or the SHA-256 of that)."""
+    words = split_words(text)
+    gone = np.zeros(len(words) + 1, np.int64)
+    np.add.at(gone, spans[:, 0], 1)
+    np.add.at(gone, spans[:, 1], -1)
+    gone = np.cumsum(gone[:-1]) > 0
+    kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if len(spans) else words)
+    return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "surrogatepass")
+
+
+NO_SPANS = np.zeros((0, 2), np.int64)
+
+
+def _texts(window: int, length: int, repeated, digest: bool) -> Callable:
+    """Finished documents, and the texts of those whose windows may recur."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in steps(batches, "text"):
+            step = Step(batch, cache, repeated.value, window, length)
+            uids, open_doc = step.uids(), np.zeros(len(step.texts), bool)
+            open_doc[step.of[step.flags]] = True
+            left, done = np.flatnonzero(open_doc), np.flatnonzero(~open_doc)
+            yield _rows(TEXT, uid=uids[left], doc_id=[step.ids[i] for i in left], kept=[step.texts[i] for i in left])
+            found = [removal(step.texts[i], NO_SPANS, digest) for i in done]
+            n_words, n_removed, kept = ([x[j] for x in found] for j in range(3))
+            yield _rows(DONE, uid=uids[done], doc_id=[step.ids[i] for i in done], n_words=n_words, n_removed=n_removed, kept=kept)
+
+    return texts
+
+
 def _applied(digest: bool) -> Callable:
+    types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
+
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for _, rows in grouped(batches, "uid"):
             spans = [np.frombuffer(r["payload"], np.int64).reshape(-1, 2) for r in rows if r["kind"] == SPANS]
-            text = next(r for r in rows if r["kind"] == TEXT)
-            out.append((text["doc_id"], *removal(text["kept"], np.concatenate([np.zeros((0, 2), np.int64), *spans]), digest)))
-            if len(out) >= 500:
-                yield _finished(out)
+            spans = np.concatenate([NO_SPANS, *spans])
+            for row in rows:
+                if row["kind"] == TEXT:
+                    out.append((row["doc_id"], *removal(row["kept"], spans, digest)))
+                elif row["kind"] == DONE:
+                    out.append((row["doc_id"], row["n_words"], row["n_removed"], row["kept"]))
+            if len(out) >= 200:
+                yield batch(out)
                 out = []
-        yield _finished(out)
+        yield batch(out)
 
     return applied
 
 
-def _finished(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "n_words", "n_removed", "kept"]
-    )
-
-
 def remove_repeated_windows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
     minimiser_words: int = MINIMISER_WORDS, bits: int = BITS, digest: bool = False,
@@ -306,15 +356,15 @@ def remove_repeated_windows(
         .repartition(partitions, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_repeated_keys, "keys binary")
     )
     repeated = broadcast_bitmap(keys, bits)
-    staged = stage(rows.mapInArrow(_split(n_buckets, window, minimiser_words, repeated, digest), STAGED))
     spans = (
-        staged.filter(F.col("kind") == PACKED).select("bucket", "payload")
+        rows.mapInArrow(_packed(n_buckets, window, minimiser_words, repeated), PACKED_SCHEMA)
         .repartition(partitions, F.col("bucket")).sortWithinPartitions("bucket")
-        .mapInArrow(_bucket_spans(window), "uid bigint, payload binary")
-        .select(F.lit(SPANS).alias("kind"), "uid", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("kept"), "payload")
+        .mapInArrow(_bucket_spans(window, n_buckets), PACKED_SCHEMA).drop("bucket")
+    )
+    texts = rows.mapInArrow(_texts(window, minimiser_words, repeated, digest), TEXT_SCHEMA)
+    found = (
+        texts.unionByName(spans, allowMissingColumns=True)
+        .repartition(partitions, F.col("uid")).sortWithinPartitions("uid")
+        .mapInArrow(_applied(digest), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
     )
-    parts = staged.filter(F.col("kind").isin(TEXT, SPANS)).select("kind", "uid", "doc_id", "kept", "payload").unionByName(spans)
-    out = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
-    removed = parts.repartition(partitions, F.col("uid")).sortWithinPartitions("uid").mapInArrow(_applied(digest), out)
-    done = staged.filter(F.col("kind") == DONE).select("doc_id", "n_words", "n_removed", "kept")
-    return done.unionByName(removed).withColumnRenamed("doc_id", id_col)
+    return found.withColumnRenamed("doc_id", id_col)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallysheet.llm.ngram_join import jaccard_groups
 from tallysheet.llm.quality import quality_stats
 from tallysheet.llm.substrings import remove_repeated_windows
 
@@ -18,12 +19,17 @@ def q_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_stats(documents(spark, sf_dir))
 
 
+def q_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(documents(spark, sf_dir))
+
+
 def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_quality": q_op1,
+    "op7_ngram_jaccard_groups": q_op7,
     "op8_super_kmer_dedup": q_op8,
 }
 

@@ -222,7 +222,7 @@ def _prefixes(percent: int, widespread) -> Callable:
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = widespread.value
         for batch in batches:
-            nodes, sizes, shingles = [], [], []
+            nodes, sizes, own_only, reach, shingles = [], [], [], [], []
             for node, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = np.frombuffer(raw, np.uint64)
                 at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
@@ -231,10 +231,12 @@ def _prefixes(percent: int, widespread) -> Callable:
                 shingles.append(first)
                 nodes.append(np.full(len(first), node))
                 sizes.append(np.full(len(first), n))
+                reach.append(n - np.arange(len(first)))
+                own_only.append(np.full(len(first), int((weight == 0).sum())))
             if nodes:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(shingles).astype(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))],
-                    ["shingle", "node", "n"],
+                    [pa.array(np.concatenate(x).astype(np.int64)) for x in (shingles, nodes, sizes, own_only, reach)],
+                    ["shingle", "node", "n", "rare", "reach"],
                 )
 
     return prefixes
@@ -298,11 +300,13 @@ def links_between(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
     )
     order = sorted((np.int64(r["shingle"]).astype(np.uint64), r["met"]) for r in often)
     widespread = spark.sparkContext.broadcast((np.array([x for x, _ in order], np.uint64), np.array([m for _, m in order], np.int64)))
-    postings = stage(sets.select("node", "n", "shingles").mapInArrow(_prefixes(percent, widespread), "shingle bigint, node bigint, n bigint"))
-    heads = postings.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("many")).filter("many > 1")
-    heads = heads.select("shingle", F.col("head.node").alias("b"), F.col("head.n").alias("n_b"))
-    possible = F.expr(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
-    first = postings.join(heads, "shingle").filter((F.col("node") != F.col("b")) & possible)
+    postings = stage(sets.select("node", "n", "shingles").mapInArrow(_prefixes(percent, widespread), "shingle bigint, node bigint, n bigint, rare bigint, reach bigint"))
+    # the pivot of a list is its set with the fewest shingles of its own: the others are mostly edits of it
+    heads = postings.groupBy("shingle").agg(F.min(F.struct("rare", "node", "n", "reach")).alias("head"), F.count("*").alias("many")).filter("many > 1")
+    heads = heads.select("shingle", F.col("head.node").alias("b"), F.col("head.n").alias("n_b"), F.col("head.reach").alias("reach_b"))
+    # at the first shingle that two sets share, no more can be shared than both have from there on
+    possible = lambda a, b: F.expr(f"100 * least({a}, {b}) >= {percent} * (n + n_b - least({a}, {b}))")
+    first = postings.join(heads, "shingle").filter((F.col("node") != F.col("b")) & possible("reach", "reach_b"))
     tested = stage(overlaps(first.select(F.col("node").alias("a"), "b").distinct(), sets, partitions))
     found = tested.filter(linked(percent))
     # each set leans on the pivot that it shares most with; the others lean on themselves
@@ -314,11 +318,17 @@ def links_between(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
         .join(group, "node", "left")
         .select("node", "n", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("apart", F.lit(0)).alias("apart"), F.coalesce("label", "node").alias("label"))
     )
-    lists = postings.join(heads.select("shingle"), "shingle").join(members.select("node", "pivot", "label"), "node").select("shingle", "pivot", "label").distinct()
+    lists = (
+        postings.join(heads.select("shingle"), "shingle").join(members.select("node", "pivot", "label"), "node")
+        .groupBy("shingle", "pivot", "label").agg(F.max("reach").alias("reach"), F.min("n").alias("n"))
+    )
     open_lists = lists.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
     lists = lists.join(open_lists, "shingle")
-    other = lists.select("shingle", F.col("pivot").alias("b"), F.col("label").alias("label_b"))
-    blocks = lists.join(other, "shingle").filter("pivot < b and label <> label_b").select(F.col("pivot").alias("a"), "b").distinct()
+    other = lists.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("pivot", "label", "reach", "n")))
+    blocks = (
+        lists.join(other, "shingle").filter((F.expr("pivot < pivot_b and label <> label_b")) & possible("reach", "reach_b"))
+        .select(F.col("pivot").alias("a"), F.col("pivot_b").alias("b")).distinct()
+    )
     between = stage(overlaps(blocks, sets, partitions))
     found = found.select("a", "b").unionByName(between.filter(linked(percent)).select("a", "b"))
     group = components(found)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallysheet.llm.ngram_join import jaccard_groups
 from tallysheet.llm.quality import quality_stats
+from tallysheet.llm.spotsigs import neighbour_likeness
 from tallysheet.llm.substrings import remove_repeated_windows
+from tallysheet.llm.toxicity import toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,10 @@ def q_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_stats(documents(spark, sf_dir))
 
 
+def q_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_likeness(documents(spark, sf_dir))
+
+
 def q_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(documents(spark, sf_dir))
 
@@ -27,10 +33,16 @@ def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_quality": q_op1,
+    "op6_spotsigs_fingerprints": q_op6,
     "op7_ngram_jaccard_groups": q_op7,
     "op8_super_kmer_dedup": q_op8,
+    "op10_noisy_channel_toxicity": q_op10,
 }
 
 ORACLE: dict[str, str] = {}

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallysheet.llm.lines import dedup_lines
+from tallysheet.llm.mixing import mixed
 from tallysheet.llm.ngram_join import jaccard_groups
 from tallysheet.llm.quality import quality_stats
 from tallysheet.llm.spotsigs import neighbour_likeness
@@ -21,6 +23,10 @@ def q_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_stats(documents(spark, sf_dir))
 
 
+def q_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def q_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_likeness(documents(spark, sf_dir))
 
@@ -33,15 +39,21 @@ def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(documents(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(documents(spark, sf_dir)).select("doc_id", "source", "mix.*")
+
+
 def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_quality": q_op1,
+    "op5_fuzzy_line_dedup": q_op5,
     "op6_spotsigs_fingerprints": q_op6,
     "op7_ngram_jaccard_groups": q_op7,
     "op8_super_kmer_dedup": q_op8,
+    "op9_temperature_mixing": q_op9,
     "op10_noisy_channel_toxicity": q_op10,
 }
 

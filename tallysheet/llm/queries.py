@@ -10,11 +10,16 @@ from tallysheet.llm.lines import dedup_lines
 from tallysheet.llm.mixing import mixed
 from tallysheet.llm.ngram_join import jaccard_groups
 from tallysheet.llm.quality import quality_stats
+from tallysheet.llm.secrets import scan
+from tallysheet.llm.sharding import assign_shards
 from tallysheet.llm.spotsigs import neighbour_likeness
 from tallysheet.llm.substrings import remove_repeated_windows
 from tallysheet.llm.toxicity import toxicity
 
 
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -23,6 +28,15 @@ def q_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_stats(documents(spark, sf_dir))
 
 
+def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
+def q_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign_shards(documents(spark, sf_dir).select("doc_id"), SHARDS, ["doc_id"])
+    return placed.select("doc_id", "slot", "shard", "shard_name")
+
+
 def q_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -49,6 +63,8 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_quality": q_op1,
+    "op3_forest_secret_scan": q_op3,
+    "op4_permutation_sharding": q_op4,
     "op5_fuzzy_line_dedup": q_op5,
     "op6_spotsigs_fingerprints": q_op6,
     "op7_ngram_jaccard_groups": q_op7,

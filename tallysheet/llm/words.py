@@ -9,9 +9,9 @@ import pyarrow as pa
 import xxhash
 
 #: Texts of one step inside a task hold about so many characters (one longer text is a step of its own).
-STEP_CHARS = 1_500_000
+STEP_CHARS = 400_000
 #: Distinct words whose hashes a task keeps before it starts anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 
 
 def as_bytes(text: str | None) -> bytes:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallysheet.llm.bpe import Vocabulary, round_trip
 from tallysheet.llm.lines import dedup_lines
 from tallysheet.llm.mixing import mixed
 from tallysheet.llm.ngram_join import jaccard_groups
@@ -28,6 +29,16 @@ def q_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_stats(documents(spark, sf_dir))
 
 
+def vocabulary(spark: SparkSession) -> Vocabulary:
+    import public_tokenizers
+
+    return Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), vocabulary(spark))
+
+
 def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
@@ -63,6 +74,7 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_quality": q_op1,
+    "op2_bpe_round_trip": q_op2,
     "op3_forest_secret_scan": q_op3,
     "op4_permutation_sharding": q_op4,
     "op5_fuzzy_line_dedup": q_op5,

@@ -90,8 +90,8 @@ def _nodes(words: int) -> Callable:
             found = sets.of(texts_of(batch, "text"))
             node = [np.uint64(node_of(s)).astype(np.int64) if len(s) else None for s in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(node, pa.int64())],
-                ["id", "n", "node"],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array(node, pa.int64())],
+                ["id", "uid", "n", "node"],
             )
 
     return nodes
@@ -346,28 +346,51 @@ def links_between(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
     return found.unionByName(overlaps(pairs, sets, partitions).filter(linked(percent)).select("a", "b"))
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
-    """Columns id_col, n_shingles, component_id (smallest id that links lead to), group_size.
-
-    The ids are whole numbers. One row per row of docs.
-    """
+def grouped_rows(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bits: int) -> DataFrame:
+    """Columns id, uid (hash of id and text), n, node, label (of the node's group); one row per row of docs."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    nodes = stage(rows.mapInArrow(_nodes(words), "id bigint, n bigint, node bigint").withColumn("rank", F.coalesce("id", F.lit(-1).cast("bigint"))))
-    related = related_nodes(rows, nodes, words, percent, partitions)
+    uid = F.xxhash64(docs[id_col], docs[text_col])
+    rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"), uid.alias("uid"))
+    nodes = stage(rows.mapInArrow(_nodes(words), "id bigint, uid bigint, n bigint, node bigint").withColumn("rank", F.coalesce("id", F.lit(-1).cast("bigint"))))
+    related = related_nodes(rows.select("id", "text"), nodes, words, percent, partitions)
     wanted = broadcast_bitmap(related.select("node", "rank").mapInArrow(_row_keys, "keys binary"), bits)
     ranked = rows.select(F.coalesce("id", F.lit(-1).cast("bigint")).alias("rank"), "text")
     sets = stage(ranked.mapInArrow(_related_sets(words, wanted), "node bigint, n bigint, shingles binary"))
     group = components(links_between(sets, percent, partitions))
-    # members of a group take the smallest id of all rows of its nodes
-    classes = nodes.filter("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
-    classes = classes.join(group, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = classes.groupBy("label").agg(F.min("low").alias("component_id"), F.sum("copies").alias("group_size"))
-    named = classes.select("node", "label").join(groups, "label").select("node", "component_id", "group_size")
-    found = nodes.join(named, "node", "left").select(
-        "id", F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
+    labels = nodes.filter("node is not null").select("node").distinct().join(group, "node", "left")
+    return nodes.drop("rank").join(labels.select("node", F.coalesce("label", "node").alias("label")), "node", "left")
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
+    """Columns id_col, n_shingles, component_id (smallest id that links lead to), group_size.
+
+    The ids are whole numbers. One row per row of docs.
+    """
+    rows = grouped_rows(docs, id_col, text_col, words, percent, bits)
+    groups = rows.filter("label is not null").groupBy(F.col("label").alias("group")).agg(F.min("id").alias("low"), F.count("*").alias("many"))
+    found = rows.join(groups, F.col("label") == F.col("group"), "left")
+    alone = F.col("label").isNull()
+    return found.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("low")).alias("component_id"),
+        F.coalesce("many", F.lit(1).cast("bigint")).alias("group_size"),
     )
-    return found.withColumnRenamed("id", id_col)
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
+    """docs with one row of each group: the smallest (id, hash of the text), null ids last.
+
+    Rows without shingles are in no group and stay.
+    """
+    rows = stage(grouped_rows(docs, id_col, text_col, words, percent, bits).filter("label is not null").select("label", "id", "uid"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
+    keepers = rows.groupBy(F.col("label").alias("group")).agg(F.min(order).alias("keeper"), F.count("*").alias("many"))
+    gone = rows.join(keepers.filter("many > 1"), F.col("label") == F.col("group")).filter(F.col("uid") != F.col("keeper.uid"))
+    gone = gone.select(F.col("uid").alias("gone_uid")).distinct()
+    again = rows.groupBy(F.col("uid").alias("again_uid")).count().filter("count > 1").select("again_uid")
+    # the columns go inside a struct, so their names cannot clash
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(docs[id_col], docs[text_col]).alias("uid"))
+    left = marked.join(gone, F.col("uid") == F.col("gone_uid"), "left_anti")
+    once = left.join(again, F.col("uid") == F.col("again_uid"), "left_anti")
+    repeated = left.join(again, F.col("uid") == F.col("again_uid"), "left_semi").groupBy("uid").agg(F.first("row").alias("row"))
+    return once.select("row.*").unionByName(repeated.select("row.*"))

@@ -158,9 +158,9 @@ def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([key[count > 1].tobytes()], pa.binary())], ["keys"])
 
 
-def removal(text: str | None, spans: np.ndarray, digest: bool) -> tuple[int, int, str]:
+def removal(raw: bytes, spans: np.ndarray, digest: bool) -> tuple[int, int, str]:
     """Words, words removed, and the kept words joined by a space (or the SHA-256 of that)."""
-    words = split_words(text)
+    words = raw.split()
     gone = np.zeros(len(words) + 1, np.int64)
     np.add.at(gone, spans[:, 0], 1)
     np.add.at(gone, spans[:, 1], -1)
@@ -180,10 +180,10 @@ def _rows(kind: int, **columns) -> pa.RecordBatch:
 PACKED_TYPES = {"kind": pa.int32(), "uid": pa.int64(), "bucket": pa.int32(), "payload": pa.binary()}
 TEXT_TYPES = {
     "kind": pa.int32(), "uid": pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(),
-    "n_removed": pa.int64(), "kept": pa.string(),
+    "n_removed": pa.int64(), "kept": pa.string(), "packed": pa.binary(),
 }
 PACKED_SCHEMA = "kind int, uid bigint, bucket int, payload binary"
-TEXT_SCHEMA = "kind int, uid bigint, doc_id bigint, n_words bigint, n_removed bigint, kept string"
+TEXT_SCHEMA = "kind int, uid bigint, doc_id bigint, n_words bigint, n_removed bigint, kept string, packed binary"
 
 
 class Step:
@@ -238,7 +238,7 @@ def _packed(n_buckets: int, window: int, length: int, repeated) -> Callable:
                 run, offset = spread(size[part])
                 body = words[first[part][run] + np.arange(len(run)) - offset[run]]
                 raw = np.int64(len(offset)).tobytes() + head[:, part].tobytes() + body.tobytes()
-                payload.append(np.int64(len(raw)).tobytes() + codec.compress(raw, asbytes=True))
+                payload.append(pack(raw, codec))
             yield _rows(PACKED, bucket=full, payload=payload)
 
     return packed
@@ -262,7 +262,7 @@ def _bucket_spans(window: int, n_buckets: int) -> Callable:
                 if row["kind"] == SPANS:
                     yield _rows(SPANS, uid=[row["uid"]], payload=[row["payload"]])
                     continue
-                raw = codec.decompress(row["payload"][8:], int(np.frombuffer(row["payload"], np.int64, 1)[0]), asbytes=True)
+                raw = unpack(row["payload"], codec)
                 n = int(np.frombuffer(raw, np.int64, 1)[0])
                 heads.append(np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n))
                 bodies.append(np.frombuffer(raw, np.uint32, -1, 8 + 32 * n))
@@ -282,9 +282,9 @@ def _bucket_spans(window: int, n_buckets: int) -> Callable:
     return spans
 
 
-def removal(text: str | None, spans: np.ndarray, digest: bool) -> tuple[int, int, str]:
+def removal(raw: bytes, spans: np.ndarray, digest: bool) -> tuple[int, int, str]:
     """Words, words removed, and the kept words joined by a space (or the SHA-256 of that)."""
-    words = split_words(text)
+    words = raw.split()
     gone = np.zeros(len(words) + 1, np.int64)
     np.add.at(gone, spans[:, 0], 1)
     np.add.at(gone, spans[:, 1], -1)
@@ -293,6 +293,14 @@ def removal(text: str | None, spans: np.ndarray, digest: bool) -> tuple[int, int
     return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "surrogatepass")
 
 
+def pack(raw: bytes, codec: pa.Codec) -> bytes:
+    return np.int64(len(raw)).tobytes() + codec.compress(raw, asbytes=True)
+
+
+def unpack(packed: bytes, codec: pa.Codec) -> bytes:
+    return codec.decompress(packed[8:], int(np.frombuffer(packed, np.int64, 1)[0]), asbytes=True)
+
+
 NO_SPANS = np.zeros((0, 2), np.int64)
 
 
@@ -300,14 +308,14 @@ def _texts(window: int, length: int, repeated, digest: bool) -> Callable:
     """Finished documents, and the texts of those whose windows may recur."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, codec = WordHashes(), pa.Codec("zstd", 3)
         for batch in steps(batches, "text"):
             step = Step(batch, cache, repeated.value, window, length)
             uids, open_doc = step.uids(), np.zeros(len(step.texts), bool)
             open_doc[step.of[step.flags]] = True
             left, done = np.flatnonzero(open_doc), np.flatnonzero(~open_doc)
-            yield _rows(TEXT, uid=uids[left], doc_id=[step.ids[i] for i in left], kept=[step.texts[i] for i in left])
-            found = [removal(step.texts[i], NO_SPANS, digest) for i in done]
+            yield _rows(TEXT, uid=uids[left], doc_id=[step.ids[i] for i in left], packed=[pack(as_bytes(step.texts[i]), codec) for i in left])
+            found = [removal(as_bytes(step.texts[i]), NO_SPANS, digest) for i in done]
             n_words, n_removed, kept = ([x[j] for x in found] for j in range(3))
             yield _rows(DONE, uid=uids[done], doc_id=[step.ids[i] for i in done], n_words=n_words, n_removed=n_removed, kept=kept)
 
@@ -321,13 +329,13 @@ def _applied(digest: bool) -> Callable:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        out, codec = [], pa.Codec("zstd", 3)
         for _, rows in grouped(batches, "uid"):
             spans = [np.frombuffer(r["payload"], np.int64).reshape(-1, 2) for r in rows if r["kind"] == SPANS]
             spans = np.concatenate([NO_SPANS, *spans])
             for row in rows:
                 if row["kind"] == TEXT:
-                    out.append((row["doc_id"], *removal(row["kept"], spans, digest)))
+                    out.append((row["doc_id"], *removal(unpack(row["packed"], codec), spans, digest)))
                 elif row["kind"] == DONE:
                     out.append((row["doc_id"], row["n_words"], row["n_removed"], row["kept"]))
             if len(out) >= 200:

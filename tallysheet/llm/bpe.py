@@ -9,7 +9,7 @@ Texts are cut before white space that follows other characters; no match of the
 crosses such a place, so each segment is matched by itself. The distinct segments of all
 documents are counted, and the most frequent ones (``max_words``, none longer than
 ``max_length``) are encoded once; they are a second literal of bounded size. Segments
-outside it are folded where they stand. Nothing but the counts is shuffled.
+outside it are folded where they stand, piece by piece if a piece is not among them either. Nothing but the counts is shuffled.
 
 Decoding looks up the bytes of each id in a literal array and concatenates them.
 
@@ -27,9 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_WORDS = 1 << 18
+from tallysheet.session import stage
+
+MAX_WORDS = 1 << 19
 MAX_LENGTH = 48
-RANK_BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 17
+RANK_BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 19
 NONE = 2147483647
 SEGMENTS = r"(?U)(?<=\S)(?=\s)"
 
@@ -65,10 +67,14 @@ class Vocabulary:
         return f"""CASE WHEN {self.rank(w)} IS NOT NULL THEN array({self.rank(w)}) ELSE
             aggregate(sequence(1, length({w}) - 1), {start}, (s, _) -> {step}, e -> {ids}) END"""
 
-    def text_ids(self, text: str) -> str:
-        """SQL for the ids of a text, written in decimal with one space between them."""
+    def text_ids(self, text: str, known: str = "cast(NULL AS string)") -> str:
+        """SQL for the ids of a text, written in decimal with one space between them.
+
+        known: SQL for the ids of a piece q where they are known.
+        """
         pieces = f'regexp_extract_all({text}, r"{self.pattern}", 0)'
-        return f"array_join(flatten(transform({pieces}, q -> transform(array(cast(q AS binary)), w -> {self.piece_ids('w')})[0])), ' ')"
+        folded = f"transform(array(cast(q AS binary)), w -> array_join({self.piece_ids('w')}, ' '))[0]"
+        return f"array_join(transform({pieces}, q -> coalesce({known}, {folded})), ' ')"
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of ids written as text_ids does."""
@@ -100,7 +106,7 @@ def frequent(segments: DataFrame, max_words: int, max_length: int) -> DataFrame:
     """Column k: distinct segments, the most frequent ones up to about max_words."""
     counted = segments.filter(F.length("k") <= max_length).groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     level = F.floor(F.log2("n") * 8)
-    kept = counted.withColumn("level", level)
+    kept = stage(counted.select("k", level.alias("level")))
     total, least = 0, None
     for row in sorted(kept.groupBy("level").count().collect(), key=lambda r: -r["level"]):
         total += row["count"]
@@ -117,9 +123,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     words = frequent(docs.select(F.explode(cut).alias("k")), max_words, max_length)
     words = words.select("k", F.expr(vocabulary.text_ids("k")).alias("v"))
     known = literal(spark, bucketed(words, WORD_BUCKETS), "array<map<string,string>>")
-    found = f"try_element_at(get({known}, pmod(hash(s), {WORD_BUCKETS})), s)"
+    found = lambda x: f"try_element_at(get({known}, pmod(hash({x}), {WORD_BUCKETS})), {x})"
     segments = docs.select(docs[id_col].alias("id"), cut.alias("segments"))
-    ids = F.expr(f"array_join(transform(segments, s -> coalesce({found}, {vocabulary.text_ids('s')})), ' ')")
+    ids = F.expr(f"array_join(transform(segments, s -> coalesce({found('s')}, {vocabulary.text_ids('s', found('q'))})), ' ')")
     return segments.select(F.col("id").alias(id_col), ids.alias("ids"))
 
 

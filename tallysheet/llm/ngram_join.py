@@ -337,9 +337,11 @@ def links_between(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
     widest = label.groupBy("pivot").agg(F.max("apart").alias("apart"), F.min("n").alias("n"))
     bound = f"100 * (same + apart_a + apart_b) >= {percent} * (n_a + n_b - (same + apart_a + apart_b))"
     size = lambda s: widest.select(F.col("pivot").alias(s), F.col("apart").alias(f"apart_{s}"), F.col("n").alias(f"n_{s}"))
-    left = between.select("a", "b", "same").join(size("a"), "a").join(size("b"), "b").filter(bound).select("a", "b", "same")
+    left = between.select("a", "b", "same").join(size("a"), "a").join(size("b"), "b").filter(bound).select("a", "b", "same", "apart_b", "n_b")
+    # members of a that the widest member of b leaves open, then those of b
+    some = left.join(around("a"), "a").filter(bound).drop("apart_b", "n_b")
     pairs = (
-        left.join(around("a"), "a").join(around("b"), "b")
+        some.join(around("b"), "b")
         .filter(f"label_a <> label_b and {bound} and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     )

@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 
 from tallysheet.session import stage
 
-MAX_WORDS = 1 << 19
+MAX_WORDS = 1 << 18
 MAX_LENGTH = 48
-RANK_BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 19
+RANK_BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 17
 NONE = 2147483647
 SEGMENTS = r"(?U)(?<=\S)(?=\s)"
 

@@ -299,7 +299,10 @@ ORACLE = {
         UNION ALL SELECT event_id, user_id, 'reviewer' FROM added""", "v_users", "v_team_members"),
     "t9_invitation_outbox": b.sql(
         INVITES + """SELECT event_id, title, email AS invitee, invited_by,
-          substr('reviewer-invite-' || event_id || '-' || regexp_replace(email, '[^a-z0-9]+', '-', 'g'), 1, 256) AS idempotency_key
+          CASE WHEN length('reviewer-invite-' || event_id || '-' || regexp_replace(email, '[^a-z0-9]+', '-', 'g')) <= 256
+            THEN 'reviewer-invite-' || event_id || '-' || regexp_replace(email, '[^a-z0-9]+', '-', 'g')
+            ELSE substr('reviewer-invite-' || event_id || '-' || regexp_replace(email, '[^a-z0-9]+', '-', 'g'), 1, 223) || '-'
+              || md5('reviewer-invite-' || event_id || '-' || regexp_replace(email, '[^a-z0-9]+', '-', 'g')) END AS idempotency_key
         FROM added JOIN v_team_events USING (event_id)""", "v_users", "v_team_members", "v_team_events"),
     "t10_role_members": b.sql(ROLES + "SELECT event_id, user_id, role FROM n", "v_team_members"),
     "t10_event_owners": b.sql(

@@ -399,7 +399,7 @@ ORACLE = {
           CASE WHEN p_partkey % 60 + 1 > 20 THEN 'aliases' END, CASE WHEN p_partkey % 60 + 1 > 50 THEN 'options' END,
           CASE WHEN p_partkey % 90 > 80 THEN 'field_count' END], lambda r: r IS NOT NULL), ',') AS reasons FROM part""",
     "p11_validate_events": """SELECT c_custkey, array_to_string(list_filter([
-          CASE WHEN c_custkey % 5 <> 0 AND NOT (length(c_name) * (c_custkey % 9) BETWEEN 1 AND 120) THEN 'title' END,
+          CASE WHEN c_custkey % 5 = 0 OR NOT (length(c_name) * (c_custkey % 9) BETWEEN 1 AND 120) THEN 'title' END,
           CASE WHEN length(c_mktsegment) * (c_custkey % 140) > 1000 THEN 'description' END],
           lambda r: r IS NOT NULL), ',') AS reasons FROM customer""",
     "p12_field_defaults": """SELECT CAST(p_partkey AS VARCHAR) AS field_id, p_partkey % 2 = 0 AND p_partkey % 3 = 0 AS required,

@@ -143,13 +143,13 @@ def redaction_patterns(any_bearer: bool = False, access_token: bool = False) ->
 
 
 def redact_text(
-    text: Column, limit: int = 600, any_bearer: bool = False, access_token: bool = False
+    text: Column, limit: int | None = None, any_bearer: bool = False, access_token: bool = False
 ) -> Column:
-    """Whitespace collapsed, secret values hidden, first `limit` characters kept."""
+    """Whitespace collapsed, secret values hidden, the first `limit` characters kept if given."""
     hidden = F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
     for pattern in redaction_patterns(any_bearer, access_token):
         hidden = F.regexp_replace(hidden, f"(?i){pattern}", "$1[redacted]")
-    return F.substring(hidden, 1, limit)
+    return hidden if limit is None else F.substring(hidden, 1, limit)
 
 
 def export_name(title: Column, suffix: str = "", fallback: str = "records-export") -> Column:

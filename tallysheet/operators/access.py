@@ -121,12 +121,14 @@ def roster_sync(
     )
     added = new.select("event_id", "user_id", F.lit("reviewer").alias("role"))
     safe = F.regexp_replace("email", "[^a-z0-9]+", "-")
+    # a longer key ends in a hash of the whole, so that invitees with a long common start differ
+    whole = F.concat_ws("-", F.lit("reviewer-invite"), F.col("event_id"), safe)
     outbox = lookup_join(
         new, events.select("event_id", "title"), "event_id", "inner", spread=["email"]
     ).select(
         "event_id", "title", F.col("email").alias("invitee"), "invited_by",
-        F.substring(
-            F.concat_ws("-", F.lit("reviewer-invite"), F.col("event_id"), safe), 1, 256
+        F.when(F.length(whole) <= 256, whole).otherwise(
+            F.concat(F.substring(whole, 1, 223), F.lit("-"), F.md5(whole.cast("binary")))
         ).alias("idempotency_key"),
     )
     return people, members.select("event_id", "user_id", "role").unionByName(added), outbox

@@ -91,7 +91,10 @@ def rename_keys(records: DataFrame, changes: DataFrame) -> DataFrame:
     old_keys = F.transform("renames", lambda r: r["old_key"])
     gone = F.array_union("removed", old_keys)
     touched = joined.filter(F.arrays_overlap(F.map_keys("data"), gone))
-    moved = F.filter("renames", lambda r: F.map_contains_key("data", r["old_key"]))
+    held = F.filter("renames", lambda r: F.map_contains_key("data", r["old_key"]))
+    # of several renames to one key the last wins
+    later = lambda i: F.transform(F.slice(held, i + 2, F.size(held)), lambda r: r["new_key"])
+    moved = F.filter(held, lambda r, i: ~F.array_contains(later(i), r["new_key"]))
     new_keys = F.transform(moved, lambda r: r["new_key"])
     kept = F.map_filter(
         "data", lambda k, v: ~F.array_contains(gone, k) & ~F.array_contains(new_keys, k)

@@ -205,11 +205,13 @@ def record_view(records: DataFrame, documents: DataFrame, users: DataFrame, cell
 # Limits of submitted rows, fields and events.
 MAX_BATCH, MAX_FIELDS, MAX_ALIASES, MAX_OPTIONS, MAX_LABEL = 250, 80, 20, 50, 80
 MAX_TITLE, MAX_DESCRIPTION = 120, 1000
+#: Columns that must not be null.
+REQUIRED = ("title", "label", "key", "type")
 
 
 def _reasons(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
-    """Codes of the broken rules; a rule that is null counts as kept."""
-    checks = [F.when(~ok, F.lit(code)) for code, ok in rules]
+    """Codes of the broken rules; a rule that is null counts as kept, but for required columns."""
+    checks = [F.when(~(F.coalesce(ok, F.lit(False)) if code in REQUIRED else ok), F.lit(code)) for code, ok in rules]
     return df.withColumn("reasons", F.array_compact(F.array(*checks)))
 
 

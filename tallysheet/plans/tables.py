@@ -21,8 +21,6 @@ from tallysheet.operators.matching import (
 from tallysheet.operators.ordered import carry_forward, number_rows
 from tallysheet.session import stage
 
-# Rows kept when a request names no count, and the most it may name.
-DEFAULT_ROW_COUNT, MAX_ROW_COUNT = 25, 100
 BAND = 4096
 
 
@@ -184,12 +182,11 @@ def table_rows(
 
 
 def keep_filled_rows(scored: DataFrame, documents: DataFrame, place: Sequence[str]) -> DataFrame:
-    """Drop rows without a populated cell, then keep the first rows of a document.
+    """Drop rows without a populated cell, then keep as many as a document asks for.
 
     One row per cell, with its row's page, confidence and places: `row_number` counts
     before the blank rows are dropped, `output_row` after. The limit is row_count of the
-    document, 25 when absent and never more than a request may ask for; ranking under
-    that fixed bound is cut down in every task before rows of a document meet.
+    document; without one all rows stay.
     """
     row = Window.partitionBy("document_id", *place)
     filled = is_populated(F.col("normalized_value"), F.col("value_kind"))
@@ -201,18 +198,15 @@ def keep_filled_rows(scored: DataFrame, documents: DataFrame, place: Sequence[st
         "page": F.max("page").over(row),
     }).filter(F.col("_filled") == 1)
     first = Window.partitionBy("document_id").orderBy(*place)
-    ranked = judged.withColumn("output_row", F.dense_rank().over(first)).filter(
-        F.col("output_row") <= MAX_ROW_COUNT
-    )
+    ranked = judged.withColumn("output_row", F.dense_rank().over(first))
     given = documents.columns
     wanted = documents.select(
         "document_id",
-        (F.coalesce("row_count", F.lit(DEFAULT_ROW_COUNT)) if "row_count" in given
-         else F.lit(DEFAULT_ROW_COUNT)).alias("_limit"),
+        (F.col("row_count") if "row_count" in given else F.lit(None).cast("int")).alias("_limit"),
         (F.col("page_start") if "page_start" in given else F.lit(None).cast("int")).alias("_page"),
     )
     return lookup_join(ranked, wanted, "document_id", spread=[*place, "field_id"]).filter(
-        F.col("output_row") <= F.col("_limit")
+        F.col("_limit").isNull() | (F.col("output_row") <= F.col("_limit"))
     ).withColumn("source_page", F.coalesce("page", "_page")).drop("_filled", "page", "_limit", "_page")
 
 

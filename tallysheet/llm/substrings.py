@@ -158,17 +158,6 @@ def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([key[count > 1].tobytes()], pa.binary())], ["keys"])
 
 
-def removal(raw: bytes, spans: np.ndarray, digest: bool) -> tuple[int, int, str]:
-    """Words, words removed, and the kept words joined by a space (or the SHA-256 of that)."""
-    words = raw.split()
-    gone = np.zeros(len(words) + 1, np.int64)
-    np.add.at(gone, spans[:, 0], 1)
-    np.add.at(gone, spans[:, 1], -1)
-    gone = np.cumsum(gone[:-1]) > 0
-    kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if len(spans) else words)
-    return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "surrogatepass")
-
-
 def _rows(kind: int, **columns) -> pa.RecordBatch:
     """Rows of one kind; the columns not given are null."""
     types = PACKED_TYPES if kind in (SPANS, PACKED) else TEXT_TYPES

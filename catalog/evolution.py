@@ -70,12 +70,18 @@ def q_u6(spark, sf):
 
 
 def q_x5(spark, sf):
+    """Two suggestions a field from the fifth on; the earlier, with one alias, is taken. Applied twice."""
     fields = b.template_fields(spark, sf)
-    found = fields.select(
-        "template_id", F.col("sort_order").alias("position"), F.col("label"), F.lit("text").alias("type"),
-        F.when(F.col("sort_order") > 4, F.concat(F.lit("new_"), "key")).otherwise(F.col("key")).alias("key"), "options",
+    again = F.explode(F.array(F.lit(20), F.lit(0))).alias("later")
+    found = fields.select("*", again).select(
+        "template_id", (F.col("sort_order") * 2 + F.col("later")).alias("position"), F.lit("text").alias("type"),
+        F.concat("label", F.col("later").cast("string")).alias("label"), "options",
+        F.when(F.col("sort_order") > 4, F.concat(F.lit("new_"), "key")).otherwise(F.col("key")).alias("key"),
+        F.when(F.col("later") == 0, F.array("label")).otherwise(F.array().cast("array<string>")).alias("aliases"),
     )
-    return evolution.apply_suggestions(fields, found).select("template_id", "key", "required", "sort_order")
+    once = evolution.apply_suggestions(fields, found)
+    return evolution.apply_suggestions(once, found).select(
+        "template_id", "key", "label", "required", "sort_order", F.array_join("aliases", ",").alias("aliases"))
 
 
 def _export(spark, sf):
@@ -224,8 +230,12 @@ ORACLE = {
     "u6_removed_fields": b.sql(
         "SELECT template_id, field_id FROM v_template_fields WHERE CAST(field_id AS BIGINT) % 5 = 0", "v_template_fields"),
     "x5_apply_suggestions": b.sql(
-        """SELECT template_id, key, required, sort_order FROM v_template_fields UNION ALL
-        SELECT template_id, 'new_' || key, false, CAST(8 + sort_order AS INTEGER) FROM v_template_fields WHERE sort_order > 4""",
+        """SELECT template_id, key, label, required, sort_order, '' AS aliases FROM v_template_fields UNION ALL
+        SELECT template_id, 'new_' || key, label || '0', false,
+          CAST((SELECT count(*) FROM v_template_fields n WHERE n.template_id = f.template_id)
+            + row_number() OVER (PARTITION BY template_id ORDER BY sort_order, key) AS INTEGER), label
+        FROM v_template_fields f WHERE sort_order > 4
+        QUALIFY row_number() OVER (PARTITION BY template_id, key ORDER BY sort_order) = 1""",
         "v_template_fields"),
     "s1_stored_cells": b.sql(
         "SELECT record_id, field_id, normalized_value, confidence, issue_count, CAST(NULL AS VARCHAR) AS raw_value FROM v_cells", "v_cells"),

@@ -614,17 +614,18 @@ ORACLE["n7_match_score"] = f"""WITH p AS (SELECT p_partkey, {_TERM.format('p_nam
   SELECT p_partkey, score, CAST(CASE WHEN score = 0 THEN 96 WHEN score <= 4 THEN 90 WHEN score <= 8 THEN 82 ELSE 72 END AS INTEGER) AS confidence_pct FROM s"""
 
 
-def _type_values(spark, sf):
-    text = F.when(F.col("p_size") % 5 == 0, F.col("p_type")).otherwise(F.col("p_size").cast("string"))
-    return b.table(spark, sf, "part").select(
-        F.call_function("div", F.col("p_partkey"), F.lit(3)).alias("column"), "p_partkey",
-        F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("a@b."), F.col("p_name"))).otherwise(text).alias("text"),
-    )
-
-
 def q_x3(spark, sf):
-    sampled = discovery.sample_values(_type_values(spark, sf), ["column"], ["p_partkey"])
-    return sampled.select("column", discovery.infer_type(F.col("samples")).alias("type"))
+    """Columns of the parts, most with far more than eight values; one in five ends in a value of another kind."""
+    column, size = F.col("p_partkey") % 35, F.col("p_size").cast("string")
+    odd = (F.col("p_partkey") > 105) & (column % 5 == 4)
+    text = (
+        F.when(odd, "odd one").when(column % 7 < 2, size).when(column % 7 == 2, F.concat(size, F.lit("@example.org")))
+        .when(column % 7 < 5, F.split("p_name", " ")[0]).when(column % 7 == 5, (F.col("p_size") % 8).cast("string"))
+        .otherwise(F.concat(F.lit("kind "), (F.col("p_size") % 8).cast("string")))
+    )
+    values = b.table(spark, sf, "part").select(column.alias("column"), "p_partkey", text.alias("text"))
+    found = discovery.describe_columns(values, ["column"], ["p_partkey"])
+    return found.select("column", "type", F.array_join("options", ",").alias("options"), F.array_join("samples", ",").alias("samples"))
 
 
 def q_w3(spark, sf):
@@ -664,7 +665,18 @@ QUERIES.update({
     "x3_infer_type": q_x3, "w3_best_match": q_w3, "j6_match_pairs": q_j6, "j8_block_links": q_j8,
     "p7_filled_rows": q_p7,
 })
-ORACLE["x3_infer_type"] = ORACLE["a14_column_types"]
+ORACLE["x3_infer_type"] = r"""WITH v AS (SELECT p_partkey, p_partkey % 35 AS "column",
+    CASE WHEN p_partkey > 105 AND p_partkey % 35 % 5 = 4 THEN 'odd one' WHEN p_partkey % 35 % 7 < 2 THEN CAST(p_size AS VARCHAR)
+      WHEN p_partkey % 35 % 7 = 2 THEN p_size || '@example.org' WHEN p_partkey % 35 % 7 < 5 THEN string_split(p_name, ' ')[1]
+      WHEN p_partkey % 35 % 7 = 5 THEN CAST(p_size % 8 AS VARCHAR) ELSE 'kind ' || (p_size % 8) END AS t FROM part),
+  d AS (SELECT "column", t, min(p_partkey) AS p FROM v GROUP BY ALL),
+  k AS (SELECT "column", CASE WHEN bool_and(regexp_matches(t, '^-?[0-9]+(\.[0-9]+)?$')) THEN 'number'
+      WHEN bool_and(regexp_matches(t, '^[^\s@]+@[^\s@]+\.[^\s@]+$')) THEN 'email'
+      WHEN count(DISTINCT lower(t)) BETWEEN 2 AND 8 THEN 'select' ELSE 'text' END AS type,
+      string_agg(t, ',' ORDER BY p) AS every FROM d GROUP BY ALL),
+  s AS (SELECT "column", string_agg(t, ',' ORDER BY p) AS samples FROM (
+      SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY p) <= 8) GROUP BY ALL)
+  SELECT "column", type, CASE WHEN type = 'select' THEN every ELSE '' END AS options, samples FROM k JOIN s USING ("column")"""
 ORACLE["w3_best_match"] = (
     f"SELECT field_id, arg_min(header_id, (score, header_id)) AS header_id, min(score) AS score "
     f"FROM ({ORACLE['j5_match_headers']}) GROUP BY field_id"

@@ -38,11 +38,13 @@ def q_t2(spark, sf):
 
 def _edits(spark, sf):
     k = F.col("o_orderkey")
+    last = F.create_map(F.lit("f1"), (k % 50).cast("string"), F.lit("f2"), F.col("o_orderpriority"),
+                        F.lit("zz"), F.lit("not a field"))
+    earlier = F.create_map(F.lit("f1"), F.lit("earlier"), F.lit("f3"), F.col("o_orderpriority"))
+    made = F.array(F.struct(F.lit(2).alias("at"), last.alias("data")), F.struct(F.lit(1).alias("at"), earlier.alias("data")))
     return b.table(spark, sf, "orders").filter(k % 11 == 0).select(
-        k.cast("string").alias("record_id"),
-        F.create_map(F.lit("f1"), (k % 50).cast("string"), F.lit("f2"), F.col("o_orderpriority"),
-                     F.lit("zz"), F.lit("not a field")).alias("data"),
-    )
+        k.cast("string").alias("record_id"), F.explode(made).alias("e")
+    ).select("record_id", "e.*")
 
 
 def _edited(spark, sf):
@@ -51,7 +53,7 @@ def _edited(spark, sf):
         "confidence", "issues",
     )
     return v.apply_cell_edits(
-        b.records_with_data(spark, sf), cells, _edits(spark, sf), b.event_fields(spark, sf)
+        b.records_with_data(spark, sf), cells, _edits(spark, sf), b.event_fields(spark, sf), [F.col("at")]
     )
 
 

@@ -207,7 +207,7 @@ def reorder_fields(fields: DataFrame, order: list[Column]) -> DataFrame:
     return fields.withColumn("sort_order", F.row_number().over(place))
 
 
-def upsert_users(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """S12 on the e-mail of a user; nulls keep what is stored."""
+def upsert_users(users: DataFrame, changes: DataFrame, latest: list[Column]) -> DataFrame:
+    """S12 on the e-mail of a user; nulls keep what is stored, the last change by `latest` wins."""
     others = [c for c in users.columns if c != "email"]
-    return upsert_by_key(users, changes, ["email"], keep_old_when_null=others)
+    return upsert_by_key(users, changes, ["email"], latest, keep_old_when_null=others)

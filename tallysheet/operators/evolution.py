@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallysheet.operators.joins import lookup_join
@@ -121,15 +121,23 @@ def evolve_template(
 
 
 def apply_suggestions(fields: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Suggestions with a new key are appended as optional fields after the last one."""
-    last = fields.groupBy("template_id").agg(F.max("sort_order").alias("_last"))
-    new = (
-        suggestions.join(fields.select("template_id", "key"), ["template_id", "key"], "left_anti")
-        .join(last, "template_id", "left")
-        .select(
-            "template_id", "key", "label", "type", F.lit(False).alias("required"),
-            (F.coalesce("_last", F.lit(0)) + F.col("position")).cast("int").alias("sort_order"),
-            "options",
-        )
+    """Suggestions with a new key are appended as optional fields.
+
+    The first suggestion of a key by position is taken. Added fields are numbered on from
+    the number of fields, without gaps, and keep their aliases. Applied again, nothing is added.
+    """
+    none = F.array().cast("array<string>")
+    given = fields if "aliases" in fields.columns else fields.withColumn("aliases", none)
+    offered = suggestions if "aliases" in suggestions.columns else suggestions.withColumn("aliases", none)
+    counts = fields.groupBy("template_id").agg(F.count("*").alias("_fields"))
+    first = offered.join(fields.select("template_id", "key"), ["template_id", "key"], "left_anti").groupBy(
+        "template_id", "key"
+    ).agg(F.min(F.struct("position", "label", "type", "options", "aliases")).alias("_s"))
+    # a template has at most 80 fields
+    place = F.row_number().over(Window.partitionBy("template_id").orderBy("_s.position", "key"))
+    new = first.withColumn("_place", place).join(counts, "template_id", "left").select(
+        "template_id", "key", "_s.label", "_s.type", F.lit(False).alias("required"),
+        (F.coalesce("_fields", F.lit(0)) + F.col("_place")).cast("int").alias("sort_order"),
+        "_s.options", "_s.aliases",
     )
-    return fields.select(*new.columns).unionByName(new)
+    return given.select(*new.columns).unionByName(new)

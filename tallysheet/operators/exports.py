@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallysheet.functions.numeric import confidence_label
 from tallysheet.operators.joins import lookup_join
-from tallysheet.operators.ordered import number_rows
+from tallysheet.operators.ordered import number_rows_by_range
 from tallysheet.operators.review import export_order, label_map
 from tallysheet.schemas import STATUS_LABELS
 
@@ -52,7 +52,8 @@ def full_lines(
     """One CSV line per record, and line 0 with the headers of each event.
 
     `line_no` follows row number, then creation (O2). Lines of an event are numbered in
-    bands of row numbers, so a large event is not one task.
+    sampled ranges of that order, so neither a large event nor a row number that every
+    document has is one task.
     """
     titled = lookup_join(records, events.select("event_id", "title"), "event_id", spread=["record_id"])
     named = lookup_join(titled, documents.select("document_id", "file_name"), "document_id", spread=["record_id"])
@@ -62,9 +63,7 @@ def full_lines(
         F.coalesce(F.try_element_at(label_map(STATUS_LABELS), F.col("status")), F.lit("")),
         confidence_label(F.col("confidence")), F.coalesce("file_name", F.lit("")),
     )
-    numbered = number_rows(
-        wide, ["event_id"], export_order(), F.coalesce("row_number", F.lit(2_147_483_647)), "line_no"
-    )
+    numbered = number_rows_by_range(wide, ["event_id"], export_order(), "line_no")
     body = numbered.select(
         "event_id", "line_no", _lines(F.concat(leading, _values()), escape_formulas).alias("line")
     )

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallysheet.session import stage
+
 
 def number_rows(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], band: Column, name: str
@@ -35,6 +37,15 @@ def number_rows(
     )
 
 
+def number_rows_by_range(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """1..n per group in `order` where no column makes good bands: ranges of sampled bounds are the bands.
+
+    The order must be unique in a group. The ranges are written once, so that counts and rows agree.
+    """
+    ranged = df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_band", F.spark_partition_id())
+    return number_rows(stage(ranged), group, order, F.col("_band"), name)
+
+
 def carry_forward(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], band: Column,
     value: Column, name: str,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,12 +55,14 @@ def project_to_template(data: Column, keys: Column) -> Column:
     )
 
 
-def apply_cell_edits(records: DataFrame, cells: DataFrame, edits: DataFrame, fields: DataFrame
-                     ) -> tuple[DataFrame, DataFrame]:
+def apply_cell_edits(records: DataFrame, cells: DataFrame, edits: DataFrame, fields: DataFrame,
+                     latest: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
     """An edited record is projected to its template and every template cell rewritten.
 
-    `edits`: record_id, data; `fields`: template rows with event_id, field_id, key.
+    `edits`: record_id, data and the columns of `latest`, by which the last edit of a record
+    wins; `fields`: template rows with event_id, field_id, key.
     """
+    edits = edits.groupBy("record_id").agg(F.max_by("data", F.struct(*latest)).alias("data"))
     template = fields.groupBy("event_id").agg(
         F.sort_array(F.collect_list(F.struct("sort_order", "field_id", "key"))).alias("_fields")
     )
@@ -85,7 +89,8 @@ def apply_cell_edits(records: DataFrame, cells: DataFrame, edits: DataFrame, fie
         F.coalesce("_new", "data").alias("data"),
         F.when(F.col("_new").isNotNull(), 1.0).otherwise(F.col("confidence")).alias("confidence"),
     )
-    return new_records, upsert_by_key(cells, rewritten.select(*cells.columns), ["record_id", "field_id"])
+    return new_records, upsert_by_key(
+        cells, rewritten.select(*cells.columns), ["record_id", "field_id"], [F.col("raw_value")])
 
 
 def reopen_on_edit(records: DataFrame, edits: DataFrame) -> DataFrame:

@@ -11,31 +11,31 @@ from tallysheet.functions.text import redact_text
 
 
 def upsert_by_key(
-    target: DataFrame, changes: DataFrame, keys: Sequence[str],
-    keep_old_when_null: Sequence[str] = (), latest: Sequence[Column] = (),
+    target: DataFrame, changes: DataFrame, keys: Sequence[str], latest: Sequence[Column],
+    keep_old_when_null: Sequence[str] = (),
 ) -> DataFrame:
     """Insert or update on a unique key.
 
-    Several changes of one key collapse to the last one by `latest` before the shuffle
-    join. Columns in `keep_old_when_null` keep the stored value when the change is null.
+    Several changes of one key collapse to the last one by `latest`. Stored rows without a
+    change pass an anti join and stay where they are while the changed keys are few enough
+    to broadcast; only the others are merged. Columns in `keep_old_when_null` keep the
+    stored value when the change is null.
     """
     columns = target.columns
     values = [c for c in columns if c not in keys]
-    if latest:
-        newest = F.max_by(F.struct(*values), F.struct(*latest)).alias("_new")
-    else:
-        newest = F.first(F.struct(*values)).alias("_new")
-    incoming = changes.groupBy(*keys).agg(newest)
-    stored = target.select(*keys, F.struct(*values).alias("_old"))
-    merged = stored.join(incoming, list(keys), "full")
+    incoming = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*latest)).alias("_new"))
+    changed = incoming.select(*keys)
+    untouched = target.join(changed, list(keys), "left_anti").select(*columns)
+    stored = target.join(changed, list(keys), "left_semi").select(*keys, F.struct(*values).alias("_old"))
+    merged = incoming.join(stored, list(keys), "left")
 
     def pick(column: str) -> Column:
         new, old = F.col(f"_new.{column}"), F.col(f"_old.{column}")
         if column in keep_old_when_null:
             return F.coalesce(new, old).alias(column)
-        return F.when(F.col("_new").isNotNull(), new).otherwise(old).alias(column)
+        return new.alias(column)
 
-    return merged.select(*[F.col(c) if c in keys else pick(c) for c in columns])
+    return untouched.unionByName(merged.select(*[F.col(c) if c in keys else pick(c) for c in columns]))
 
 
 def replace_by_document(

@@ -197,8 +197,10 @@ def keep_filled_rows(scored: DataFrame, documents: DataFrame, place: Sequence[st
         ),
         "page": F.max("page").over(row),
     }).filter(F.col("_filled") == 1)
-    first = Window.partitionBy("document_id").orderBy(*place)
-    ranked = judged.withColumn("output_row", F.dense_rank().over(first))
+    at = ["document_id", *place]
+    band = F.struct(*place[:-1], int_div(F.col(place[-1]), F.lit(BAND)).alias("b"))
+    numbers = number_rows(judged.select(*at).distinct(), ["document_id"], [F.col(p) for p in place], band, "output_row")
+    ranked = judged.join(numbers.withColumn("output_row", F.col("output_row").cast("int")), at)
     given = documents.columns
     wanted = documents.select(
         "document_id",

@@ -99,3 +99,13 @@ def test_medians(spark):
     got = df.select(geometry.array_median(F.col("v"), 10.0).alias("a"), geometry.array_upper_median(F.col("v"), 16.0).alias("b")).collect()
     assert [tuple(r) for r in got] == [(2.5, 3.0), (0.0, 5.0), (10.0, 16.0)]
     assert np.median([4, 1, 3, 2]) == 2.5
+
+
+def test_rows_of_equal_numbers_are_spread_over_ranges(spark):
+    from tallysheet.operators.ordered import number_rows_by_range
+
+    rows = spark.range(0, 100_000, 1, 8).select(F.lit(1).alias("g"), F.lit(1).alias("row_number"), F.col("id").alias("k"))
+    spread = rows.repartitionByRange(F.col("g"), F.col("row_number"), F.col("k")).groupBy(F.spark_partition_id().alias("b")).count()
+    assert spread.count() > 1 and spread.agg(F.max("count")).first()[0] < 60_000
+    numbered = number_rows_by_range(rows, ["g"], [F.col("row_number"), F.col("k")], "n")
+    assert numbered.filter(F.col("n") != F.col("k") + 1).count() == 0 and numbered.count() == 100_000

@@ -15,8 +15,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     label, so the rounds grow with the logarithm of the longest path. Rounds are written to
     the shared folder. Partial minima are taken before every shuffle. Null ends are ignored.
     """
-    ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    both = stage(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    # both directions from one reading of the links, whose making may be long
+    ways = F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))
+    both = stage(links.select(F.explode(ways).alias("way")).select("way.*").filter("u <> v").distinct())
     # the first round needs no join: the neighbours' labels are the neighbours
     labels = stage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
     while True:

@@ -177,6 +177,49 @@ def test_fuzzy_lines_against_all_pairs(spark):
         assert found[i] == "\n".join(texts[k] for k in range(4 * i, 4 * i + 4) if label[k] == k)
 
 
+def changed_lines(rng, sizes, copies):
+    """Lines of so many random words, and copies with one word changed."""
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+
+    texts = []
+    for size in sizes:
+        line = [word() for _ in range(size)]
+        texts.append(" ".join(line))
+        for _ in range(copies):
+            own = list(line)
+            own[rng.randrange(size)] = word()
+            texts.append(" ".join(own))
+    return texts
+
+
+def test_fuzzy_lines_by_edit_similarity_alone(spark):
+    rng = random.Random(12)
+    texts = changed_lines(rng, [5, 8, 12, 20, 30, 50] * 25, 1)
+    pairs = [(a, a + 1) for a in range(0, len(texts), 2) if lines.alike(texts[a], texts[a + 1], 0.8)]
+    assert len(pairs) > 120 and {len(texts[a].split()) for a, _ in pairs} == {5, 8, 12, 20, 30, 50}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    found = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()}
+    gone = {i for i, n in found.items() if n}
+    assert gone <= {b for _, b in pairs}
+    assert len(gone) >= 0.97 * len(pairs)
+
+
+def test_many_alike_lines_of_one_band(spark):
+    rng = random.Random(13)
+    texts = changed_lines(rng, [40], 300) + changed_lines(rng, [7], 100)
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if label[a] != label[b] and lines.alike(texts[a], texts[b], 0.8):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    found = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()}
+    assert all(label[i] != i for i, n in found.items() if n)
+    assert sum(found.values()) >= 0.99 * sum(x != i for i, x in enumerate(label))
+
+
 def test_neighbours(spark, docs):
     some = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     texts = dict(sorted((r.doc_id, r.text or "") for r in some.collect()))

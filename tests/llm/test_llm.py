@@ -220,6 +220,17 @@ def test_many_alike_lines_of_one_band(spark):
     assert sum(found.values()) >= 0.99 * sum(x != i for i, x in enumerate(label))
 
 
+def test_lines_of_few_words(spark):
+    rng = random.Random(14)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60))
+    near = chinese[:30] + "\u4e00\u4e01" + chinese[32:]
+    address = "https://h1.example.com/" + "".join(rng.choice("abcdefgh") for _ in range(60))
+    texts = ["Cookie Policy\n" + prose(rng, 9), "cookie policy!\n" + prose(rng, 9), chinese, near, address, address, "Login", "Login", "Impressum", "IMPRESSUM"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()}
+    assert found == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 1, 6: 0, 7: 0, 8: 0, 9: 1}
+
+
 def test_neighbours(spark, docs):
     some = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     texts = dict(sorted((r.doc_id, r.text or "") for r in some.collect()))

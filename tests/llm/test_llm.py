@@ -266,6 +266,23 @@ def test_toxicity(spark):
     assert {r.score for r in none.collect()} == {0.0}
 
 
+def test_obfuscated_words_are_read():
+    words = "idiot stupid useless assent booby".split()
+    counts = sum(toxicity.trigrams(w.encode()) for w in words) * 1.0
+    counts = counts / counts.sum() + 2 * (x := toxicity.trigrams(" ".join(WORDS * 3 + ["a", "you"]).encode())) / x.sum()
+    reader = toxicity.Reader({"=" + w: 3.0 for w in [*words, "ass", "boob"]}, toxicity.log_model(counts * 10_000))
+
+    def read(text):
+        return reader.features(text)[1] == 3.0
+
+    for text in (
+        "5tupid", "1diot", "!diot", "useles5", "u5el355", "a55", "b00b", "i d 1 0 t", "i.d.1.0.t", "a i d i o t", "idi ot", "i di ot",
+        "idi ot.", "(1di ot)", "i, d, i, o, t!", "i_d_i_o_t", "s t u p 1 d", "idiot!", "st*pid", "iiidiot", "i*d*i*o*t", "idi.ot",
+    ):
+        assert read(text) and read(f"under the river {text} cloud paper"), text
+    assert not any(read(x) for x in ("", "the river under", "seven 7 of 10", "2nd winter", "a b c d"))
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (5 + i % 7), "en", "big" if i % 10 else ("small" if i % 20 else None)) for i in range(2000)] + [(5000, None, "en", "empty")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")

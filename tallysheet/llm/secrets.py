@@ -1,6 +1,7 @@
 """Secret scans: candidates are judged by a random forest, so that false positives go.
 
-Candidates are words whose core of 12 or more of ``[A-Za-z0-9_+/.@-]`` has a digit. A
+Candidates are all cores of a word, that is 12 or more of ``[A-Za-z0-9_+/.@-]`` with a digit,
+and whatever is assigned to a name of credentials (``password = "hunter2"``). A
 candidate's features are its length and kinds of characters, its transitions between kinds
 of characters and between vowels and consonants, the share covered by dictionary words
 (the most frequent words of the corpus, counted over all documents), its path (the source,
@@ -30,6 +31,14 @@ CORE = r"(?=[A-Za-z_+/.@-]*[0-9])[A-Za-z0-9_+/.@-]{12,}"
 WHITE = r"[\x20\x09-\x0D]+"
 #: Words that name credentials.
 NAMES = r"token|secret|password|passwd|pwd|api_?key|access_?key|credential|auth"
+#: The start of a word whose assignment stands in the words before it.
+LED = "\u0001"
+#: What is assigned to a name of credentials, in the word itself or in those before.
+VALUE = (
+    rf"(?:(?<=(?i:{NAMES})[A-Za-z0-9_-]{{0,20}}[\"']?[=:]{{1,2}}[\"']{{0,1}})|(?<=^{LED}[=:]{{0,2}}[\"']{{0,1}}))"
+    rf"[^\x20\x09-\x0D{LED}\"'`,;&<>(){{}}\[\]=:][^\x20\x09-\x0D\"'`,;&<>(){{}}\[\]]*"
+)
+CANDIDATE = f"{VALUE}|{CORE}"
 MAX_FINDINGS = 20_000
 DICTIONARY = 400
 FEATURES = (
@@ -46,17 +55,30 @@ def dictionary(docs: DataFrame, text_col: str, size: int = DICTIONARY) -> list[s
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
-    """Columns id, place (number of the word in the text), value, before, before2, after, path."""
+    """Columns id, path, place (number of the word in the text), part (number of the candidate in the word), value, word, before, before2, after.
+
+    ``word`` is the candidate with what stands before it in its word, up to the candidate
+    before, and one character after it; all the rest after the last one.
+    """
     some = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[path_col].cast("string").alias("path"))
-    some = some.filter(F.col("text").rlike(CORE)).select("id", "path", F.split("text", WHITE).alias("words"))
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.col("words")[i].rlike(CORE))
-    at = lambda k: F.coalesce(F.try_element_at("words", F.greatest(F.col("place") + 1 + k, F.lit(1))), F.lit(""))
-    found = some.withColumn("place", F.explode(places))
-    return found.select(
-        "id", "path", "place", at(0).alias("word"), F.regexp_extract(at(0), f"({CORE})", 1).alias("value"),
-        F.when(F.col("place") > 0, at(-1)).otherwise("").alias("before"),
-        F.when(F.col("place") > 1, at(-2)).otherwise("").alias("before2"), at(1).alias("after"),
+    some = some.filter(F.col("text").rlike(CORE) | F.col("text").rlike(f"(?i){NAMES}")).select("id", "path", F.split("text", WHITE).alias("words"))
+    at = lambda i: F.when(i >= 0, F.coalesce(F.get("words", i), F.lit(""))).otherwise("")
+    near = F.transform("words", lambda word, i: F.struct(i.alias("place"), word.alias("all"), at(i - 1).alias("before"), at(i - 2).alias("before2"), at(i + 1).alias("after")))
+    found = some.select("id", "path", F.explode(near).alias("near")).select("id", "path", "near.*")
+    led = F.concat_ws(" ", "before2", "before").rlike(rf"(?i)({NAMES})[\w-]*[\"']? ?[=:]{{1,2}}$") | (
+        F.col("before").rlike(rf"(?i)({NAMES})[\w-]*[\"']?$") & F.col("all").rlike("^[=:]{1,2}[^=:]")
     )
+    marked = found.withColumn("all", F.concat(F.when(led, F.lit(LED)).otherwise(""), F.col("all"))).filter(F.col("all").rlike(CANDIDATE))
+    cut = marked.withColumn("values", F.regexp_extract_all("all", F.lit(CANDIDATE), 0)).withColumn("around", F.split("all", CANDIDATE, -1))
+    last = F.size("values") - 1
+    head = lambda k: F.regexp_replace(F.replace(F.get("around", k), F.lit(LED), F.lit("")), F.when(k > 0, F.lit("^[^A-Za-z_]+(?=[A-Za-z_])")).otherwise(F.lit("^$")), F.lit(""))
+    tail = lambda k: F.when(k == last, F.get("around", k + 1)).otherwise(F.substring(F.get("around", k + 1), 1, 1))
+    parts = F.transform("values", lambda v, k: F.struct(
+        k.alias("part"), v.alias("value"), F.concat(head(k), v, tail(k)).alias("word"),
+        F.when(k > 0, F.get("values", k - 1)).otherwise(F.col("before")).alias("before"), F.when(k > 0, F.lit("")).otherwise(F.col("before2")).alias("before2"),
+        F.when(k < last, F.get("values", k + 1)).otherwise(F.col("after")).alias("after"),
+    ))
+    return cut.select("id", "path", "place", F.explode(parts).alias("found")).select("id", "path", "place", "found.*")
 
 
 def _share(pattern: str, value: Column) -> Column:
@@ -78,7 +100,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "hex_only": low.rlike("^[0-9a-f]+$"), "dictionary_share": in_dictionary / F.length(value),
         "path": F.crc32(F.coalesce("path", F.lit("")).cast("binary")) % 64,
         "named": F.lower(F.concat_ws(" ", "before2", "before", "word")).rlike(NAMES),
-        "assigned": F.col("before").rlike("[=:]$") | F.col("word").rlike("^[A-Za-z_]+[=:]"),
+        "assigned": F.col("before").rlike("[=:]$") | F.col("word").rlike("^[^A-Za-z0-9_]*[A-Za-z_-]+[\"']?[=:]"),
         "quoted": F.col("word").rlike("^[A-Za-z_]*[=:]?[\"'].*[\"']"),
         "before_length": F.length("before"), "after_length": F.length("after"),
         "has_at": value.contains("@"), "has_dot": value.contains("."),
@@ -90,7 +112,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
 def certain_label() -> Column:
     """1 for forms that are credentials, 0 for forms that are not, null for others."""
     text = F.concat_ws(" ", "before2", "before", "word")
-    credential = F.lower(text).rlike(rf"({NAMES})\w* ?[=:] ?[\"']?[a-z0-9_+/-]{{12,}}") | F.col("value").rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$")
+    credential = F.lower(text).rlike(rf"({NAMES})\w*[\"']? ?[=:] ?[\"']?[a-z0-9_+/-]{{12,}}") | F.col("value").rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$")
     other = F.col("value").rlike(r"@[\w-]+(\.[\w-]+)+$|^[0-9.+/-]+$|^[0-9]{13,19}$")
     return F.when(credential, 1).when(other, 0)
 
@@ -98,7 +120,7 @@ def certain_label() -> Column:
 def train(findings: DataFrame, label: Column, max_findings: int = MAX_FINDINGS, trees: int = 24, depth: int = 6, seed: int = 7) -> RandomForestClassificationModel | float | None:
     """A forest from the findings with a label; the label itself if there is only one; None without any."""
     labelled = findings.withColumn("label", label.cast("double")).filter("label is not null")
-    sample = stage(labelled.orderBy(F.crc32(F.concat_ws("/", "id", "place").cast("binary")), "id", "place", "value").limit(max_findings).select("label", *FEATURES))
+    sample = stage(labelled.orderBy(F.crc32(F.concat_ws("/", "id", "place").cast("binary")), "id", "place", "part", "value").limit(max_findings).select("label", *FEATURES))
     classes = sorted(r["label"] for r in sample.select("label").distinct().limit(3).collect())
     if len(classes) < 2:
         return classes[0] if classes else None
@@ -115,9 +137,9 @@ def score(findings: DataFrame, model: RandomForestClassificationModel | float |
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", labels: DataFrame | None = None, threshold: float = 0.5, max_findings: int = MAX_FINDINGS) -> DataFrame:
-    """Columns id_col, place, value, score, is_secret: every candidate with the forest's verdict.
+    """Columns id_col, place, part, value, score, is_secret: every candidate with the forest's verdict.
 
-    labels: columns id, place, label of findings already judged; without them certain_label
+    labels: columns id, place, label of findings already judged, and part if a word has several; without them certain_label
     is used on the documents whose crc32(id as text) mod 4 is not 2.
     """
     found = stage(features(candidates(docs, id_col, text_col, path_col), dictionary(docs, text_col)))
@@ -125,6 +147,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
         kept = F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2
         model = train(found, F.when(kept, certain_label()), max_findings)
     else:
-        model = train(found.join(labels.select("id", "place", F.col("label").alias("given")), ["id", "place"]), F.col("given"), max_findings)
+        where = [c for c in ("id", "place", "part") if c in labels.columns]
+        model = train(found.join(labels.select(*where, F.col("label").alias("given")), where), F.col("given"), max_findings)
     judged = score(found, model)
-    return judged.select(F.col("id").alias(id_col), "place", "value", "score", (F.col("score") >= threshold).alias("is_secret"))
+    return judged.select(F.col("id").alias(id_col), "place", "part", "value", "score", (F.col("score") >= threshold).alias("is_secret"))

@@ -337,6 +337,24 @@ def test_secrets(spark):
     assert secrets.scan(docs.filter("false")).count() == 0
 
 
+def test_all_candidates_of_a_word(spark):
+    a, b = "a1b2c3d4e5f6a7", "9f8e7d6c5b4a39281706"
+    wanted = {
+        f'{{"id":"{a}","token":"{b}"}}': [a, b], f"https://h1.example.com/path?token={b}": ["//h1.example.com/path", b],
+        'password = "hunter2" then': ["hunter2"], "pwd: swordfish": ["swordfish"], 'x "password":"hunter2","user":"me"': ["hunter2"],
+        "secret =hunter2": ["hunter2"], "PASSWORD=correct-horse next": ["correct-horse"], f'token = "{b}" on': [b],
+        ",".join([a, b] * 50): [a, b] * 50, "the password is not here": [], "plain words": [],
+    }
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(wanted)], "doc_id bigint, text string, source string")
+    found = collections.defaultdict(list)
+    for r in secrets.candidates(docs, "doc_id", "text", "source").orderBy("id", "place", "part").collect():
+        found[r.id].append(r.value)
+    assert [found[i] for i in range(len(wanted))] == list(wanted.values())
+    named = {r.value: r.named for r in secrets.features(secrets.candidates(docs.filter("doc_id = 0"), "doc_id", "text", "source"), []).collect()}
+    assert named == {a: 0.0, b: 1.0}
+    assert {"place", "part"} <= set(secrets.scan(docs).columns)
+
+
 def test_bpe_round_trip(spark, docs):
     import public_tokenizers
     import tiktoken

@@ -13,6 +13,7 @@ from tallysheet.llm.ngram_join import jaccard_groups
 from tallysheet.llm.quality import quality_stats
 from tallysheet.llm.secrets import scan
 from tallysheet.llm.sharding import assign_shards
+from tallysheet.llm.simhash import simhash_groups
 from tallysheet.llm.spotsigs import neighbour_likeness
 from tallysheet.llm.substrings import remove_repeated_windows
 from tallysheet.llm.toxicity import toxicity
@@ -72,6 +73,11 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def q_op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of near copies of every document."""
+    return simhash_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_quality": q_op1,
     "op2_bpe_round_trip": q_op2,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_super_kmer_dedup": q_op8,
     "op9_temperature_mixing": q_op9,
     "op10_noisy_channel_toxicity": q_op10,
+    "op11_gray_simhash_groups": q_op11,
 }
 
 ORACLE: dict[str, str] = {}

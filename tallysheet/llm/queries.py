@@ -10,7 +10,9 @@ from tallysheet.llm.bpe import Vocabulary, round_trip
 from tallysheet.llm.lines import dedup_lines
 from tallysheet.llm.mixing import mixed
 from tallysheet.llm.ngram_join import jaccard_groups
+from tallysheet.llm.phrases import best_phrases
 from tallysheet.llm.quality import quality_stats
+from tallysheet.llm.ranked_search import ranked_search
 from tallysheet.llm.secrets import scan
 from tallysheet.llm.sharding import assign_shards
 from tallysheet.llm.simhash import simhash_groups
@@ -78,6 +80,16 @@ def q_op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def q_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language."""
+    return best_phrases(documents(spark, sf_dir)).drop("cut")
+
+
+def q_op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first documents for each benchmark item."""
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_quality": q_op1,
     "op2_bpe_round_trip": q_op2,
@@ -90,6 +102,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_temperature_mixing": q_op9,
     "op10_noisy_channel_toxicity": q_op10,
     "op11_gray_simhash_groups": q_op11,
+    "op12_son_collocations": q_op12,
+    "op13_pipelined_search": q_op13,
 }
 
-ORACLE: dict[str, str] = {}
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+TERMS = rf"regexp_extract_all(translate(text, {LETTERS}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op12_son_collocations": rf"""
+        with pieces as (
+          select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, {LETTERS}), '[.,;:!?\x0A-\x0D]')) as piece
+          from documents
+        ), words as (
+          select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+        ), runs as (
+          select lang, 1 as k, unnest(w) as phrase from words
+          union all select lang, 2, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) from words
+          union all select lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) from words
+        ), counts as (
+          select lang, k, phrase, count(*) as f from runs group by all
+        ), totals as (
+          select lang, sum(f)::bigint as n from counts where k = 1 group by lang
+        ), candidates as (
+          select lang, k, phrase, f as a, string_split(phrase, ' ') as w from counts where k > 1 and f >= 10
+        ), cuts as (
+          select lang, phrase, a, w, unnest(range(1, k)) as cut from candidates
+        ), scored as (
+          select c.lang, c.phrase, c.a, c.cut, x.f as l, y.f as r, (1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f) as score
+          from cuts c
+          join counts x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.cut], ' ')
+          join counts y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+        ), lowest as (
+          select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+        ), inside as (
+          select lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as phrase, a as longer from candidates where k = 3
+        ), kept as (
+          select * from lowest s
+          where not exists (select 1 from inside i where i.lang = s.lang and i.phrase = s.phrase and 100 * i.longer >= 50 * s.a)
+        ), ranked as (
+          select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+        )
+        select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000""",
+    "op13_pipelined_search": rf"""
+        with docs as (
+          select row_number() over () as u, doc_id, {TERMS} as ts from documents where text is not null
+        ), texts as (
+          select u, doc_id, ts, len(ts) as n from docs where len(ts) > 0
+        ), size as (
+          select count(*) as n_docs, sum(n)::bigint as n_terms from texts
+        ), postings as (
+          select u, doc_id, n, term, count(*) as tf from (select u, doc_id, n, unnest(ts) as term from texts) group by all
+        ), wanted as (
+          select item_id, term, count(*) as times from (select item_id, unnest({TERMS}) as term from benchmark) group by all
+        ), weights as (
+          select term, floor(1000 * ln((2.0::double * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as weight
+          from postings, size where term in (select term from wanted) group by term
+        ), scores as (
+          select item_id, u, doc_id,
+            sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+          from wanted join weights using (term) join postings using (term), size group by all
+        ), ranked as (
+          select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0
+        )
+        select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20""",
+}

@@ -38,7 +38,9 @@ MIN_COUNT, MAX_WORDS, TOP, COVERED_PCT = 10, 3, 2000, 50
 SHARDS = 4
 BITS = 1 << 27
 #: Words and distinct words that a task gathers before it counts them.
-GATHERED, LEXICON = 2_000_000, 250_000
+GATHERED, LEXICON = 600_000, 120_000
+#: Rows of a batch that a task returns.
+ROWS = 10_000
 #: Parts in which the best of a language are sought first.
 PARTS = 64
 #: Largest count a bucket's row can say; no local support goes beyond it.
@@ -166,12 +168,13 @@ def _frequent(support: int, n_buckets: int, shards: int) -> Callable:
 def _counted(unions: dict) -> Callable:
     """Words, the words of each language, and the phrases that a union admits, counted."""
 
-    def rows(lang: str, k: int, phrases: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        table = pa.table(
-            [pa.array([lang] * len(phrases), pa.string()), pa.array([k] * len(phrases), pa.int32()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())],
-            ["lang", "k", "phrase", "f"],
-        )
-        yield from table.to_batches(10_000)
+    def rows(lang: str, k: int, phrase: Callable, places: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(places), ROWS):
+            some = [phrase(x) for x in places[i : i + ROWS].tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(some), pa.string()), pa.array([k] * len(some), pa.int32()), pa.array(some, pa.binary()), pa.array(counts[i : i + ROWS], pa.int64())],
+                ["lang", "k", "phrase", "f"],
+            )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lexicon, texts in gathered(batches):
@@ -181,17 +184,17 @@ def _counted(unions: dict) -> Callable:
                 used = np.flatnonzero(times[2:]) + 2
                 if not len(used):
                     continue
-                yield from rows(lang, 0, [b""], times[used].sum(keepdims=True))
-                yield from rows(lang, 1, [words[i] for i in used], times[used])
+                yield from rows(lang, 0, lambda _: b"", used[:1], times[used].sum(keepdims=True))
+                yield from rows(lang, 1, words.__getitem__, used, times[used])
                 runs, prefix = Runs(numbers, hashes, lang), numbers
                 for k, union in unions.items():
                     runs.longer()
                     at = np.flatnonzero(runs.whole() & (prefix[: len(runs.hash)] >= 0) & holds(union.value, runs.hash))
                     # numbers of prefixes and words are exact, so equal keys are equal phrases
                     _, first, same, times = np.unique((prefix[at] << 32) | numbers[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-                    yield from rows(lang, k, [b" ".join([words[i] for i in numbers[j : j + k]]) for j in at[first].tolist()], times)
                     prefix = np.full(len(runs.hash), -1, np.int64)
                     prefix[at] = same
+                    yield from rows(lang, k, lambda j, k=k, numbers=numbers: b" ".join([words[i] for i in numbers[j : j + k].tolist()]), at[first], times)
 
     return counted
 

@@ -112,34 +112,36 @@ TERMS = rf"regexp_extract_all(translate(text, {LETTERS}), '[^\x00-\x2F\x3A-\x40\
 ORACLE: dict[str, str] = {
     "op12_son_collocations": rf"""
         with pieces as (
-          select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, {LETTERS}), '[.,;:!?\x0A-\x0D]')) as piece
-          from documents
+          select row_number() over () as p, lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from (
+            select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, {LETTERS}), '[.,;:!?\x0A-\x0D]')) as piece
+            from documents)
         ), words as (
-          select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+          select p, lang, unnest(ws) as w, unnest(range(len(ws))) as i from pieces
         ), runs as (
-          select lang, 1 as k, unnest(w) as phrase from words
-          union all select lang, 2, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) from words
-          union all select lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) from words
-        ), counts as (
-          select lang, k, phrase, count(*) as f from runs group by all
+          select lang, w, lead(w, 1) over o as w2, lead(w, 2) over o as w3 from words window o as (partition by p order by i)
+        ), counts as materialized (
+          select lang, 1 as k, w as phrase, '' as first2, '' as last2, count(*) as f from runs group by all
+          union all select lang, 2, w || ' ' || w2, '', '', count(*) from runs where w2 is not null group by all
+          union all select lang, 3, w || ' ' || w2 || ' ' || w3, w || ' ' || w2, w2 || ' ' || w3, count(*) from runs where w3 is not null group by all
         ), totals as (
           select lang, sum(f)::bigint as n from counts where k = 1 group by lang
         ), candidates as (
-          select lang, k, phrase, f as a, string_split(phrase, ' ') as w from counts where k > 1 and f >= 10
+          select lang, k, phrase, first2, last2, f as a, string_split(phrase, ' ') as ws from counts where k > 1 and f >= 10
         ), cuts as (
-          select lang, phrase, a, w, unnest(range(1, k)) as cut from candidates
+          select lang, phrase, a, 1 as cut, ws[1] as head, case when k = 2 then ws[2] else last2 end as rest from candidates
+          union all select lang, phrase, a, 2, first2, ws[3] from candidates where k = 3
         ), scored as (
           select c.lang, c.phrase, c.a, c.cut, x.f as l, y.f as r, (1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f) as score
-          from cuts c
-          join counts x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.cut], ' ')
-          join counts y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+          from cuts c join counts x on x.lang = c.lang and x.phrase = c.head join counts y on y.lang = c.lang and y.phrase = c.rest
         ), lowest as (
           select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1
         ), inside as (
-          select lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as phrase, a as longer from candidates where k = 3
+          select lang, phrase, max(a) as longer from (
+            select lang, first2 as phrase, a from candidates where k = 3 union all select lang, last2, a from candidates where k = 3
+          ) group by all
         ), kept as (
-          select * from lowest s
-          where not exists (select 1 from inside i where i.lang = s.lang and i.phrase = s.phrase and 100 * i.longer >= 50 * s.a)
+          select s.* from lowest s left join inside i on i.lang = s.lang and i.phrase = s.phrase
+          where coalesce(100 * i.longer < 50 * s.a, true)
         ), ranked as (
           select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
         )

@@ -159,16 +159,16 @@ def q_s14_documents(spark, sf):
 
 
 def q_s14_events(spark, sf):
+    """The rows that stay in all four tables."""
     gone = b.table(spark, sf, "nation").filter(F.col("n_nationkey") % 4 == 0).select(
         F.col("n_nationkey").cast("string").alias("event_id"))
     kept = s.delete_events(gone, {
         "members": b.members(spark, sf), "documents": b.documents(spark, sf),
         "records": b.records(spark, sf), "cells": b.cells(spark, sf),
     })
-    parts = [
-        df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
-        for name, df in sorted(kept.items())
-    ]
+    ids = {"members": ("event_id", "user_id"), "documents": ("event_id", "document_id"),
+           "records": ("event_id", "record_id"), "cells": ("record_id", "field_id")}
+    parts = [kept[n].select(F.lit(n).alias("kind"), F.col(x).alias("owner"), F.col(y).alias("id")) for n, (x, y) in ids.items()]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -192,19 +192,30 @@ def q_s15(spark, sf):
 
 
 def _attempts(spark, sf):
-    text = F.col("text")
+    """Texts with `token` failed; every second failure is named, with up to three causes."""
+    text, k = F.col("text"), F.col("doc_id")
+    cause = lambda i: F.struct(F.when(k % 2 == 0, f"Error{i}").alias("name"), F.concat(F.lit(f"token: t{i} of "), k.cast("string")).alias("message"))
+    bad = F.contains(text, F.lit("token"))
     return b.table(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("document_id"), "lang",
-        F.when(F.contains(text, F.lit("token")), text).alias("error"),
+        k.cast("string").alias("document_id"), "lang",
+        F.when(k % 3 == 0, "application/pdf").otherwise("image/png").alias("file_type"),
+        (k % 4).cast("int").alias("page_start"), F.when(k % 5 > 0, (k % 5).cast("int")).alias("page_count"),
+        F.when(bad, text).alias("error"), F.when(k % 2 == 0, "RangeError").alias("error_name"),
+        F.slice(F.array(cause(1), cause(2), cause(3)), F.lit(1), (k % 4).cast("int")).alias("causes"),
     )
 
 
 def q_s16_failed(spark, sf):
-    return s.quarantine(_attempts(spark, sf))[1].select("document_id", "status", "layout", "message")
+    failed = s.quarantine(_attempts(spark, sf), name="error_name", causes="causes")[1]
+    return failed.select(
+        "document_id", "status", "layout", "message", "error_name",
+        F.array_join(F.transform("causes", lambda c: F.concat_ws("=", c["name"], c["message"])), ";").alias("causes"),
+        F.concat_ws("-", "pages.start", "pages.count", "pages.total").alias("pages"),
+    )
 
 
 def q_s16_good(spark, sf):
-    return s.quarantine(_attempts(spark, sf))[0]
+    return s.quarantine(_attempts(spark, sf), name="error_name", causes="causes")[0].select("document_id", "lang")
 
 
 def q_u5(spark, sf):
@@ -344,13 +355,13 @@ ORACLE = {
         UNION ALL SELECT 'cell', record_id, field_id FROM v_cells WHERE record_id NOT IN (FROM lost)""",
         "v_documents", "v_records", "v_cells"),
     "s14_delete_events": b.sql(
-        REMAINING + """SELECT 'cells' AS kind, count(*) AS n FROM v_cells SEMI JOIN keep USING (record_id)
-        UNION ALL SELECT 'documents', count(*) FROM v_documents WHERE CAST(event_id AS INTEGER) % 4 <> 0
-        UNION ALL SELECT 'members', count(*) FROM v_members WHERE CAST(event_id AS INTEGER) % 4 <> 0
-        UNION ALL SELECT 'records', count(*) FROM keep""",
-        "v_records", "v_cells", "v_documents", "v_members").replace(
-            "v_cells SEMI JOIN keep USING (record_id)",
-            "v_cells WHERE record_id NOT IN (SELECT record_id FROM v_records WHERE CAST(event_id AS INTEGER) % 4 = 0)"),
+        """, gone AS (SELECT CAST(n_nationkey AS VARCHAR) AS event_id FROM nation WHERE n_nationkey % 4 = 0)
+        SELECT 'cells' AS kind, record_id AS owner, field_id AS id FROM v_cells
+          WHERE record_id NOT IN (SELECT record_id FROM v_records JOIN gone USING (event_id))
+        UNION ALL SELECT 'documents', event_id, document_id FROM v_documents ANTI JOIN gone USING (event_id)
+        UNION ALL SELECT 'members', event_id, user_id FROM v_members ANTI JOIN gone USING (event_id)
+        UNION ALL SELECT 'records', event_id, record_id FROM v_records ANTI JOIN gone USING (event_id)""",
+        "v_records", "v_cells", "v_documents", "v_members"),
     "s14_clear_references": b.sql(
         """SELECT record_id, CASE WHEN reviewed_by IN (SELECT user_id FROM v_users WHERE CAST(user_id AS BIGINT) % 9 = 0)
           THEN NULL ELSE reviewed_by END AS reviewed_by FROM v_records""", "v_records", "v_users"),
@@ -361,8 +372,13 @@ ORACLE = {
         WHERE NOT EXISTS (SELECT 1 FROM v_members m WHERE m.event_id = x.event_id AND m.user_id = x.user_id)
         GROUP BY event_id, user_id""", "v_members"),
     "s16_failed_documents": r"""SELECT CAST(doc_id AS VARCHAR) AS document_id, 'failed' AS status, 'table' AS layout,
-          substr(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')),
-            '(?i)((?:api[_-]?key|subscription[_-]?key|token)["'']?\s*[:=]\s*["'']?)[^"'',\s}]+', '\1[redacted]', 'g'), 1, 600) AS message
+          regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')),
+            '(?i)((?:api[_-]?key|subscription[_-]?key|token)["'']?\s*[:=]\s*["'']?)[^"'',\s}]+', '\1[redacted]', 'g') AS message,
+          CASE WHEN doc_id % 2 = 0 THEN 'RangeError' ELSE 'string' END AS error_name,
+          array_to_string([CASE WHEN doc_id % 2 = 0 THEN 'Error' || i ELSE 'string' END || '=token: [redacted] of ' || doc_id
+            FOR i IN range(1, 1 + least(2, doc_id % 4))], ';') AS causes,
+          CASE WHEN doc_id % 3 = 0 THEN concat_ws('-', doc_id % 4, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 ELSE 1 END,
+            CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 ELSE 1 END) ELSE '' END AS pages
         FROM documents WHERE contains(text, 'token')""",
     "s16_good_documents": "SELECT CAST(doc_id AS VARCHAR) AS document_id, lang FROM documents WHERE NOT contains(text, 'token')",
     "u5_replace_slice": b.sql(

@@ -173,9 +173,8 @@ def q_n9(spark, sf):
 
 
 def q_n10(spark, sf):
-    first_line = F.regexp_extract("text", r"^([^\n]*)", 1)
     return b.table(spark, sf, "documents").select(
-        "doc_id", text.field_key(first_line).alias("key"), text.title_label(first_line).alias("label")
+        "doc_id", text.field_key(F.col("text")).alias("key"), text.title_label(F.col("text")).alias("label")
     )
 
 
@@ -373,8 +372,7 @@ ORACLE = {
     "n16_inline_pair": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS label,
         CASE WHEN p_partkey % 2 = 0 THEN p_type END AS value FROM part""",
 }
-_LINE = r"regexp_extract(text, '^([^\n]*)', 1)"
-ORACLE["n10_keys_and_labels"] = rf"""WITH l AS (SELECT doc_id, {_LINE} AS line FROM documents),
+ORACLE["n10_keys_and_labels"] = rf"""WITH l AS (SELECT doc_id, text AS line FROM documents),
   c AS (SELECT doc_id, coalesce(nullif(trim(regexp_replace(replace(lower(strip_accents(line)), '&', ' and '), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'field') AS key,
     trim(regexp_replace({CLEAN.format('line')}, '[_\-\s]+', ' ', 'g')) AS spaced FROM l)
   SELECT doc_id, key, array_to_string(list_transform(regexp_extract_all(spaced, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'),

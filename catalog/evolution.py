@@ -110,7 +110,7 @@ def q_s10_typed(spark, sf):
 
 def q_s11(spark, sf):
     return b.table(spark, sf, "documents").select(
-        "doc_id", text.export_name(F.regexp_extract("text", r"^([^\n]*)", 1), "-records").alias("name"))
+        "doc_id", text.export_name(F.col("text"), "-records").alias("name"))
 
 
 def q_s8(spark, sf):
@@ -266,7 +266,7 @@ ORACLE = {
           max(normalized_value) FILTER (field_id = '3') AS f3, bool_or(normalized_value = 'true') FILTER (field_id = '5') AS f5,
           max(TRY_CAST(normalized_value AS DOUBLE)) FILTER (field_id = '6') AS f6
         FROM v_records LEFT JOIN v_cells USING (record_id) GROUP BY record_id""", "v_records", "v_cells"),
-    "s11_export_names": r"""SELECT doc_id, coalesce(nullif(substr(trim(regexp_replace(lower(regexp_extract(text, '^([^\n]*)', 1)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), ''),
+    "s11_export_names": r"""SELECT doc_id, coalesce(nullif(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), ''),
         'records-export') || '-records' AS name FROM documents""",
     "st1_stream_activity": """SELECT CAST(user_id % 25 AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%d') AS date, count(*) AS created,
         count(*) FILTER (event_type IN ('purchase', 'error')) AS reviewed, count(*) FILTER (event_type = 'purchase') AS approved,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import bindings as b
 from tallysheet.operators import reports as r
+from tallysheet.operators.ordered import number_rows
 
 STATUS_SQL = """count(*) AS total,
   count(*) FILTER (status IN ('approved','rejected')) AS reviewed,
@@ -66,7 +67,16 @@ def q_a7(spark, sf):
 
 def q_a8(spark, sf):
     ordered = b.number_in_document(spark, sf)
-    return r.sequential_average(ordered, ["document_id"], "position", band_rows=1024)
+    return r.sequential_average(ordered, ["document_id"], "position")
+
+
+def q_a8_events(spark, sf):
+    """Events hold thousands of records each; every fourth one has no confidence in its first 300."""
+    rows = number_rows(
+        b.records(spark, sf), ["event_id"], [F.col("created_at"), F.col("record_id")], F.year("created_at"), "position")
+    bare = (F.col("event_id").cast("int") % 4 == 0) & (F.col("position") <= 300)
+    return r.sequential_average(
+        rows.withColumn("confidence", F.when(~bare, F.col("confidence"))), ["event_id"], "position")
 
 
 def q_a9_runs(spark, sf):
@@ -119,7 +129,7 @@ QUERIES = {
     "a6_daily_activity": q_a6,
     "a6_recent_activity": q_a6_recent,
     "a7_row_confidence": q_a7,
-    "a8_sequential_average": q_a8,
+    "a8_sequential_average": q_a8, "a8_event_averages": q_a8_events,
     "a9_run_summary": q_a9_runs,
     "a9_run_field_summary": q_a9_fields,
     "a10_run_matrix": q_a10,
@@ -129,7 +139,21 @@ QUERIES = {
     "t13_remaining_work": q_t13,
 }
 
+def _running(key: str, confidence: str) -> str:
+    """Every row of a group in turn: the value after it as two decimals show it."""
+    written = f"len(list_filter({r.two_decimal_steps()}::DOUBLE[], lambda t: t <= CASE WHEN a.s < 0 OR x.p = 1 THEN x.v ELSE (a.s / 100.0::DOUBLE * (x.p - 1) + x.v) / x.p END))"
+    return f""", p AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY created_at, record_id) AS position
+          FROM v_records WHERE {key} IS NOT NULL),
+        g AS (SELECT {key}, list({{'p': position, 'v': {confidence}, 's': -1::BIGINT}} ORDER BY position) FILTER ({confidence} IS NOT NULL) AS rows
+          FROM p GROUP BY {key})
+        SELECT {key}, list_reduce(rows, lambda a, x: {{'p': x.p, 'v': x.v, 's': {written}::BIGINT}},
+          {{'p': 0::BIGINT, 'v': 0::DOUBLE, 's': -1::BIGINT}}).s AS sequential_average_pct FROM g"""
+
+
 ORACLE = {
+    "a8_sequential_average": b.sql(_running("document_id", "confidence"), "v_records"),
+    "a8_event_averages": b.sql(
+        _running("event_id", "(CASE WHEN CAST(event_id AS INTEGER) % 4 <> 0 OR position > 300 THEN confidence END)"), "v_records"),
     "a1_status_counts": b.sql(f"SELECT event_id, {STATUS_SQL} FROM v_records GROUP BY event_id", "v_records"),
     "a2_event_summary": b.sql(
         f"""SELECT event_id, total, reviewed, approved, rejected, needs_review, draft,

@@ -433,8 +433,8 @@ ORACLE = {
         QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 7 = 0 DESC, p_size, CAST(p_partkey AS VARCHAR)) = 1""",
     "w13_first_success": r""", a AS (SELECT conv_id || '-' || (turn // 7) AS document_id, (turn * 3 + conv_id) % 7 AS rank,
             role = 'assistant' AND conv_id % 3 <> 0 AS ok,
-            substr(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')),
-              '(?i)((?:api[_-]?key|subscription[_-]?key|token|access[_-]?token)["'']?\s*[:=]\s*["'']?)[^"'',\s}]+', '\1[redacted]', 'g'), 1, 600) AS message
+            regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')),
+              '(?i)((?:api[_-]?key|subscription[_-]?key|token|access[_-]?token)["'']?\s*[:=]\s*["'']?)[^"'',\s}]+', '\1[redacted]', 'g') AS message
           FROM conversations),
         w AS (SELECT document_id, min(rank) FILTER (ok) AS won FROM a GROUP BY ALL),
         p AS (SELECT ['azure','google','textract','vision','http','local','mock'] AS names)

@@ -13,6 +13,7 @@ from tallysheet.functions.scoring import (
 from tallysheet.functions.text import term
 from tallysheet.operators.joins import lookup_join
 from tallysheet.operators.ordered import number_rows
+from tallysheet.session import stage
 
 MATCHES = "array<struct<score:int,sort_order:int,field_id:string>>"
 
@@ -157,6 +158,34 @@ def assign_globally(candidates: Column, one_per_field: bool = True) -> Column:
                        lambda acc: acc["out"])
 
 
+def locally_dominant(candidates: DataFrame, rivals: DataFrame) -> DataFrame:
+    """The ids that a pass over all candidates in order of rank takes, when one is passed
+    over as soon as a rival of it has been taken (W4 a, W11).
+
+    `candidates`: id; `rivals`: better, worse, the ids of two candidates that exclude each
+    other. Nothing is put in order: in each round all candidates without a better rival are
+    taken at once, wherever they are, and their rivals go. Rounds grow with the longest
+    chain of rivals, not with the number of candidates of a page.
+    """
+    left = stage(candidates.select("id"))
+    pairs = stage(rivals.select("better", "worse").distinct())
+    rounds = []
+    while True:
+        taken = stage(left.join(pairs.select(F.col("worse").alias("id")), "id", "left_anti"))
+        rounds.append(taken)
+        lost = pairs.join(taken.withColumnRenamed("id", "better"), "better", "left_semi").select(F.col("worse").alias("id"))
+        left = stage(left.join(taken, "id", "left_anti").join(lost, "id", "left_anti"))
+        if not left.head(1):
+            break
+        for side in ("better", "worse"):
+            pairs = pairs.join(left.withColumnRenamed("id", side), side, "left_semi")
+        pairs = stage(pairs)
+    found = rounds[0]
+    for taken in rounds[1:]:
+        found = found.unionByName(taken)
+    return found
+
+
 def best_per_field(matches: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The best match of each field, as a map-side reduced minimum."""
     values = [c for c in matches.columns if c not in by]

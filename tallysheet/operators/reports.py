@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from fractions import Fraction
+from math import inf, nextafter
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallysheet.functions.numeric import hundredths, int_div, mean_of, rate
 from tallysheet.functions.text import is_populated
+from tallysheet.operators.geometry import let
 from tallysheet.operators.joins import lookup_join
 
 LOW_CONFIDENCE = 0.75
@@ -244,59 +244,65 @@ def row_confidence(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _two_decimal_steps() -> np.ndarray:
+#: From this position on no row changes a running average that has a value.
+SETTLED = 200
+
+
+def two_decimal_steps() -> list[float]:
     """Smallest double that is written as 0.01, 0.02, .. 1.00 with two decimals."""
     steps = []
     for n in range(1, 101):
-        half = Fraction(2 * n - 1, 200)
         near = (2 * n - 1) / 200
-        steps.append(near if Fraction(near) >= half else float(np.nextafter(near, 2)))
-    return np.array(steps)
+        steps.append(near if Fraction(near) >= Fraction(2 * n - 1, 200) else nextafter(near, 2))
+    return steps
+
+
+def hundredths_as_written(value: Column) -> Column:
+    """Hundredths of a double in 0..1 as two decimals show it: by its exact binary value, halves up."""
+    steps = F.array(*[F.lit(x) for x in (-inf, *two_decimal_steps(), inf)])
+
+    def nearest(v: Column) -> Column:
+        near = F.floor(v * 100 + 0.5).cast("int")
+        return (
+            F.when(v < F.get(steps, near), near - 1)
+            .when(v >= F.get(steps, near + 1), near + 1).otherwise(near)
+        )
+
+    return let(value, nearest)
 
 
 def sequential_average(
     records: DataFrame, group: Sequence[str], position: str, confidence: str = "confidence",
-    band_rows: int = 65536,
 ) -> DataFrame:
     """The average kept as a two-decimal running value, row by row, in `position` order.
 
-    `position` counts the rows of a group from 1. A step depends only on the running
-    value (empty or 0..100 hundredths), the position and the row, so a band of rows is
-    a table from each of the 102 starting values to its final value. Bands are folded
-    apart and the small tables are then applied one after the other.
+    `position` counts the rows of a group from 1; confidences lie in 0..1. A row at
+    position p moves the value by its distance from it over p, at most 1 / p. That is
+    less than half a hundredth beyond SETTLED, so the value is written as before: a group
+    of any size is decided by its first SETTLED rows, and if none of these has a
+    confidence, by the first later row that has one. Both are partial aggregates; the
+    first rows are folded as an array of bounded length, without Python.
     """
     keys = list(group)
-    types = dict(records.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    steps_up = _two_decimal_steps()
-
-    def fold_band(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("_position").dropna(subset=["_value"])
-        state = np.arange(-1, 101)
-        for place, value in zip(ordered["_position"], ordered["_value"]):
-            before = place - 1
-            mixed = np.searchsorted(steps_up, (state / 100.0 * before + value) / place, "right")
-            alone = int(np.searchsorted(steps_up, value, "right"))
-            state = np.where((state < 0) | (before == 0), alone, mixed)
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**row, "_band": [pdf["_band"].iloc[0]], "_after": [state.tolist()]})
-
-    banded = records.select(
+    rows = records.select(
         *keys, F.col(position).cast("bigint").alias("_position"),
         F.col(confidence).cast("double").alias("_value"),
-        int_div(F.col(position).cast("bigint") - 1, F.lit(band_rows)).alias("_band"),
-    )
-    tables = banded.groupBy(*keys, "_band").applyInPandas(
-        fold_band, f"{schema}, _band bigint, _after array<int>"
-    )
-    steps = F.sort_array(F.collect_list(F.struct("_band", "_after")))
-    final = F.aggregate(
-        steps, F.lit(-1), lambda state, step: F.get(step["_after"], state + 1)
     )
-    return tables.groupBy(*keys).agg(final.alias("_final")).select(
-        *keys, F.when(F.col("_final") >= 0, F.col("_final")).cast("bigint").alias("sequential_average_pct")
+    early, given = F.col("_position") <= SETTLED, F.col("_value").isNotNull()
+    found = rows.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(early & given, F.struct("_position", "_value")))).alias("_steps"),
+        F.min_by("_value", F.when(~early & given, F.col("_position"))).alias("_later"),
     )
 
+    def step(state: Column, row: Column) -> Column:
+        place, value = row["_position"], row["_value"]
+        mixed = (state / F.lit(100.0) * (place - 1) + value) / place
+        return hundredths_as_written(F.when((state < 0) | (place == 1), value).otherwise(mixed))
+
+    folded = F.aggregate("_steps", F.lit(-1), step)
+    decided = F.when(F.size("_steps") > 0, folded).otherwise(hundredths_as_written(F.col("_later")))
+    return found.select(*keys, decided.cast("bigint").alias("sequential_average_pct"))
+
 
 def run_rows_summary(rows: DataFrame, cells: DataFrame, preview: int = 3) -> DataFrame:
     """A9, one row per run. Cell values are projected away before anything is counted.

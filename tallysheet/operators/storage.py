@@ -118,29 +118,52 @@ def insert_skip_duplicates(
     return target.unionByName(fresh.select(*target.columns))
 
 
-def quarantine(attempts: DataFrame, error: str = "error", cause: str | None = None
+#: A diagnostic follows an error to the cause of its cause and no further.
+CAUSES = 2
+
+
+def quarantine(attempts: DataFrame, error: str = "error", name: str | None = None, causes: str | None = None
                ) -> tuple[DataFrame, DataFrame]:
     """Split parse results into good rows and `failed` documents with a safe diagnostic.
 
-    The diagnostic keeps the request options and page range and the redacted message and
-    cause; raw text never passes through.
+    The diagnostic keeps the request options, the file and, of a PDF, its page range; the
+    error has a name (`string` where the failure was only a text), its redacted message
+    and a list of its causes, nearest first, of which two are kept. `causes` is a column
+    of array<struct<name, message>>. Raw text never passes through.
     """
     failed = attempts.filter(F.col(error).isNotNull())
-    good = attempts.filter(F.col(error).isNull()).drop(error)
+    extra = [c for c in (name, causes) if c]
+    good = attempts.filter(F.col(error).isNull()).drop(error, *extra)
     columns = set(attempts.columns)
 
-    def option(name: str, default: Column | None = None) -> Column:
-        value = F.col(name) if name in columns else F.lit(None).cast("string")
+    def option(column: str, default: Column | None = None, kind: str = "int") -> Column:
+        value = F.col(column) if column in columns else F.lit(None).cast(kind)
         return F.coalesce(value, default) if default is not None else value
 
+    def named(value: Column) -> Column:
+        return F.coalesce(value, F.lit("string"))
+
+    followed = F.slice(F.col(causes), 1, CAUSES) if causes else F.array().cast("array<struct<name:string,message:string>>")
+    safe = F.transform(
+        followed, lambda c: F.struct(named(c["name"]).alias("name"), redact_text(c["message"]).alias("message"))
+    )
+    page_start, page_count = option("page_start"), option("page_count")
+    first, count = F.coalesce(page_start, F.lit(1)), F.coalesce(page_count, F.lit(1))
+    pages = F.struct(
+        first.alias("start"), count.alias("count"),
+        F.coalesce(option("total_pages"), count).alias("total"),
+    )
     diagnostic = failed.select(
         "document_id", F.lit("failed").alias("status"),
         F.lit("extraction-failure").alias("provider"),
+        option("file_name", kind="string").alias("file_name"), option("file_type", kind="string").alias("file_type"),
         option("row_count").alias("row_count"),
-        option("layout", F.lit("table")).alias("layout"),
-        option("page_start").alias("page_start"), option("page_count").alias("page_count"),
+        option("layout", F.lit("table"), "string").alias("layout"),
+        page_start.alias("page_start"), page_count.alias("page_count"),
         option("total_pages").alias("total_pages"),
+        F.when(option("file_type", kind="string") == "application/pdf", pages).alias("pages"),
+        named(F.col(name) if name else F.lit(None).cast("string")).alias("error_name"),
         redact_text(F.col(error)).alias("message"),
-        (redact_text(F.col(cause)) if cause else F.lit(None).cast("string")).alias("cause"),
+        F.coalesce(safe, F.array().cast("array<struct<name:string,message:string>>")).alias("causes"),
     )
     return good, diagnostic

@@ -1,35 +1,105 @@
-"""Review decisions as a stream (ST3)."""
+"""Review decisions as a stream (ST3).
+
+The last decision of a record is keyed state of the query. A decision that is older than
+it, or the same one again, changes nothing; a later one replaces it and is committed, so
+the log grows with changes and not with deliveries. State of a record goes once the
+watermark has passed its last decision: whatever is older arrives too late by then.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tallysheet.operators.review import apply_decisions
+from tallysheet.streaming import commits
 
+DECISION = "decided_at timestamp, decision_id string, status string, user_id string"
+COLUMNS = ("decided_at", "decision_id", "status", "user_id")
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def unique_decisions(decisions: DataFrame, time: str = "decided_at", delay: str = "1 day") -> DataFrame:
-    """Repeated deliveries of a decision are dropped while their time is within `delay`."""
-    return decisions.withWatermark(time, delay).dropDuplicatesWithinWatermark(["decision_id"])
 
+class LatestDecision(StatefulProcessor):
+    """The last decision of a record by time and then by id."""
 
-def start_review_log(decisions: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append the last decision per record of every batch to a log; replays overwrite."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", DECISION)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        columns = ("status", "user_id", "decided_at", "decision_id")
-        latest = batch.groupBy("record_id").agg(
-            F.max_by(F.struct(*columns), F.struct("decided_at", "decision_id")).alias("d")
-        )
-        latest.select("record_id", "d.*").write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.latest.get() if self.latest.exists() else None
+        best = known
+        for batch in rows:
+            last = batch.sort_values(["decided_at", "decision_id"]).iloc[-1]
+            found = (last["decided_at"].to_pydatetime(), *(last[c] for c in COLUMNS[1:]))
+            if best is None or found[:2] > tuple(best)[:2]:
+                best = found
+        if best is not known:
+            self.latest.update(best)
+            at = best[0].replace(tzinfo=best[0].tzinfo or dt.timezone.utc)
+            self.handle.registerTimer(int(at.timestamp() * 1000))
+            yield pd.DataFrame([(key[0], *best)], columns=["record_id", *COLUMNS])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """State goes unless a later decision, which has a timer of its own, has replaced it."""
+        if self.latest.exists():
+            at = self.latest.get()[0]
+            at = at.replace(tzinfo=at.tzinfo or dt.timezone.utc)
+            if int(at.timestamp() * 1000) <= expiredTimerInfo.getExpiryTimeInMs():
+                self.latest.clear()
+        yield from ()
 
+    def close(self) -> None:
+        pass
+
+
+def latest_decisions_stream(decisions: DataFrame, time: str = "decided_at", delay: str = "1 day") -> DataFrame:
+    """Changes of the last decision of each record; decisions later than `delay` are dropped."""
     return (
-        unique_decisions(decisions).writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        decisions.select("record_id", *COLUMNS).withWatermark(time, delay).groupBy("record_id")
+        .transformWithStateInPandas(
+            statefulProcessor=LatestDecision(), outputStructType=f"record_id string, {DECISION}",
+            outputMode="Update", timeMode="EventTime",
+        )
     )
 
 
+def start_review_log(decisions: DataFrame, target: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+    """Commit the records whose last decision changed, batch by batch, until no input is left."""
+    spark = decisions.sparkSession
+    commits.open_log(spark, target)
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        return (
+            latest_decisions_stream(decisions, delay=delay).writeStream.outputMode("update")
+            .foreachBatch(lambda batch, batch_id: commits.commit(batch, target, batch_id))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(STORE, before)
+
+
+def decisions_in_force(records: DataFrame, target: str) -> DataFrame:
+    """One decision per record, the one committed last."""
+    rows = commits.read_commits(records.sparkSession, target)
+    values = [c for c in rows.columns if c not in ("record_id", "_batch")]
+    return rows.groupBy("record_id").agg(
+        F.max_by(F.struct(*values, "_batch"), F.struct("_batch", "decided_at", "decision_id")).alias("d")
+    ).select("record_id", "d.*")
+
+
 def reviewed_records(records: DataFrame, target: str) -> DataFrame:
-    """T2 over everything logged so far."""
-    return apply_decisions(records, records.sparkSession.read.parquet(target).drop("batch_id"))
+    """T2 with the decisions committed so far."""
+    return apply_decisions(records, decisions_in_force(records, target).drop("_batch"))
+
+
+def compact_review_log(records: DataFrame, target: str) -> None:
+    """One row per decided record; `reviewed_records` is the same before and after."""
+    commits.compact(decisions_in_force(records, target), target)

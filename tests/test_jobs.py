@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallysheet.operators import evolution, exports, reports, review, storage
 from tallysheet.sources import files, tables
-from tallysheet.streaming import activity, review_state
+from tallysheet.streaming import activity
 
 RECORD = (
     "record_id string, event_id string, document_id string, row_number int, status string, reviewed_by string, "
@@ -177,16 +177,3 @@ def test_stream_activity_drops_late_rows(spark):
         feed(day)
     got = {str(r.date): r.created for r in spark.read.parquet(f"{folder}/out").collect()}
     assert got == {"2026-01-01": 1, "2026-01-09": 1}
-
-
-def test_stream_review_equals_batch(spark):
-    folder = tempfile.mkdtemp()
-    records, _ = example(spark)
-    rows = spark.createDataFrame([("r1", "draft", "u9", D28, "1"), ("r1", "draft", "u9", D28, "1"), ("r2", "approved", "u9", D28, "2")],
-                                 "record_id string, status string, user_id string, decided_at timestamp, decision_id string")
-    rows.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-    review_state.start_review_log(stream, f"{folder}/log", f"{folder}/c").awaitTermination()
-    got = review_state.reviewed_records(records, f"{folder}/log")
-    want = review.apply_decisions(records, rows)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -51,10 +51,13 @@ def to_fixed(x):
     return float(Decimal(x).quantize(Decimal("0.01"), ROUND_HALF_UP))
 
 
-def test_sequential_average_is_exact_across_bands(spark):
+def test_sequential_average_is_exact(spark):
     rng = random.Random(3)
-    rows = [("hot" if k % 3 else f"d{k % 5}", None if rng.random() < 0.1 else rng.choice([rng.random(), 0.125, 0.375, 1.0, 0.005]))
-            for k in range(700)]
+    rows = [("hot" if k % 3 else f"d{k % 5}", None if rng.random() < 0.1 else rng.choice([rng.random(), 0.125, 0.375, 1.0, 0.005, 0.0]))
+            for k in range(1500)]
+    rows += [("bare", None)] * 3 + [("late", None)] * 230 + [("late", 0.285), ("late", 1.0)]
+    # pushed from one end to the other as long as a row can move the value
+    rows += [("ends", float(k % 2)) for k in range(260)] + [("up", 0.0)] * 198 + [("up", 1.0)] * 60
     places, numbered = {}, []
     for d, c in rows:
         places[d] = places.get(d, 0) + 1
@@ -67,10 +70,26 @@ def test_sequential_average_is_exact_across_bands(spark):
             continue
         want[d] = to_fixed(c) if average is None or place == 1 else to_fixed((average * (place - 1) + c) / place)
     df = spark.createDataFrame(numbered, "document_id string, position bigint, confidence double").repartition(6)
-    for band in (16, 100_000):
-        out = reports.sequential_average(df, ["document_id"], "position", band_rows=band)
-        got = {r.document_id: r.sequential_average_pct for r in out.collect()}
-        assert got == {d: None if v is None else round(v * 100) for d, v in want.items()}
+    out = reports.sequential_average(df, ["document_id"], "position")
+    assert {r.document_id: r.sequential_average_pct for r in out.collect()} == {d: None if v is None else round(v * 100) for d, v in want.items()}
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_a_settled_average_stays(spark):
+    rng = random.Random(9)
+    for place in [reports.SETTLED + 1, reports.SETTLED + 2, 1000, 10**7]:
+        for state in range(101):
+            for value in [0.0, 1.0, 5e-324, 1 - 2**-53, rng.random()]:
+                assert to_fixed((state / 100 * (place - 1) + value) / place) == state / 100
+
+
+def test_hundredths_are_those_of_the_exact_value(spark):
+    rng = random.Random(4)
+    values = [rng.random() for _ in range(300)] + [n / 200 for n in range(201)] + [np.nextafter(n / 200, k) for n in range(1, 200) for k in (0, 1)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = df.select("v", reports.hundredths_as_written(F.col("v")).alias("n")).collect()
+    assert all(r.n == round(to_fixed(r.v) * 100) for r in got)
 
 
 def test_lines_of_a_tall_page(spark):

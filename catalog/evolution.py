@@ -8,6 +8,7 @@ from catalog import bindings as b
 from catalog.review import _pairs
 from tallysheet.functions import text
 from tallysheet.operators import evolution, exports
+from tallysheet.plans import tables as tables_plan
 from tallysheet.session import checkpoint_root
 from tallysheet.sources import files, layouts, tables
 from tallysheet.streaming import activity, intake, review_state
@@ -168,17 +169,25 @@ def q_st1(spark, sf):
 
 
 def q_st2(spark, sf):
-    """Responses arrive, the even documents twice; the later response replaces the first."""
-    from catalog.layout import _pairs_json
+    """Table responses arrive and go through L1; the even documents come again with other names, every tenth without rows."""
+    from catalog.layout import cell_table_responses
+    from catalog.layout import documents as layout_documents
 
     folder = _stream_folder(spark, "intake")
-    first = _pairs_json(spark, sf)
-    again = first.filter(F.col("document_id").cast("bigint") % 2 == 0).withColumn(
-        "response", F.regexp_replace("response", "Customer ", "Client "))
+    fields, documents = b.template_fields(spark, sf), layout_documents(spark, sf)
+    first, k = cell_table_responses(spark, sf), F.col("document_id").cast("bigint")
+    again = first.filter(k % 2 == 0).withColumn(
+        "response", F.when(k % 10 == 4, "{}").otherwise(F.regexp_replace("response", "Person ", "Client ")))
+
+    def parse(batch):
+        return tables_plan.table_rows(layouts.read_cell_tables(batch), documents, fields)
+
     for rows in (first, again):
         rows.write.mode("append").json(f"{folder}/in")
-        _run(intake.start_intake(spark, f"{folder}/in", f"{folder}/out", f"{folder}/ckpt", layouts.read_listed_pairs))
-    return intake.current_rows(spark, f"{folder}/out").filter(F.col("key") == "Full Name").select("document_id", "value")
+        _run(intake.start_intake(spark, f"{folder}/in", f"{folder}/out", f"{folder}/ckpt", parse))
+    return intake.current_rows(spark, f"{folder}/out").select(
+        "document_id", "output_row", "source_page", "sort_order", "normalized_value", "confidence_pct",
+        F.array_join("issues", ",").alias("issues"))
 
 
 def q_st3(spark, sf):
@@ -271,8 +280,6 @@ ORACLE = {
     "st1_stream_activity": """SELECT CAST(user_id % 25 AS VARCHAR) AS event_id, strftime(ts, '%Y-%m-%d') AS date, count(*) AS created,
         count(*) FILTER (event_type IN ('purchase', 'error')) AS reviewed, count(*) FILTER (event_type = 'purchase') AS approved,
         count(*) FILTER (event_type = 'error') AS rejected FROM events GROUP BY ALL""",
-    "st2_stream_intake": """SELECT CAST(o_orderkey AS VARCHAR) AS document_id,
-        CASE WHEN o_orderkey % 2 = 0 THEN 'Client ' ELSE 'Customer ' END || o_custkey AS value FROM orders""",
 }
 
 
@@ -282,4 +289,13 @@ def _review_oracle() -> str:
     return review["t2_apply_decisions"]
 
 
+def _intake_oracle() -> str:
+    from catalog.layout import ORACLE as layout
+
+    batch = layout["l1_table_cells"]
+    return f"""SELECT * REPLACE (CASE WHEN CAST(document_id AS BIGINT) % 2 = 0 THEN replace(normalized_value, 'Person ', 'Client ') ELSE normalized_value END AS normalized_value)
+      FROM ({batch}) WHERE CAST(document_id AS BIGINT) % 10 <> 4"""
+
+
+ORACLE["st2_stream_intake"] = _intake_oracle()
 ORACLE["st3_stream_review"] = _review_oracle()

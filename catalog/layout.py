@@ -393,12 +393,6 @@ def q_j7(spark, sf):
     ).groupBy("x", "column").agg(F.count("*").alias("words"))
 
 
-def q_a15(spark, sf):
-    return _spots(spark, sf).groupBy("document_id").agg(
-        F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"),
-        (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"))
-
-
 def q_a16(spark, sf):
     words = b.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("document_id"), F.lit(1).alias("page"), (F.col("l_quantity") / 2).alias("height"))
@@ -415,9 +409,7 @@ def q_w5(spark, sf):
     taken = F.array(F.lit("promo"), F.lit("small_3"), F.lit("other"))
     keyed = matching.dedupe_keys(rows, ["document_id"], "base", taken, [F.col("p_partkey")],
                                  F.call_function("div", F.col("p_partkey"), F.lit(64)))
-    return keyed.groupBy("document_id").agg(
-        F.count("*").alias("keys"), F.count_distinct("unique_key").alias("distinct_keys"),
-        F.count_if(F.col("unique_key").isin("promo", "small_3", "other")).alias("taken_keys"))
+    return keyed.select("document_id", "p_partkey", "base", "unique_key")
 
 
 def q_w6(spark, sf):
@@ -445,8 +437,7 @@ QUERIES = {
     "l3_pair_forms": q_l3, "l4_grid_forms": q_l4_grid, "l4_nested_forms": q_l4_nested, "w9_carried_headers": q_w9,
     "w4_column_mapping": q_w4, "x2_suggested_fields": q_x2, "a13_sample_values": q_a13, "a14_column_types": q_a14,
     "x4_known_domain": q_x4, "j5_match_headers": q_j5, "n7_match_score": q_n7, "w7_word_lines": q_w7,
-    "w7_long_page_lines": q_w7_long_page, "j7_nearest_column": q_j7, "a15_bounding_union": q_a15,
-    "a16_page_tolerance": q_a16, "w5_unique_keys": q_w5, "w6_first_suggestions": q_w6, "w2_document_rows": q_w2,
+    "w7_long_page_lines": q_w7_long_page, "j7_nearest_column": q_j7, "a16_page_tolerance": q_a16, "w5_unique_keys": q_w5, "w6_first_suggestions": q_w6, "w2_document_rows": q_w2,
 }
 
 LINES = """lines AS (SELECT l_orderkey AS ord, l_linenumber AS n, 'Person ' || l_partkey AS name, l_partkey, l_suppkey,
@@ -526,12 +517,17 @@ ORACLE = {
       b AS (SELECT x, arg_min(CASE WHEN abs(x + 10 - cx) <= lim THEN 'c' || i ELSE '' END, (abs(x + 10 - cx), i)) AS hit
         FROM (SELECT DISTINCT x FROM w), c GROUP BY x)
       SELECT x, nullif(hit, '') AS "column", count(*) AS words FROM w JOIN b USING (x) GROUP BY ALL""",
-    "a15_bounding_union": """SELECT CAST(l_orderkey AS VARCHAR) AS document_id, min(x) AS x, min(y) AS y, max(x) + 20 - min(x) AS width,
-        max(y) + 10 - min(y) AS height FROM (SELECT l_orderkey, CAST(l_partkey % 600 AS DOUBLE) AS x, l_quantity * 4 AS y FROM lineitem) GROUP BY l_orderkey""",
     "a16_page_tolerance": """SELECT l_suppkey AS document_id, least(18.0, greatest(6.0, median(h) * 0.65)) AS grid_tolerance,
         greatest(8.0, list_sort(list(h))[count(*) // 2 + 1] * 0.75) AS nested_tolerance
       FROM (SELECT l_suppkey, l_quantity / 2 AS h FROM lineitem) GROUP BY l_suppkey""",
-    "w5_unique_keys": "SELECT p_brand AS document_id, count(*) AS keys, count(*) AS distinct_keys, 0::BIGINT AS taken_keys FROM part GROUP BY p_brand",
+    "w5_unique_keys": r"""WITH r AS (SELECT p_brand AS document_id, p_partkey, CASE WHEN p_partkey % 11 = 0 THEN lower(p_type) || '_2' ELSE lower(p_type) END AS base FROM part),
+      used(stem, number) AS (VALUES ('promo', 1), ('small', 3), ('other', 1)),
+      blocked AS (SELECT document_id, stem, number FROM (SELECT DISTINCT document_id FROM r), used
+        UNION SELECT document_id, regexp_extract(base, '^(.+)_([0-9]+)$', 1), CAST(regexp_extract(base, '^(.+)_([0-9]+)$', 2) AS INTEGER) FROM r WHERE base LIKE '%\_2' ESCAPE '\'),
+      n AS (SELECT *, row_number() OVER (PARTITION BY document_id, base ORDER BY p_partkey) AS nth FROM r),
+      b AS (SELECT document_id, stem AS base, list(DISTINCT number) AS numbers FROM blocked GROUP BY ALL),
+      k AS (SELECT n.*, list_filter(range(1, nth + 5), lambda x: NOT list_contains(coalesce(numbers, []::INTEGER[]), CAST(x AS INTEGER)))[nth] AS number FROM n LEFT JOIN b USING (document_id, base))
+      SELECT document_id, p_partkey, base, CASE WHEN number = 1 THEN base ELSE base || '_' || number END AS unique_key FROM k""",
     "w6_first_suggestions": """SELECT p_brand AS document_id, CAST(p_partkey % 5 AS VARCHAR) AS template_id, lower(p_type) AS key, min(p_partkey) AS position
       FROM part WHERE p_type <> 'PROMO' GROUP BY ALL""",
     "w2_document_rows": """SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page, row_number) AS document_row FROM (

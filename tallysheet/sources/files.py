@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -53,6 +54,28 @@ def file_inventory(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def scan_files(spark: SparkSession, directory: str, page_mark: str | None = None) -> DataFrame:
+    """Files of a folder that are not over the limit: path, length, content, total_pages.
+
+    The limit is a filter of the file source, so larger files are not read. Pages of a file
+    are counted by `page_mark` between them, else by the marks of a PDF.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).filter(
+        F.col("length") <= MAX_FILE_BYTES
+    )
+    if page_mark:
+        marks = F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit(re.escape(page_mark)))
+        pages = marks + 1
+    else:
+        pages = pdf_page_count(F.col("content"))
+    return found.select("path", "length", "content", pages.cast("int").alias("total_pages"))
+
+
+def page_rows(found: DataFrame) -> DataFrame:
+    """One row per file and page, the unit of work of `extract_with`, spread over all tasks."""
+    return found.withColumn("page", F.explode(F.sequence(F.lit(1), F.col("total_pages")))).repartition("path", "page")
+
+
 def extract_with(
     pages: DataFrame, reader: Callable[[pd.DataFrame], pd.DataFrame], schema: str
 ) -> DataFrame:

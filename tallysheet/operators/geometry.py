@@ -114,7 +114,7 @@ def with_lines(words: DataFrame, style: str) -> DataFrame:
     numbered = marked.withColumn("_running", running).join(offsets, [*PAGE, "_band"]).select(
         *PAGE, "_level", (F.col("_running") + F.col("_offset")).cast("int").alias("line_no")
     )
-    return lookup_join(leveled, numbered, [*PAGE, "_level"], "inner", spread=["word"], salts=4)
+    return lookup_join(leveled, numbered, [*PAGE, "_level"], "inner", spread=["word"])
 
 
 def line_arrays(lined: DataFrame) -> DataFrame:

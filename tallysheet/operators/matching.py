@@ -203,28 +203,31 @@ def match_pairs(pairs: DataFrame, documents: DataFrame, fields: DataFrame) -> Da
     keyed = pairs.join(documents.select("document_id", "template_id"), "document_id").withColumn(
         "text", F.col("key")
     )
-    scored = match_headers(keyed, fields, ["document_id", "item"])
-    forms = scored.filter(F.size("matches") > 0).groupBy("document_id").agg(
-        F.collect_list(F.struct("item", "matches")).alias("_items")
+    # the pairs of a form meet once; what is assigned is looked up among them
+    forms = match_headers(keyed, fields, ["document_id", "item"]).groupBy("document_id", "template_id").agg(
+        F.collect_list(F.struct("item", "matches", "value", "confidence_pct")).alias("_pairs"),
+        F.min("page").alias("page"),
     )
-    with_pairs = keyed.groupBy("document_id", "template_id").agg(F.min("page").alias("page"))
-    wanted = lookup_join(
-        with_pairs.join(forms, "document_id", "left"), template_terms(fields), "template_id",
-        how="inner", spread=["document_id"],
+    wanted = lookup_join(forms, template_terms(fields), "template_id", how="inner")
+    items = F.transform(
+        F.filter("_pairs", lambda p: F.size(p["matches"]) > 0),
+        lambda p: F.struct(p["item"].alias("item"), p["matches"].alias("matches")),
     )
-    no_items = F.array().cast(f"array<struct<item:int,matches:{MATCHES}>>")
-    assigned = wanted.select(
-        "document_id", "template_id", "page",
-        F.explode(
-            assign_in_field_order(F.coalesce("_items", no_items), F.col("fields"))
-        ).alias("a"),
-    ).select("document_id", "template_id", "page", "a.field_id", "a.sort_order", "a.item", "a.score")
-    return assigned.join(
-        pairs.select("document_id", "item", F.col("value").alias("raw_text"),
-                     F.col("confidence_pct").alias("pair_pct")),
-        ["document_id", "item"], "left",
+    assigned = wanted.withColumn("_items", items).withColumn(
+        "_assigned", assign_in_field_order(F.col("_items"), F.col("fields"))
     )
 
+    def found(a: Column) -> Column:
+        pair = F.get(F.filter("_pairs", lambda p: p["item"] == a["item"]), F.lit(0))
+        return F.struct(
+            a["field_id"].alias("field_id"), a["sort_order"].alias("sort_order"), a["item"].alias("item"),
+            a["score"].alias("score"), pair["value"].alias("raw_text"), pair["confidence_pct"].alias("pair_pct"),
+        )
+
+    return assigned.select(
+        "document_id", "template_id", "page", F.explode(F.transform("_assigned", found)).alias("a")
+    ).select("document_id", "template_id", "page", "a.*")
+
 
 def dedupe_keys(
     rows: DataFrame, group: Sequence[str], base: str, taken: Column,

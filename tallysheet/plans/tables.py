@@ -14,7 +14,7 @@ from tallysheet.functions.cells import normalize_cells, option_terms
 from tallysheet.functions.numeric import blend_confidence, int_div, mean_of
 from tallysheet.functions.scoring import FALLBACK_COLUMN, FALLBACK_PAIR, match_confidence
 from tallysheet.functions.text import is_populated
-from tallysheet.operators.joins import lookup_join
+from tallysheet.operators.joins import hot_keys, lookup_join
 from tallysheet.operators.matching import (
     assign_in_field_order, fallback_columns, match_headers, match_pairs, template_terms,
 )
@@ -22,6 +22,20 @@ from tallysheet.operators.ordered import carry_forward, number_rows
 from tallysheet.session import stage
 
 BAND = 4096
+#: Cells or words of a document from which on its rows are numbered in bands.
+LARGE = 1_000_000
+
+
+def large_documents(parts: DataFrame) -> DataFrame | None:
+    """Documents that one task should not hold, counted over their cells or words; None if there are none."""
+    return hot_keys(parts, ["document_id"], LARGE)
+
+
+def split_large(df: DataFrame, large: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of all other documents and those of large ones."""
+    if large is None:
+        return df, None
+    return df.join(large, "document_id", "left_anti"), df.join(large, "document_id", "left_semi")
 
 
 def field_rules(fields: DataFrame) -> DataFrame:
@@ -136,80 +150,128 @@ def table_rows(
 
     `documents`: document_id, template_id and optionally row_count and page_start.
     """
-    mine = stage(lookup_join(
-        cells, documents.select("document_id", "template_id"), "document_id", "inner",
-        spread=["table_index", "row_index", "column_index"],
-    ))
-    heads = header_rows(mine, carry)
-    placed = lookup_join(
-        mine, heads, ["document_id", "table_index"], spread=["row_index", "column_index"]
-    )
-    headers = placed.filter(F.col("row_index") == F.col("header_row")).select(
-        "document_id", "template_id", "table_index", "column_index", "text"
-    )
-    mapping = stage(map_columns(headers, fields, first_column, fallback).groupBy(
-        "document_id", F.col("table_index").alias("header_table")
-    ).agg(
+    mine = stage(lookup_join(cells, documents.select("document_id", "template_id"), "document_id", "inner"))
+    large = large_documents(mine)
+    some, most = split_large(mine, large)
+    rows = _placed_by_document(some, carry)
+    if most is not None:
+        rows = rows.unionByName(_placed_by_table(most, carry))
+    rows = stage(rows)
+    headers = rows.filter("is_head").select(
+        "document_id", "template_id", "table_index", F.explode("_cells").alias("c")
+    ).select("document_id", "template_id", "table_index", "c.column_index", "c.text")
+    # the columns of a document by header table, so that its rows meet them by document alone
+    mapping = map_columns(headers, fields, first_column, fallback).groupBy("document_id", "table_index").agg(
         F.sort_array(
             F.collect_list(F.struct("sort_order", "field_id", "column_index", "structure_pct"))
         ).alias("_columns")
-    ))
-    body = placed.filter(F.col("header_row").isNull() | (F.col("row_index") > F.col("header_row")))
-    rows = body.groupBy("document_id", "template_id", "header_table", "table_index", "row_index").agg(
+    ).groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("table_index", "_columns"))).alias("_maps"))
+    body = rows.filter("is_data").join(mapping, "document_id")
+
+    def cell(c: Column) -> Column:
+        own = F.get(F.filter("_cells", lambda x: x["column_index"] == c["column_index"]), F.lit(0))
+        return F.struct(
+            c["field_id"].alias("field_id"), c["sort_order"].alias("sort_order"), c["structure_pct"].alias("structure_pct"),
+            own["text"].alias("raw_text"), own["provider_pct"].alias("provider_pct"), own["box"].alias("box"),
+        )
+
+    filled = body.withColumn("_columns", F.try_element_at("_maps", F.col("header_table"))).select(
+        "document_id", "template_id", "table_index", "row_index", "row_number", "page",
+        F.explode(F.transform("_columns", cell)).alias("c"),
+    ).select("document_id", "template_id", "table_index", "row_index", "row_number", "page", "c.*")
+    scored = clean_and_score(filled, fields, ["document_id", "table_index", "row_index"], value_confidence)
+    return keep_filled_rows(scored, documents, ["table_index", "row_index"], large)
+
+
+_ROW = ("document_id", "template_id", "table_index", "row_index")
+
+
+def _row_cells(cells: DataFrame) -> DataFrame:
+    return cells.groupBy(*_ROW).agg(
         F.collect_list(F.struct("column_index", "text", "provider_pct", "box")).alias("_cells"),
         F.min_by("page", "column_index").alias("page"),
+        F.coalesce(F.bool_or("is_header"), F.lit(False)).alias("_marked"),
     )
-    numbers = number_rows(
-        body.select("document_id", "table_index", "row_index").distinct(), ["document_id"],
-        [F.col("table_index"), F.col("row_index")],
-        F.struct("table_index", int_div(F.col("row_index"), F.lit(BAND)).alias("b")), "row_number",
-    )
-    mapped = lookup_join(
-        rows.join(numbers, ["document_id", "table_index", "row_index"]), mapping, ["document_id", "header_table"], "inner", spread=["table_index", "row_index"]
-    )
-    filled = mapped.select(
-        "document_id", "template_id", "table_index", "row_index", "row_number", "page", "_cells",
-        F.explode("_columns").alias("c"),
-    ).withColumn(
-        "_cell",
-        F.get(F.filter("_cells", lambda x: x["column_index"] == F.col("c.column_index")), F.lit(0)),
-    ).select(
-        "document_id", "template_id", "table_index", "row_index", "row_number", "page", "c.field_id", "c.sort_order",
-        "c.structure_pct", F.col("_cell.text").alias("raw_text"), "_cell.provider_pct", "_cell.box",
-    )
-    scored = clean_and_score(filled, fields, ["document_id", "table_index", "row_index"], value_confidence)
-    return keep_filled_rows(scored, documents, ["table_index", "row_index"])
 
 
-def keep_filled_rows(scored: DataFrame, documents: DataFrame, place: Sequence[str]) -> DataFrame:
+def _placed_by_document(mine: DataFrame, carry: bool) -> DataFrame:
+    """Rows of tables with their header table, whether they are its header or data, and row_number.
+
+    All cells of a document meet once; rows, headers (W9, as `header_rows` finds them) and
+    numbers are windows within what one exchange brought together.
+    """
+    rows = _row_cells(mine.repartition("document_id"))
+    table, document = Window.partitionBy("document_id", "table_index"), Window.partitionBy("document_id")
+    marked = F.min(F.when(F.col("_marked"), F.col("row_index"))).over(table)
+    placed = rows.withColumn("_own", marked).withColumn("_head", F.coalesce("_own", F.min("row_index").over(table)))
+    header_table = F.col("table_index")
+    if carry:
+        last = F.last(F.when(F.col("_own").isNotNull(), F.col("table_index")), ignorenulls=True).over(document.orderBy("table_index"))
+        header_table = F.coalesce(last, F.min("table_index").over(document))
+    placed = placed.withColumn("header_table", header_table)
+    own = F.col("header_table") == F.col("table_index")
+    placed = placed.withColumns({
+        "is_head": own & (F.col("row_index") == F.col("_head")),
+        "is_data": ~own | (F.col("row_index") > F.col("_head")),
+    })
+    number = F.sum(F.col("is_data").cast("int")).over(document.orderBy("table_index", "row_index"))
+    return placed.withColumn("row_number", number.cast("bigint")).drop("_own", "_head", "_marked")
+
+
+def _placed_by_table(mine: DataFrame, carry: bool) -> DataFrame:
+    """The same for documents of any size: tables meet by table, rows are numbered in bands."""
+    rows = stage(_row_cells(mine)).drop("_marked")
+    placed = rows.join(header_rows(mine, carry), ["document_id", "table_index"]).withColumns({
+        "is_head": F.coalesce(F.col("row_index") == F.col("header_row"), F.lit(False)),
+        "is_data": F.col("header_row").isNull() | (F.col("row_index") > F.col("header_row")),
+    }).drop("header_row")
+    data = placed.filter("is_data").select("document_id", "table_index", "row_index")
+    band = F.struct("table_index", int_div(F.col("row_index"), F.lit(BAND)).alias("b"))
+    numbers = number_rows(data, ["document_id"], [F.col("table_index"), F.col("row_index")], band, "row_number")
+    return placed.join(numbers, ["document_id", "table_index", "row_index"], "left")
+
+
+def keep_filled_rows(
+    scored: DataFrame, documents: DataFrame, place: Sequence[str], large: DataFrame | None = None, single: bool = False,
+) -> DataFrame:
     """Drop rows without a populated cell, then keep as many as a document asks for.
 
     One row per cell, with its row's page, confidence and places: `row_number` counts
     before the blank rows are dropped, `output_row` after. The limit is row_count of the
-    document; without one all rows stay.
+    document; without one all rows stay. The cells of a row stay together while rows are
+    dropped and numbered: within their document, or in bands for the `large` ones that
+    `large_documents` found. With `single` a document has one row.
     """
-    row = Window.partitionBy("document_id", *place)
+    at = [c for c in ("document_id", "template_id") if c in scored.columns] + list(place)
     filled = is_populated(F.col("normalized_value"), F.col("value_kind"))
-    judged = scored.withColumns({
-        "_filled": F.max(filled.cast("int")).over(row),
-        "row_confidence_pct": mean_of(
-            F.sum(F.col("confidence_pct").cast("bigint")).over(row), F.count("confidence_pct").over(row)
-        ),
-        "page": F.max("page").over(row),
-    }).filter(F.col("_filled") == 1)
-    at = ["document_id", *place]
-    band = F.struct(*place[:-1], int_div(F.col(place[-1]), F.lit(BAND)).alias("b"))
-    numbers = number_rows(judged.select(*at).distinct(), ["document_id"], [F.col(p) for p in place], band, "output_row")
-    ranked = judged.join(numbers.withColumn("output_row", F.col("output_row").cast("int")), at)
+    rows = scored.groupBy(*at).agg(
+        F.collect_list(F.struct(*[c for c in scored.columns if c not in (*at, "page")])).alias("_cells"),
+        F.max(filled).alias("_filled"),
+        mean_of(F.sum(F.col("confidence_pct").cast("bigint")), F.count("confidence_pct")).alias("row_confidence_pct"),
+        F.max("page").alias("page"),
+    ).filter("_filled")
+    if single:
+        ranked = rows.withColumn("output_row", F.lit(1))
+    else:
+        some, most = split_large(rows, large)
+        within = Window.partitionBy("document_id").orderBy(*place)
+        ranked = some.withColumn("output_row", F.row_number().over(within))
+        if most is not None:
+            band = F.struct(*place[:-1], int_div(F.col(place[-1]), F.lit(BAND)).alias("b"))
+            banded = number_rows(stage(most), ["document_id"], [F.col(p) for p in place], band, "output_row")
+            ranked = ranked.unionByName(banded.withColumn("output_row", F.col("output_row").cast("int")))
     given = documents.columns
-    wanted = documents.select(
-        "document_id",
-        (F.col("row_count") if "row_count" in given else F.lit(None).cast("int")).alias("_limit"),
-        (F.col("page_start") if "page_start" in given else F.lit(None).cast("int")).alias("_page"),
-    )
-    return lookup_join(ranked, wanted, "document_id", spread=[*place, "field_id"]).filter(
-        F.col("_limit").isNull() | (F.col("output_row") <= F.col("_limit"))
-    ).withColumn("source_page", F.coalesce("page", "_page")).drop("_filled", "page", "_limit", "_page")
+    if "row_count" in given:
+        limits = documents.select("document_id", F.col("row_count").alias("_limit"))
+        ranked = lookup_join(ranked, limits, "document_id").filter(
+            F.col("_limit").isNull() | (F.col("output_row") <= F.col("_limit")))
+    page = F.col("page")
+    if "page_start" in given:
+        ranked = lookup_join(ranked, documents.select("document_id", F.col("page_start").alias("_page")), "document_id")
+        page = F.coalesce("page", "_page")
+    return ranked.select(
+        *at, "row_confidence_pct", "output_row", page.alias("source_page"), F.explode("_cells").alias("c")
+    ).select(*at, "c.*", "row_confidence_pct", "output_row", "source_page")
 
 
 def rows_of(cells: DataFrame) -> DataFrame:
@@ -229,7 +291,7 @@ def pair_rows(pairs: DataFrame, documents: DataFrame, fields: DataFrame) -> Data
         F.lit(None).cast("int").alias("provider_pct"),
     )
     scored = clean_and_score(matched, fields, ["document_id"])
-    return keep_filled_rows(scored, documents, ["table_index", "row_index"])
+    return keep_filled_rows(scored, documents, ["table_index", "row_index"], single=True)
 
 
 def form_or_table_rows(pairs: DataFrame, cells: DataFrame, documents: DataFrame, fields: DataFrame,

@@ -146,3 +146,19 @@ def test_word_forms(spark):
     assert got["strokes", 1, "signature"].normalized_value == "true" and got["strokes", 1, "signature"].box.width > 50
     blank = got["blank", 1, "signature"]
     assert (blank.normalized_value, blank.issues, blank.box) == ("false", ["missing_required"], None)
+
+
+def test_large_documents_are_numbered_in_bands_alike(spark, monkeypatch):
+    responses, documents, fields = setup(spark, TABLES)
+    cells = layouts.read_cell_tables(responses)
+    more = cells.selectExpr("'e' AS document_id", *[c for c in cells.columns if c != "document_id"]).unionByName(cells.filter("table_index = 0"))
+    documents = documents.unionByName(spark.createDataFrame([("e", "t")], documents.schema))
+    for carry in (True, False):
+        want = sorted(map(str, tables.table_rows(more, documents, fields, carry).collect()))
+        monkeypatch.setattr(tables, "LARGE", 8)  # document e is large then, d is not
+        assert [r.document_id for r in tables.large_documents(more).collect()] == ["e"]
+        assert sorted(map(str, tables.table_rows(more, documents, fields, carry).collect())) == want
+        monkeypatch.undo()
+        assert tables.large_documents(more) is None
+    plan = tables.pair_rows(layouts.read_listed_pairs(responses), documents, fields)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 8

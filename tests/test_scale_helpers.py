@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallysheet.operators import geometry, ordered, reports
-from tallysheet.operators.joins import lookup_join
+from tallysheet.operators.joins import hot_keys, lookup_join
 from tallysheet.operators.matching import dedupe_keys
 
 
@@ -16,16 +16,16 @@ def skewed(spark, n=3000):
     return rows, spark.createDataFrame(rows, "g string, i bigint, v int").repartition(5)
 
 
-def test_salted_lookup_equals_broadcast(spark):
+def test_only_counted_hot_keys_are_salted(spark):
     rows, df = skewed(spark)
     lookup = df.select("g").distinct().withColumn("tag", F.concat(F.lit("t"), "g")).filter("g <> 'g3'")
+    hot = hot_keys(df, ["g"], 500)
+    assert [r.g for r in hot.collect()] == ["hot"] and hot_keys(df, ["g"], 5000) is None
     for how in ("left", "inner"):
-        wide = lookup_join(df, lookup, "g", how, spread=["i"], limit=0)
-        assert "_salt" not in wide.columns
-        small = lookup_join(df, lookup, "g", how)
-        assert sorted(map(str, wide.select("i", "tag").collect())) == sorted(map(str, small.select("i", "tag").collect()))
-    plan = lookup_join(df, lookup, "g", spread=["i"], limit=0)._jdf.queryExecution().toString()
-    assert "_salt" in plan
+        plain = lookup_join(df, lookup, "g", how)
+        split = lookup_join(df, lookup, "g", how, spread=["i"], hot=hot)
+        assert "_salt" not in split.columns and "_salt" not in plain._jdf.queryExecution().toString()
+        assert sorted(map(str, split.select("g", "i", "tag").collect())) == sorted(map(str, plain.select("g", "i", "tag").collect()))
 
 
 def test_banded_numbering_carry_total_and_previous(spark):

@@ -18,7 +18,9 @@ one block that holds it. Documents only meet the table of sources.
 
 Defined results: null sources are a source of their own; null and empty texts have no
 tokens, are in every whole epoch and in the part before the cut; a source without tokens
-gets one epoch; repeated rows are taken each on their own. Empty tables give empty ones.
+gets one epoch; repeated rows are taken each on their own: if the cut falls among rows of equal
+id and text, as many of them are taken as the budget needs; a column named as the new one is
+replaced. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -98,7 +100,8 @@ def block_of(place: Column, n_docs: Column) -> Column:
 
 
 def cuts(measured: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
-    """Per source with a rest: the place of the last document taken from the epoch after the whole ones."""
+    """Per source with a rest: the place of the last document taken from the epoch after the whole ones,
+    and how many of the equal rows at that place are taken."""
     open_sources = planned.filter("rest > 0").select(F.col("source").alias("s"), "n_docs", "epochs", "rest")
     placed = measured.join(open_sources, F.col("source").eqNullSafe(F.col("s"))).withColumn("place", order_of(F.col("uid"), F.col("epochs"), seed))
     placed = placed.withColumn("block", block_of(F.col("place"), F.col("n_docs")))
@@ -106,12 +109,24 @@ def cuts(measured: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
     before = F.sum("n_tokens").over(Window.partitionBy("s").orderBy("block")) - F.col("n_tokens")
     held = blocks.withColumn("before", before).filter("before < rest and before + n_tokens >= rest").select(F.col("s").alias("cut_s"), F.col("block").alias("cut_block"), "before")
     inside = placed.join(held, F.col("s").eqNullSafe(F.col("cut_s")) & (F.col("block") == F.col("cut_block")))
-    so_far = F.sum("n_tokens").over(Window.partitionBy("s").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return inside.withColumn("so_far", so_far + F.col("before")).filter("so_far >= rest").groupBy("s").agg(F.min("place").alias("cut"))
+    places = inside.groupBy("s", "rest", "before", "place").agg(F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("each"))
+    earlier = F.sum("n_tokens").over(Window.partitionBy("s").orderBy("place")) - F.col("n_tokens") + F.col("before")
+    reached = places.withColumn("left", F.col("rest") - earlier).filter("left > 0 and left <= n_tokens")
+    return reached.select("s", F.col("place").alias("cut"), F.ceil(F.col("left") / F.col("each")).alias("cut_rows"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, min_entropy: float = MIN_ENTROPY, max_repeat: float = MAX_REPEAT, seed: int = 0) -> DataFrame:
-    """docs once per epoch in which they are taken, with the new column mix (epoch, block, place).
+def first_rows(equal: DataFrame) -> DataFrame:
+    """Of the rows at the cut of a source the first ``cut_rows``, numbered within partitions and by sums over these."""
+    held = stage(equal.withColumn("part", F.spark_partition_id()))
+    counts = held.groupBy(F.col("s").alias("part_s"), F.col("part").alias("part_no")).agg(F.count("*").alias("rows"))
+    skipped = F.sum("rows").over(Window.partitionBy("part_s").orderBy("part_no")) - F.col("rows")
+    met = held.join(counts.withColumn("skipped", skipped), F.col("s").eqNullSafe(F.col("part_s")) & (F.col("part") == F.col("part_no")))
+    number = F.row_number().over(Window.partitionBy("s", "part").orderBy(F.lit(1))) + F.col("skipped")
+    return met.withColumn("number", number).filter("number <= cut_rows")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None, min_entropy: float = MIN_ENTROPY, max_repeat: float = MAX_REPEAT, seed: int = 0, mix_col: str = "mix") -> DataFrame:
+    """docs once per epoch in which they are taken, with the new column mix_col (epoch, block, place, weight, alpha).
 
     Ordered by mix within a source the rows are its permutations; budget: tokens, the
     corpus's own number if None.
@@ -122,12 +137,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     cut = cuts(measured, planned, seed)
     table = stage(
         planned.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
-        .select(F.col("source").alias("s"), "n_docs", "epochs", "cut", "weight", "alpha")
+        .select(F.col("source").alias("s"), "n_docs", "epochs", "cut", "cut_rows", "weight", "alpha")
     )
-    met = docs.select(F.struct(*docs.columns).alias("row"), uid.alias("uid")).join(table, F.col("row")[source_col].eqNullSafe(F.col("s")))
-    more = F.col("cut").isNotNull() & (order_of(F.col("uid"), F.col("epochs"), seed) <= F.col("cut"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), uid.alias("uid"), docs[source_col].alias("own"))
+    met = rows.join(table, F.col("own").eqNullSafe(F.col("s"))).drop("own")
+    last = order_of(F.col("uid"), F.col("epochs"), seed)
+    more = F.coalesce(last < F.col("cut"), F.lit(False))
     times = F.col("epochs") + more.cast("bigint")
-    taken = met.filter(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), times - 1)))
+    whole = met.filter(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), times - 1)))
+    at_cut = first_rows(met.filter(last == F.col("cut"))).withColumn("epoch", F.col("epochs"))
+    taken = whole.unionByName(at_cut.select(*whole.columns))
     place = order_of(F.col("uid"), F.col("epoch"), seed)
     mix = F.struct("epoch", block_of(place, F.col("n_docs")).alias("block"), place.alias("place"), "weight", "alpha")
-    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns], mix.alias("mix"))
+    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != mix_col], mix.alias(mix_col))

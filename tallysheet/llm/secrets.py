@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tallysheet.session import stage
 
-CORE = r"(?=[A-Za-z_+/.@-]*[0-9])[A-Za-z0-9_+/.@-]{12,}"
+# a run is looked at from its start only, so one of any length takes time in proportion
+CORE = r"(?<![A-Za-z0-9_+/.@-])(?=[A-Za-z_+/.@-]*+[0-9])[A-Za-z0-9_+/.@-]{12,}+"
 WHITE = r"[\x20\x09-\x0D]+"
 #: Words that name credentials.
 NAMES = r"token|secret|password|passwd|pwd|api_?key|access_?key|credential|auth"

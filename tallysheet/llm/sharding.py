@@ -12,7 +12,8 @@ bytes a slot), the next preference of each shard and whose turn it is. Probes go
 rounds of a fixed length until no slot is free.
 
 Defined results: null keys share one slot; equal keys share a shard; an empty table of
-documents gives an empty result; one shard takes everything.
+documents gives an empty result; one shard takes everything; columns of the documents named
+slot, shard or shard_name are replaced.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ def assign_shards(docs: DataFrame, shards: list[str], key_cols: list[str], prime
     placed = docs.select(F.struct(*docs.columns).alias("row"), slot.alias("slot"))
     # the table has as many rows as its size says
     found = placed.join(F.broadcast(table), F.col("slot") == F.col("table_slot"))
-    return found.select("row.*", "slot", F.col("table_row.shard").alias("shard"), F.col("table_row.name").alias("shard_name"))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("slot", "shard", "shard_name")]
+    return found.select(*own, "slot", F.col("table_row.shard").alias("shard"), F.col("table_row.name").alias("shard_name"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: list[str], key_cols: list[str], prime: int = PRIME) -> None:

@@ -191,8 +191,11 @@ class Step:
         self.flags = whole_windows(self.counts, window)[: len(self.low)] & holds(bitmap, self.low) & known[self.of]
 
     def uids(self) -> np.ndarray:
-        """The same for equal rows, whichever task reads them."""
-        found = [xxhash.xxh3_64_intdigest(as_bytes(t), seed=i & 0xFFFFFFFF) for t, i in zip(self.texts, self.owner.tolist(), strict=True)]
+        """The same for equal rows, whichever task reads them; no text ends in the mark of a null id."""
+        found = [
+            xxhash.xxh3_64_intdigest(as_bytes(t) + (b"\xff" if i is None else b""), seed=(i or 0) & 0xFFFFFFFFFFFFFFFF)
+            for t, i in zip(self.texts, self.ids, strict=True)
+        ]
         return np.array(found, dtype=np.uint64).astype(np.int64)
 
 
@@ -347,7 +350,7 @@ def remove_repeated_windows(
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = 1 << max(6, (4 * partitions - 1).bit_length())
+    n_buckets = 1 << max(6, (16 * partitions - 1).bit_length())
     keys = (
         rows.mapInArrow(_key_blobs(n_buckets, window, minimiser_words), "bucket int, keys binary, many binary")
         .repartition(partitions, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_repeated_keys, "keys binary")

@@ -3,30 +3,33 @@
 Lines are normalised (lower case, digits as 0, punctuation as spaces, single spaces). Equal
 normalised lines are one node. For near ones:
 
-1. A line's MinHash is that of its byte n-grams (GRAMS; longer ones for longer lines, both for
-   lengths between two kinds, so that two lines that can be alike share a kind). Each of 32
-   triples of its 64 values is a band. A line goes to the buckets of its bands without text,
-   once per step of a task.
-2. A bucket compares the lines that share a band by length and by 64 bits of their MinHashes
-   and returns the pairs that may be alike. In a long band lines that are almost certainly
-   alike to one before them are compared with no further one.
-3. Only lines in pairs are read again (a bitmap of fixed size finds them) and compared by
-   edit similarity: at first each line with its most similar partner, then all pairs whose
-   lines are not in one group yet.
+1. The SimHash of a line's byte n-grams has a bit set where over half the n-grams' hashes have
+   it. Lines are candidates if at most DIFFERENT_BITS differ.
+2. Pigeonhole blocks: the bits are cut into DIFFERENT_BITS + r blocks, and there is a table for
+   each choice of r of them, so candidates agree in all bits of a table at least
+   (`simhash.cell_masks`; r grows with the number of lines and changes no result). Fingerprints
+   travel packed to the buckets of their tables. Cells of more than SLICE members go on to a
+   second exchange, where each pair of their slices is a cell.
+3. A cell returns a spanning tree of each set of candidates that hang together, by the closest
+   pairs, and the tree's pairs are compared by edit similarity. Where all are alike the set is
+   one group, whatever its other pairs. Where one is not, the set is open: its lines meet again
+   and all pairs of lines that are in different groups by then are compared. So groups are those
+   that comparing all candidates gives, without writing all pairs of a group of copies.
 4. Connected lines form a group. The occurrence with the smallest (id, hash of the text,
    line number) stays, the other lines go from their documents.
 
-The pairs are found with a probability that falls with the share of common n-grams; README
-has the recall. No pair below the edit similarity is ever linked.
+A pair is linked if and only if it is within DIFFERENT_BITS and its edit similarity suffices;
+README has the share of alike pairs, by kind of edit, that are within the bits.
 
-Defined results: lines of fewer than MIN_WORDS words and fewer than MIN_BYTES bytes after
-normalisation are never removed, nor do they remove others; null and empty texts stay as they are; of equal rows (id and text) each keeps and
-loses the same lines; null ids come after all others.
+Defined results: lines without a letter (nothing but digits and signs) are never removed, nor do
+they remove others; lines of fewer than MIN_WORDS words and fewer than MIN_BYTES bytes go only if
+they are equal; null and empty texts stay as they are; of equal rows (id and text) each keeps and
+loses the same lines; null ids come after all others; columns of the documents that are named as
+the two new ones are replaced.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,30 +40,28 @@ from pyspark.sql import functions as F
 
 from tallysheet.llm.bitmaps import broadcast_bitmap, holds
 from tallysheet.llm.components import components
+from tallysheet.llm.simhash import GrayIndex, cell_masks, signed
 from tallysheet.llm.substrings import grouped
 from tallysheet.llm.words import as_bytes, mix, steps, texts_of
 from tallysheet.session import stage
 
-#: Lines with so many words or so many bytes are judged (a Chinese character has three bytes).
+#: Lines with so many words or so many bytes are compared with others (a Chinese character has three bytes).
 MIN_WORDS, MIN_BYTES = 3, 6
 SIMILARITY = 0.8
+#: Bits of 64 in which candidates may differ.
+DIFFERENT_BITS = 6
+#: Lines a cell may hold on average before cells get more bits; members from which on it is cut into slices.
+CROWD, SLICE = 512, 8192
 BITS = 1 << 27
 NORMAL = bytes(
     32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else 48 if 48 <= b <= 57 else b for b in range(256)
 )
-#: Bytes of an n-gram, and the characters of the lines it is used for: from, below. The ranges
-#: overlap by more than SIMILARITY, so alike lines have a kind in common.
-GRAMS = [(3, 0, 40), (5, 32, 125), (7, 100, 1 << 40)]
-#: A MinHash has 16 values of each of four hashes; no two bands share more than one of them.
-HASHES, BINS = 4, 16
-BANDS = np.array([[2 * t, 2 * t + 21, 2 * t + 42] for t in range(32)]) % (HASHES * BINS)
-#: Bits of 64 in which lines of a pair may differ, and up to which they are almost certainly alike.
-APART, SURE = 24, 6
-#: Lines of one band that are all compared with each other.
-ALL_PAIRS = 64
-#: An entry of a bucket: band, key of the line, bits of its MinHash, logarithm of its length.
-ENTRY = np.dtype([("band", "<u4"), ("key", "<i8"), ("bits", "<u8"), ("length", "<u2")])
-LENGTH_UNIT = 4096
+#: Bytes of an n-gram, and lines whose n-grams are counted at once.
+GRAM, COUNTED = 5, 2000
+#: The bits of a byte, the lowest first.
+BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float32)
+#: Fingerprints that a task packs at once, and about as many a bucket holds.
+PACKED, BUCKET = 200_000, 1 << 15
 #: Parts of the pairs of one line when texts are joined to them.
 SALTS = 64
 
@@ -70,146 +71,259 @@ def normal_lines(text: str | None) -> list[list[bytes]]:
     return [line.split() for line in as_bytes((text or "").lower()).translate(NORMAL).split(b"\n")]
 
 
-def judged_lines(text: str | None, min_words: int, min_bytes: int) -> Iterator[tuple[int, bytes]]:
-    """Number and normalised text of the lines that are long enough."""
+def judged_lines(text: str | None) -> Iterator[tuple[int, bytes, int]]:
+    """Number, normalised text and number of words of the lines with a letter."""
     for number, words in enumerate(normal_lines(text)):
         line = b" ".join(words)
-        if len(words) >= min_words or len(line) >= min_bytes:
-            yield number, line
-
-
-def minhashes(lines: list[bytes], gram: int) -> np.ndarray:
-    """The MinHash values of each line's n-grams; a space is put before and after a line."""
-    raw = np.frombuffer(b"".join(b" " + x + b" " for x in lines), np.uint8).astype(np.uint64)
-    line = np.repeat(np.arange(len(lines)), [len(x) + 2 for x in lines])
-    n = max(0, len(raw) - gram + 1)
-    code = np.zeros(n, np.uint64)
-    for i in range(gram):
-        code |= raw[i : i + n] << np.uint64(8 * i)
-    whole = line[:n] == line[gram - 1 :]
-    code, line = code[whole], line[:n][whole]
-    empty = np.uint32(0xFFFFFFFF)
-    out = np.full(len(lines) * HASHES * BINS, empty)
-    for h in range(HASHES):
-        x = mix(code + np.uint64((h + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        at = (line * HASHES + h) * BINS + (x & np.uint64(BINS - 1)).astype(np.int64)
-        np.minimum.at(out, at, (x >> np.uint64(32)).astype(np.uint32))
-    out = out.reshape(-1, BINS)
-    first = out.copy()
-    for d in range(1, BINS):  # an empty bin takes the value of the next one that is not
-        hole = out == empty
-        if not hole.any():
-            break
-        other = np.roll(first, -d, axis=1)
-        out = np.where(hole & (other != empty), other + np.uint32(d * 0x9E3779B1 & 0xFFFFFFFF), out)
-    return out.reshape(len(lines), HASHES * BINS)
-
-
-def entries(lines: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The entries of lines for their bands, and the full hash of each band."""
-    sizes = np.array([len(x.decode("utf-8", "replace")) for x in lines], dtype=np.int64)
-    found, bands = [np.zeros(0, ENTRY)], [np.zeros(0, np.uint64)]
-    for kind, (gram, least, below) in enumerate(GRAMS):
-        own = np.flatnonzero((sizes >= least) & (sizes < below))
-        if not len(own):
-            continue
-        values = minhashes([lines[i] for i in own], gram)
-        bits = np.packbits(values & np.uint32(1) == 1, axis=1).view(np.uint64).ravel()
-        length = np.minimum(65535, np.round(LENGTH_UNIT * np.log(sizes[own]))).astype(np.uint16)
-        wide = values.astype(np.uint64)
-        for t, (a, b, c) in enumerate(BANDS):
-            band = mix(mix(wide[:, a] << np.uint64(32) | wide[:, b]) ^ wide[:, c] ^ np.uint64((kind * len(BANDS) + t + 1) << 40))
-            part = np.zeros(len(own), ENTRY)
-            part["band"], part["key"], part["bits"], part["length"] = band & np.uint64(0xFFFFFFFF), keys[own], bits, length
-            found.append(part)
-            bands.append(band)
-    return np.concatenate(found), np.concatenate(bands)
+        if line.strip(b"0 "):
+            yield number, line, len(words)
+
+
+def fingerprints(lines: list[bytes]) -> np.ndarray:
+    """The SimHash of each line's n-grams, signed; a space is put before and after a line."""
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, len(lines), COUNTED):
+        some = lines[at : at + COUNTED]
+        raw = np.frombuffer(b"".join(b" " + x + b" " for x in some), np.uint8).astype(np.uint64)
+        size = np.array([len(x) + 2 for x in some])
+        line = np.repeat(np.arange(len(some)), size)
+        n = max(0, len(raw) - GRAM + 1)
+        code = np.zeros(n, np.uint64)
+        for i in range(GRAM):
+            code |= raw[i : i + n] << np.uint64(8 * i)
+        whole = line[:n] == line[GRAM - 1 :]
+        hashes, line = mix(code[whole] + np.uint64(0x9E3779B97F4A7C15)), line[:n][whole]
+        # how often each byte of the hashes has each value gives how often each bit is set
+        place = line[:, None] * 2048 + np.arange(8) * 256 + hashes.view(np.uint8).reshape(-1, 8)
+        values = np.bincount(place.ravel(), minlength=len(some) * 2048).reshape(-1, 256).astype(np.float32)
+        most = 2 * (values @ BYTE_BITS).reshape(len(some), 64) > np.maximum(size - GRAM + 1, 0)[:, None]
+        out.append(np.packbits(most, axis=1, bitorder="little").view("<i8").ravel())
+    return np.concatenate(out)
 
 
 def _line_rows(least: tuple[int, int]) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            doc, number, key = [], [], []
+            doc, number, node, known, near = [], [], [], {}, []
             for i, text in enumerate(texts_of(batch, "text")):
-                for j, line in judged_lines(text, *least):
+                for j, line, n_words in judged_lines(text):
                     doc.append(i)
                     number.append(j)
-                    key.append(xxhash.xxh3_64_intdigest(line))
+                    node.append(known.setdefault(line, len(known)))
+                    if node[-1] == len(near):
+                        near.append(n_words >= least[0] or len(line) >= least[1])
+            lines, node, near = list(known), np.array(node, np.int64), np.array(near, bool)
+            key = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], dtype=np.uint64).astype(np.int64)
+            fp = np.zeros(len(lines), np.int64)
+            fp[near] = fingerprints([x for x, n in zip(lines, near.tolist(), strict=True) if n])
             at = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()),
-                    pa.array(np.array(key, dtype=np.uint64).astype(np.int64)),
+                    pa.array(key[node]), pa.array(fp[node], mask=~near[node]),
                 ],
-                ["id", "uid", "line", "key"],
+                ["id", "uid", "line", "key", "fp"],
             )
 
     return rows
 
 
-def _bucketed(n_buckets: int, least: tuple[int, int]) -> Callable:
-    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
-            lines = sorted({line for text in texts_of(batch, "text") for _, line in judged_lines(text, *least)})
-            entry, band = entries(lines, np.array([xxhash.xxh3_64_intdigest(x) for x in lines], dtype=np.uint64).astype(np.int64))
-            bucket = (band >> np.uint64(64 - (n_buckets.bit_length() - 1))).astype(np.int64)
+def gray_ranks(codes: np.ndarray) -> np.ndarray:
+    for shift in (1, 2, 4, 8, 16, 32):
+        codes = codes ^ (codes >> np.uint64(shift))
+    return codes
+
+
+def near_pairs(index: GrayIndex, allowed: int, whole: bool, apart_only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members of the index's cells that are within the limit, as pairs of places.
+
+    With `whole`, groups that cannot get over the limit give a chain of their members and
+    one pair between two of them instead of all their pairs. With `apart_only`, a label of
+    each member, only pairs of different labels are given.
+    """
+    top = len(index.mask) - 1
+    roots = np.arange(len(index.mask[top]))
+    todo = [(top, roots, roots, np.zeros(len(roots), np.int64))]
+    while todo:
+        level, a, b, apart = todo.pop()
+        if len(a) > SLICE:
+            todo.append((level, a[SLICE:], b[SLICE:], apart[SLICE:]))
+            a, b, apart = a[:SLICE], b[:SLICE], apart[:SLICE]
+        if level == 0:
+            pair = a != b if apart_only is None else apart_only[a] != apart_only[b]
+            yield a[pair], b[pair]
+            continue
+        if whole:
+            done = apart + np.bitwise_count(~(index.mask[level][a] & index.mask[level][b])) <= allowed
+            yield from index._whole(level, a[done], b[done])
+            a, b, apart = a[~done], b[~done], apart[~done]
+        todo.append((level - 1, *index._below(level, a, b, apart, allowed)))
+
+
+def tree(u: np.ndarray, v: np.ndarray, codes: np.ndarray) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Pairs that join all that hang together, the closest first, and the root of each member of a pair."""
+    low, high = np.minimum(codes[u], codes[v]), np.maximum(codes[u], codes[v])
+    order = np.lexsort((high, low, np.bitwise_count(codes[u] ^ codes[v])))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    kept = []
+    for a, b in zip(u[order].tolist(), v[order].tolist(), strict=True):
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return kept, {x: root(x) for x in parent}
+
+
+TREES = ["u", "v", "comp"]
+
+
+def _trees(fps: np.ndarray, cell: np.ndarray, salt: np.ndarray, allowed: int) -> pa.RecordBatch:
+    """Trees of cells: pairs of fingerprints and the set they join. fps are in the order of cell and Gray rank."""
+    codes = fps.view(np.uint64)
+    found = [np.zeros((2, 0), np.int64)]
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    sizes = np.diff(np.r_[starts, len(cell)])
+    # pairs of a small cell are few; those of a large one would not be
+    for large in (False, True):
+        own = np.repeat((sizes > 256) == large, sizes)
+        at = np.flatnonzero(own)
+        if len(at):
+            found += [np.stack([at[u], at[v]]) for u, v in near_pairs(GrayIndex(codes[at], cell[at]), allowed, large)]
+    u, v = np.concatenate(found, axis=1)
+    pairs, roots = tree(u, v, codes)
+    a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+    top = np.array([roots[x] for x in a.tolist()], np.int64)
+    comp = mix(mix(codes[top]) + salt[top].astype(np.uint64)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(fps[a], fps[b])), pa.array(np.maximum(fps[a], fps[b])), pa.array(comp)], TREES)
+
+
+def _packed(masks: list[int], per_table: int) -> Callable:
+    """Fingerprints by table and bucket of the table."""
+    shift = np.uint64(64 - (per_table.bit_length() - 1))
+
+    def flush(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for t, m in enumerate(masks):
+            masked = mix(fps.view(np.uint64) & np.uint64(m))
+            bucket = (masked >> shift).astype(np.int64) if per_table > 1 else np.zeros(len(fps), np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            cuts = np.searchsorted(bucket[order], np.arange(per_table + 1))
             full = np.flatnonzero(np.diff(cuts))
-            entry = entry[order]
-            payload = [entry[cuts[i] : cuts[i + 1]].tobytes() for i in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(payload, pa.binary())], ["bucket", "payload"])
-
-    return bucketed
-
-
-def near_pairs(entry: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (a < b) of lines that share a band and may be alike, and in how many bits they differ."""
-    entry = entry[np.lexsort((entry["key"], entry["band"]))]
-    band, key, bits = entry["band"], entry["key"], entry["bits"]
-    if len(entry):
-        new = np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])]
-        band, key, bits, length = band[new], key[new], bits[new], entry["length"][new].astype(np.int64)
-    else:
-        length = np.zeros(0, np.int64)
-    shorter = -math.log(similarity) * LENGTH_UNIT + 2
-    found = [np.zeros((2, 0), np.int64)]
+            payload = [fps[order[cuts[i] : cuts[i + 1]]].tobytes() for i in full]
+            yield pa.RecordBatch.from_arrays([pa.array(t * per_table + full, pa.int32()), pa.array(payload, pa.binary())], ["bucket", "payload"])
 
-    def keep(i, j):
-        """Take the pairs of i and j that may be alike; which of all are almost certainly so."""
-        differ = np.bitwise_count(bits[i] ^ bits[j])
-        near = (differ <= APART) & (np.abs(length[i] - length[j]) <= shorter)
-        found.append(np.stack([np.broadcast_to(i, near.shape)[near], j[near]]))
-        return near & (differ <= SURE)
-
-    starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]]) if len(band) else np.zeros(0, np.int64)
-    sizes = np.diff(np.r_[starts, len(band)])
-    left = np.where(np.repeat(sizes, sizes) <= ALL_PAIRS, np.repeat(starts + sizes, sizes) - np.arange(len(band)) - 1, 0)
-    active, step = np.flatnonzero(left > 0), 1
-    while len(active):
-        keep(active, active + step)
-        step += 1
-        active = active[left[active] >= step]
-    for start, size in zip(starts[sizes > ALL_PAIRS], sizes[sizes > ALL_PAIRS], strict=True):
-        rest = np.arange(start, start + size)
-        while len(rest) > 1:
-            pivot, rest = rest[:1], rest[1:]
-            rest = rest[~keep(pivot, rest)]
-    i, j = np.concatenate(found, axis=1)
-    order = np.lexsort((key[j], key[i]))
-    i, j = i[order], j[order]
-    new = np.r_[True, (key[i][1:] != key[i][:-1]) | (key[j][1:] != key[j][:-1])][: len(i)]
-    i, j = i[new], j[new]
-    return key[i], key[j], np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
-
-
-def _near(similarity: float) -> Callable:
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in grouped(batches, "bucket"):
-            pairs = near_pairs(np.frombuffer(b"".join(r["payload"] for r in rows), ENTRY), similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "differ"])
-
-    return near
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            size += batch.num_rows
+            if size >= PACKED:
+                yield from flush(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield from flush(np.concatenate(held))
+
+    return packed
+
+
+def _bucket_trees(masks: list[int], per_table: int, allowed: int, slice_rows: int) -> Callable:
+    """Trees of a bucket's cells; the members of cells that are too large go on as rows (t, fp)."""
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in grouped(batches, "bucket"):
+            t = bucket // per_table
+            fps = np.frombuffer(b"".join(r["payload"] for r in rows), np.int64)
+            codes = fps.view(np.uint64)
+            cell = codes & np.uint64(masks[t])
+            order = np.lexsort((gray_ranks(codes), cell))
+            fps, cell = fps[order], cell[order]
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            sizes = np.diff(np.r_[starts, len(cell)])
+            big = np.repeat(sizes > slice_rows, sizes)
+            found = _trees(fps[~big], cell[~big], np.full(len(fps) - big.sum(), t), allowed)
+            none = pa.nulls(found.num_rows, pa.int32()), pa.nulls(found.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*found.columns, *none], [*TREES, "t", "fp"])
+            if big.any():
+                n = int(big.sum())
+                empty = [pa.nulls(n, pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([*empty, pa.array(np.full(n, t, np.int32)), pa.array(fps[big])], [*TREES, "t", "fp"])
+
+    return trees
+
+
+def _slice_trees(allowed: int) -> Callable:
+    """Trees of pairs of slices; each group of rows is one of them."""
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in grouped(batches, "part"):
+            fps = np.array([r["fp"] for r in rows], np.int64)
+            fps = fps[np.argsort(gray_ranks(fps.view(np.uint64)))]
+            yield _trees(fps, np.zeros(len(fps), np.int64), np.full(len(fps), part, np.int64), allowed)
+
+    return trees
+
+
+def candidate_trees(prints: DataFrame, allowed: int, partitions: int, slice_rows: int = SLICE, crowd: int = CROWD) -> DataFrame:
+    """Columns u, v, comp: trees of candidates within a cell. prints: fp, each once."""
+    n = prints.count()
+    masks = cell_masks(n, allowed, crowd)
+    per_table = 1 << max(0, (n // BUCKET).bit_length())
+    both = stage(
+        prints.select("fp").mapInArrow(_packed(masks, per_table), "bucket int, payload binary")
+        .repartition(partitions, "bucket").sortWithinPartitions("bucket")
+        .mapInArrow(_bucket_trees(masks, per_table, allowed, slice_rows), "u bigint, v bigint, comp bigint, t int, fp bigint")
+    )
+    found, over = both.filter("u is not null").select(*TREES), both.filter("fp is not null").select("t", "fp")
+    if not over.head(1):
+        return found
+    mask = F.array(*[F.lit(signed(m)) for m in masks])
+    cells = over.withColumn("cell", F.col("fp").bitwiseAND(F.get(mask, F.col("t"))))
+    slices = stage(cells.groupBy("t", "cell").agg(F.ceil(F.count("*") / (slice_rows / 2)).cast("int").alias("slices")))
+    own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda x: x != F.col("own")))
+    pairs = cells.join(slices, ["t", "cell"]).withColumn("own", own).withColumn("other", other)
+    part = F.xxhash64("t", "cell", F.least("own", "other"), F.greatest("own", "other")).alias("part")
+    sliced = pairs.select(part, "fp").repartition(partitions, "part").sortWithinPartitions("part")
+    return found.unionByName(sliced.mapInArrow(_slice_trees(allowed), "u bigint, v bigint, comp bigint"))
+
+
+def _open_pairs(allowed: int) -> Callable:
+    """All pairs of keys of a cell that are within the limit and in different groups."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, "part"):
+            fps, key, label = (np.array([r[c] for r in rows], np.int64) for c in ("fp", "key", "label"))
+            order = np.argsort(gray_ranks(fps.view(np.uint64)))
+            fps, key, label = fps[order], key[order], label[order]
+            for u, v in near_pairs(GrayIndex(fps.view(np.uint64), np.zeros(len(fps), np.int64)), allowed, False, label):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[u], key[v])), pa.array(np.maximum(key[u], key[v]))], ["a", "b"])
+
+    return pairs
+
+
+def open_candidates(lines: DataFrame, allowed: int, partitions: int, slice_rows: int = SLICE, crowd: int = CROWD) -> DataFrame:
+    """Columns a, b: all candidates in different groups. lines: fp, key, label."""
+    masks = cell_masks(lines.count(), allowed, crowd)
+    places = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("cell")) for t, m in enumerate(masks)))
+    rows = lines.select("fp", "key", "label", F.explode(places).alias("place")).select("fp", "key", "label", "place.*")
+    slices = rows.groupBy("t", "cell").agg(F.count("*").alias("n")).filter("n > 1")
+    cut = rows.join(slices.select("t", "cell", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices")), ["t", "cell"])
+    own = F.pmod(F.xxhash64("key"), F.col("slices")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda x: (x != F.col("own")) | (F.col("slices") == 1))
+    met = cut.withColumn("own", own).withColumn("other", F.explode(others))
+    part = F.xxhash64("t", "cell", F.least("own", "other"), F.greatest("own", "other")).alias("part")
+    return (
+        met.select(part, "fp", "key", "label").repartition(partitions, "part").sortWithinPartitions("part")
+        .mapInArrow(_open_pairs(allowed), "a bigint, b bigint").distinct()
+    )
 
 
 def _place(uid: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -296,56 +410,77 @@ def _texts_at(pairs: DataFrame, words: DataFrame, end: str) -> DataFrame:
     return salted.join(texts, [end, "salt"]).drop("salt")
 
 
-def line_links(rows: DataFrame, nodes: DataFrame, similarity: float, least: tuple[int, int], bits: int, partitions: int) -> DataFrame:
-    """Links (a, b) of keys of alike lines. rows: uid, text; nodes: key, first (uid, line)."""
-    n_buckets = 1 << max(6, (4 * partitions - 1).bit_length())
-    near = (
-        rows.select("text").mapInArrow(_bucketed(n_buckets, least), "bucket int, payload binary")
-        .repartition(partitions, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_near(similarity), "a bigint, b bigint, differ bigint")
-    )
-    pairs = stage(near.groupBy("a", "b").agg(F.min("differ").alias("differ")))
-    ends = F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("other")), F.struct(F.col("b").alias("key"), F.col("a").alias("other"))))
-    best = stage(pairs.select("differ", ends.alias("end")).groupBy("end.key").agg(F.min(F.struct("differ", "end.other")).alias("best")))
-    wanted = broadcast_bitmap(nodes.join(best.select("key"), "key").select("first.uid", "first.line").mapInArrow(_place_keys, "keys binary"), bits)
-    words = stage(rows.select("uid", "text").mapInArrow(_wanted_lines(wanted), "key bigint, words string").dropDuplicates(["key"]))
-
-    def links(some: DataFrame) -> DataFrame:
-        both = _texts_at(_texts_at(some, words, "a"), words, "b").select("a", "b", "words_a", "words_b")
+def line_links(rows: DataFrame, nodes: DataFrame, similarity: float, allowed: int, bits: int, partitions: int, slice_rows: int = SLICE) -> DataFrame:
+    """Links (a, b) of keys of alike lines. rows: uid, text; nodes: key, first (uid, line), fp."""
+    lines = nodes.filter("fp is not null")
+    prints = stage(lines.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("n")))
+    trees = stage(candidate_trees(prints, allowed, partitions, slice_rows))
+    ends = trees.select("u", "v").distinct()
+    rep = lambda end: prints.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}"))
+    between = ends.join(rep("u"), "u").join(rep("v"), "v").select(
+        F.least("rep_u", "rep_v").alias("a"), F.greatest("rep_u", "rep_v").alias("b"), "u", "v")
+    # lines of equal fingerprints are compared with one of them
+    shared = lines.join(prints.filter("n > 1").select("fp", "rep"), "fp").filter("key <> rep").select(
+        F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b"), F.col("fp").alias("u"), F.col("fp").alias("v"))
+    tried = stage(between.unionByName(shared))
+
+    def texts(keys: DataFrame) -> DataFrame:
+        wanted = nodes.join(keys.distinct(), "key").select("first.uid", "first.line").mapInArrow(_place_keys, "keys binary")
+        bitmap = broadcast_bitmap(wanted, bits)
+        found = stage(rows.select("uid", "text").mapInArrow(_wanted_lines(bitmap), "key bigint, words string").dropDuplicates(["key"]))
+        bitmap.destroy()
+        return found
+
+    def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
+        both = _texts_at(_texts_at(pairs, words, "a"), words, "b").select("a", "b", "words_a", "words_b")
         return stage(both.mapInArrow(_alike(similarity), "a bigint, b bigint"))
 
-    tried = best.select(F.least("key", "best.other").alias("a"), F.greatest("key", "best.other").alias("b")).distinct()
-    first = links(tried)
+    keys = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    first = compared(tried.select("a", "b"), texts(keys(tried)))
+    failed = stage(tried.join(first, ["a", "b"], "left_anti"))
+    if not failed.head(1):
+        return first
+    # a set is open if one of its pairs failed, or lines of equal fingerprints in it did
+    alone = failed.filter("u = v").select(F.col("u").alias("fp"))
+    sides = trees.select("comp", F.explode(F.array("u", "v")).alias("fp")).distinct()
+    bad = trees.join(failed.select("u", "v").filter("u <> v"), ["u", "v"], "left_semi").select("comp").unionByName(sides.join(alone, "fp", "left_semi").select("comp")).distinct()
+    open_prints = sides.join(bad, "comp", "left_semi").select("fp").unionByName(alone).distinct()
     group = components(first)
-    label = lambda end: group.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
-    further = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    further = further.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-    return first.unionByName(links(further.join(tried, ["a", "b"], "left_anti")))
+    again = stage(
+        lines.join(open_prints, "fp", "left_semi").select("fp", "key")
+        .join(group.withColumnRenamed("node", "key"), "key", "left").select("fp", "key", F.coalesce("label", "key").alias("label"))
+    )
+    further = stage(open_candidates(again, allowed, partitions, slice_rows).join(failed.select("a", "b"), ["a", "b"], "left_anti"))
+    return first.unionByName(compared(further, texts(keys(further))))
 
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-    min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, bits: int = BITS,
+    min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, bits: int = BITS, allowed: int = DIFFERENT_BITS,
+    n_lines_col: str = "n_lines", n_removed_col: str = "n_removed",
 ) -> DataFrame:
-    """docs with the lines removed from text_col, and the new columns n_lines and n_removed."""
+    """docs with the lines removed from text_col, and the new columns n_lines_col and n_removed_col."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     uid = F.xxhash64(docs[id_col], docs[text_col])
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), uid.alias("uid"), docs[text_col].alias("text"))
-    found = stage(rows.mapInArrow(_line_rows((min_words, min_bytes)), "id bigint, uid bigint, line int, key bigint"))
+    found = stage(rows.mapInArrow(_line_rows((min_words, min_bytes)), "id bigint, uid bigint, line int, key bigint, fp bigint"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "uid", "line")
-    nodes = stage(found.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("many")))
-    group = components(line_links(rows, nodes, similarity, (min_words, min_bytes), bits, partitions))
+    nodes = stage(found.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("many"), F.max("fp").alias("fp")))
+    group = components(line_links(rows, nodes, similarity, allowed, bits, partitions))
     labelled = nodes.join(group.withColumnRenamed("node", "key"), "key", "left").select("key", "first", "many", F.coalesce("label", "key").alias("label"))
     keepers = labelled.groupBy("label").agg(F.min("first").alias("keeper"), F.sum("many").alias("many")).filter("many > 1").drop("many")
     again = labelled.join(keepers, "label").select("key", "keeper")
     gone = (
-        found.join(again, "key").filter((F.col("uid") != F.col("keeper.uid")) | (F.col("line") != F.col("keeper.line")))
+        found.select("uid", "line", "key").join(again, "key").filter((F.col("uid") != F.col("keeper.uid")) | (F.col("line") != F.col("keeper.line")))
         .groupBy("uid").agg(F.collect_set("line").alias("gone")).withColumnRenamed("uid", "gone_uid")
     )
-    parts = F.split(F.col("row")[text_col], "\n", -1)
+    parts = F.split(F.col("old"), "\n", -1)
     kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col("gone"), i))
-    joined = docs.select(F.struct(*docs.columns).alias("row"), uid.alias("uid")).join(gone, F.col("uid") == F.col("gone_uid"), "left")
-    text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
-    n_lines = F.coalesce(F.length(F.col("row")[text_col]) - F.length(F.replace(F.col("row")[text_col], F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    return joined.select(*columns, n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].alias("old"), uid.alias("uid"))
+    joined = own.join(gone, F.col("uid") == F.col("gone_uid"), "left")
+    text = F.when(F.col("gone").isNull(), F.col("old")).otherwise(F.array_join(kept, "\n"))
+    new = (n_lines_col, n_removed_col)
+    columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in new]
+    n_lines = F.coalesce(F.length("old") - F.length(F.replace(F.col("old"), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    return joined.select(*columns, n_lines.cast("bigint").alias(n_lines_col), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias(n_removed_col))

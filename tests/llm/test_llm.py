@@ -140,97 +140,6 @@ def test_edit_distance():
         assert lines.edits(a, b, most) == min(plain(a, b), most + 1)
 
 
-def test_line_dedup(spark, docs):
-    found = {r.doc_id: r for r in lines.dedup_lines(docs.filter("doc_id is not null").withColumn("line", F.lit(1))).collect()}
-    assert found[0].n_removed == 0 and found[1].text == ""  # a copy
-    assert found[15].n_removed == 0 and found[16].n_removed == 1  # equal after normalisation
-    assert found[6].text is None and found[7].text == "" and found[18].n_removed == 0  # short lines stay
-    assert found[4].text.count("\n") == 0 and found[5].text == ""
-    assert lines.dedup_lines(docs.filter("false")).count() == 0
-
-
-def test_fuzzy_lines_against_all_pairs(spark):
-    rng = random.Random(9)
-    texts = []
-    for _ in range(40):
-        line = [f"{rng.choice(WORDS)}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(rng.choice([4, 30, 150]))]
-        for _ in range(5):
-            own = list(line)
-            own[rng.randrange(len(own))] += rng.choice(["", "s", "ly"])
-            texts.append(" ".join(own))
-    rng.shuffle(texts)
-    docs = spark.createDataFrame([(i, "\n".join(texts[4 * i : 4 * i + 4])) for i in range(50)], "doc_id bigint, text string")
-    cache = lines.WordHashes()
-    sets = [set(lines.normal_lines(t)[0]) for t in texts]
-    sizes = np.array([len(s) for s in sets])
-    value = lines.simhashes(cache.of([w for s in sets for w in s]), np.cumsum(sizes) - sizes)
-    label, fuzzy = list(range(len(texts))), 0
-    for a in range(len(texts)):
-        for b in range(a):
-            if texts[a] == texts[b] or (int(value[a] ^ value[b]).bit_count() <= 3 and lines.alike(texts[a], texts[b], 0.8)):
-                fuzzy += texts[a] != texts[b]
-                low, high = sorted((label[a], label[b]))
-                label = [low if x == high else x for x in label]
-    assert fuzzy > 20
-    found = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
-    for i in range(50):
-        assert found[i] == "\n".join(texts[k] for k in range(4 * i, 4 * i + 4) if label[k] == k)
-
-
-def changed_lines(rng, sizes, copies):
-    """Lines of so many random words, and copies with one word changed."""
-    def word():
-        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
-
-    texts = []
-    for size in sizes:
-        line = [word() for _ in range(size)]
-        texts.append(" ".join(line))
-        for _ in range(copies):
-            own = list(line)
-            own[rng.randrange(size)] = word()
-            texts.append(" ".join(own))
-    return texts
-
-
-def test_fuzzy_lines_by_edit_similarity_alone(spark):
-    rng = random.Random(12)
-    texts = changed_lines(rng, [5, 8, 12, 20, 30, 50] * 25, 1)
-    pairs = [(a, a + 1) for a in range(0, len(texts), 2) if lines.alike(texts[a], texts[a + 1], 0.8)]
-    assert len(pairs) > 120 and {len(texts[a].split()) for a, _ in pairs} == {5, 8, 12, 20, 30, 50}
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
-    found = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()}
-    gone = {i for i, n in found.items() if n}
-    assert gone <= {b for _, b in pairs}
-    assert len(gone) >= 0.97 * len(pairs)
-
-
-def test_many_alike_lines_of_one_band(spark):
-    rng = random.Random(13)
-    texts = changed_lines(rng, [40], 300) + changed_lines(rng, [7], 100)
-    label = list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            if label[a] != label[b] and lines.alike(texts[a], texts[b], 0.8):
-                low, high = sorted((label[a], label[b]))
-                label = [low if x == high else x for x in label]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
-    found = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()}
-    assert all(label[i] != i for i, n in found.items() if n)
-    assert sum(found.values()) >= 0.99 * sum(x != i for i, x in enumerate(label))
-
-
-def test_lines_of_few_words(spark):
-    rng = random.Random(14)
-    chinese = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60))
-    near = chinese[:30] + "\u4e00\u4e01" + chinese[32:]
-    address = "https://h1.example.com/" + "".join(rng.choice("abcdefgh") for _ in range(60))
-    texts = ["Cookie Policy\n" + prose(rng, 9), "cookie policy!\n" + prose(rng, 9), chinese, near, address, address, "Login", "Login", "Impressum", "IMPRESSUM"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    found = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()}
-    assert found == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 1, 6: 0, 7: 0, 8: 0, 9: 1}
-
-
 def test_neighbours(spark, docs):
     some = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     texts = dict(sorted((r.doc_id, r.text or "") for r in some.collect()))

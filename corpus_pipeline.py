@@ -19,6 +19,13 @@ from tallysheet.llm.queries import vocabulary
 from tallysheet.session import stage
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name for a column of a stage that the documents have not."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return keep_quality(docs)
@@ -26,8 +33,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in the corpus before go; so do documents without a word left."""
-    found = dedup_lines(docs)
-    left = found.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    removed = unused("n_removed", docs.columns)
+    found = dedup_lines(docs, n_lines_col=unused("n_lines", docs.columns), n_removed_col=removed)
+    left = found.filter((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
@@ -38,7 +46,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights."""
-    return mixed(docs).select(*docs.columns)
+    return mixed(docs, mix_col=unused("mix", docs.columns)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

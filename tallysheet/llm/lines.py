@@ -57,7 +57,7 @@ NORMAL = bytes(
     32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else 48 if 48 <= b <= 57 else b for b in range(256)
 )
 #: Bytes of an n-gram, and lines whose n-grams are counted at once.
-GRAM, COUNTED = 5, 2000
+GRAM, COUNTED = 6, 2000
 #: The bits of a byte, the lowest first.
 BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float32)
 #: Fingerprints that a task packs at once, and about as many a bucket holds.

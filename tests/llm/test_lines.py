@@ -32,7 +32,7 @@ def changed_lines(rng, sizes, copies, words=1):
 def plain_print(line):
     from tallysheet.llm.words import mix
     padded = b" " + line + b" "
-    hashes = [int(mix(np.array([int.from_bytes(padded[i : i + 5], "little") + 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0]) for i in range(len(padded) - 4)]
+    hashes = [int(mix(np.array([int.from_bytes(padded[i : i + 6], "little") + 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0]) for i in range(len(padded) - 5)]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 

@@ -176,6 +176,11 @@ PLACES = (
 )
 
 
+def template_of(spark, sf, key):
+    """A template for each number of an order or file, all templates alike."""
+    return (key % (table(spark, sf, "part").count() // 8)).cast("string")
+
+
 def template_fields(spark, sf):
     """Templates of eight fields, one field per part row."""
     k, place = F.col("p_partkey"), F.col("p_partkey") % 8

@@ -39,10 +39,10 @@ def q_j9(spark, sf):
 
 
 def _mapped_records(spark, sf):
-    """Records whose map is keyed by the fields of template order % 25."""
+    """Records whose map is keyed by the fields of the template of their order."""
     k = F.col("l_orderkey")
     rows = b._first_lines(spark, sf).select(
-        k.cast("string").alias("record_id"), (k % 25).cast("string").alias("template_id"),
+        k.cast("string").alias("record_id"), b.template_of(spark, sf, k).alias("template_id"),
         F.col("l_linenumber").alias("sort_order"), F.col("l_returnflag").alias("value"),
     )
     keyed = rows.join(b.template_fields(spark, sf).select("template_id", "sort_order", "key"), ["template_id", "sort_order"])
@@ -58,7 +58,7 @@ def q_t6(spark, sf):
 def q_t7(spark, sf):
     cells = b._first_lines(spark, sf).select(
         F.col("l_orderkey").cast("string").alias("record_id"),
-        ((F.col("l_orderkey") % 25) * 8 + F.col("l_linenumber") - 1).cast("string").alias("field_id"),
+        (b.template_of(spark, sf, F.col("l_orderkey")).cast("bigint") * 8 + F.col("l_linenumber") - 1).cast("string").alias("field_id"),
     )
     return evolution.evolve_template(
         b.template_fields(spark, sf), _edit(spark, sf), _mapped_records(spark, sf), cells)[2]
@@ -225,7 +225,7 @@ ORACLE = {
     "j9_reconcile_fields": b.sql(EDIT + "SELECT * FROM rec", "v_template_fields"),
     "t6_rename_keys": b.sql(
         EDIT + """, d AS (SELECT l_orderkey AS ord, key, l_returnflag AS value, template_id FROM v_lines
-            JOIN v_template_fields ON template_id = CAST(l_orderkey % 25 AS VARCHAR) AND sort_order = l_linenumber),
+            JOIN v_template_fields ON template_id = CAST(l_orderkey % (SELECT count(*) // 8 FROM part) AS VARCHAR) AND sort_order = l_linenumber),
         x AS (SELECT ord, d.key, value, change, new_key FROM d JOIN rec ON rec.template_id = d.template_id AND old_key = d.key),
         hit AS (SELECT DISTINCT ord FROM x WHERE change IN ('removed', 'renamed')),
         moved AS (SELECT ord, new_key AS key, value FROM x WHERE change = 'renamed'),
@@ -233,8 +233,8 @@ ORACLE = {
         SELECT CAST(ord AS VARCHAR) AS record_id, coalesce(string_agg(key || '=' || value, ';' ORDER BY key || '=' || value), '') AS data
         FROM hit LEFT JOIN y USING (ord) GROUP BY ord""", "v_template_fields", "v_lines"),
     "t7_evolved_cells": b.sql(
-        EDIT + """SELECT CAST(l_orderkey AS VARCHAR) AS record_id, CAST((l_orderkey % 25) * 8 + l_linenumber - 1 AS VARCHAR) AS field_id FROM v_lines
-        WHERE CAST((l_orderkey % 25) * 8 + l_linenumber - 1 AS VARCHAR) NOT IN (SELECT field_id FROM rec WHERE change = 'removed')""",
+        EDIT + """SELECT CAST(l_orderkey AS VARCHAR) AS record_id, CAST((l_orderkey % (SELECT count(*) // 8 FROM part)) * 8 + l_linenumber - 1 AS VARCHAR) AS field_id FROM v_lines
+        WHERE CAST((l_orderkey % (SELECT count(*) // 8 FROM part)) * 8 + l_linenumber - 1 AS VARCHAR) NOT IN (SELECT field_id FROM rec WHERE change = 'removed')""",
         "v_template_fields", "v_lines"),
     "u6_removed_fields": b.sql(
         "SELECT template_id, field_id FROM v_template_fields WHERE CAST(field_id AS BIGINT) % 5 = 0", "v_template_fields"),

@@ -33,14 +33,10 @@ def _row_values():
 def documents(spark, sf):
     return b.table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("document_id"),
-        (F.col("o_orderkey") % 25).cast("string").alias("template_id"),
+        b.template_of(spark, sf, F.col("o_orderkey")).alias("template_id"),
     )
 
 
-def short_fields(spark, sf):
-    return b.template_fields(spark, sf).filter(F.col("sort_order") <= 3)
-
-
 def cell_table_responses(spark, sf):
     """Two tables per document: lines 1-4 under a header, the rest continued without one."""
     def cell(kind, row, column, content, page):
@@ -78,7 +74,7 @@ def q_l1(spark, sf):
 
 def q_l1_rows(spark, sf):
     cells = layouts.read_cell_tables(cell_table_responses(spark, sf))
-    done = tables.table_rows(cells, documents(spark, sf), short_fields(spark, sf))
+    done = tables.table_rows(cells, documents(spark, sf), b.template_fields(spark, sf))
     return tables.rows_of(done)
 
 
@@ -278,13 +274,13 @@ def _ready_json(spark, sf):
 
 def q_s2(spark, sf):
     rows = layouts.read_ready_rows(_ready_json(spark, sf))
-    _, cells = tables.ready_rows(rows, documents(spark, sf), short_fields(spark, sf))
+    _, cells = tables.ready_rows(rows, documents(spark, sf), b.template_fields(spark, sf))
     return cells.select("document_id", "_at", "sort_order", "raw_value", "normalized_value", "confidence_pct").withColumnRenamed("_at", "place")
 
 
 def q_s2_rows(spark, sf):
     rows = layouts.read_ready_rows(_ready_json(spark, sf))
-    kept, _ = tables.ready_rows(rows, documents(spark, sf), short_fields(spark, sf))
+    kept, _ = tables.ready_rows(rows, documents(spark, sf), b.template_fields(spark, sf))
     return kept.select("document_id", "row_number", "source_page", "row_confidence_pct")
 
 
@@ -297,7 +293,7 @@ def table_words(spark, sf, shift=0.0):
     body = F.array(*[
         word(F.col("n") * 10 + i, t, x, y + dy, w) for i, (t, x, dy, w) in enumerate((
             (F.lit("Person"), 10, 0, 44), (F.element_at(F.split("name", " "), -1), 58, 2, 36),
-            (F.regexp_replace("email", " at mail dot com", "@mail.com"), 160, -1, 90), (F.col("phone"), 330, 1, 80)))
+            (F.regexp_replace("email", " at mail dot com", "@mail.com"), 160, -1, 90), (F.col("phone"), 330, 1, 50)))
     ])
     head = F.array(*[
         word(F.lit(i), F.lit(t), x, F.lit(10), w) for i, (t, x, w) in enumerate((
@@ -315,11 +311,11 @@ def _word_result(cells):
 
 
 def q_l2_nested(spark, sf):
-    return _word_result(word_tables.word_table_rows(table_words(spark, sf), documents(spark, sf), short_fields(spark, sf), "nested"))
+    return _word_result(word_tables.word_table_rows(table_words(spark, sf), documents(spark, sf), b.template_fields(spark, sf), "nested"))
 
 
 def q_l2_grid(spark, sf):
-    return _word_result(word_tables.word_table_rows(table_words(spark, sf, 30.0), documents(spark, sf), short_fields(spark, sf), "grid"))
+    return _word_result(word_tables.word_table_rows(table_words(spark, sf, 30.0), documents(spark, sf), b.template_fields(spark, sf), "grid"))
 
 
 def form_words(spark, sf, one_per_page=False):
@@ -341,14 +337,14 @@ def form_words(spark, sf, one_per_page=False):
 
 
 def q_l4_grid(spark, sf):
-    return _word_result(word_forms.grid_form_rows(form_words(spark, sf), documents(spark, sf), short_fields(spark, sf)))
+    return _word_result(word_forms.grid_form_rows(form_words(spark, sf), documents(spark, sf), b.template_fields(spark, sf)))
 
 
 def q_l4_nested(spark, sf):
     pages = _lines(spark, sf).select(
         F.concat_ws("-", F.col("order").cast("string"), F.col("n").cast("string")).alias("document_id"),
-        (F.col("order") % 25).cast("string").alias("template_id"))
-    return _word_result(word_forms.nested_form_rows(form_words(spark, sf, True), pages, short_fields(spark, sf)))
+        b.template_of(spark, sf, F.col("order")).alias("template_id"))
+    return _word_result(word_forms.nested_form_rows(form_words(spark, sf, True), pages, b.template_fields(spark, sf)))
 
 
 def _spots(spark, sf):
@@ -450,15 +446,22 @@ CLEAN_HEAD = HEAD_SQL.replace("line  status", "line status")
 VALUES = "[(0, name), (1, email), (2, phone), (3, day), (8, status), (9, flag)]"
 
 
-def _short(blend, extra=""):
-    """Expected short-form cells: three fields of every row."""
-    return f"""WITH {LINES} SELECT CAST(ord AS VARCHAR) AS document_id, {{row}} AS output_row, CAST(f AS INTEGER) AS sort_order,
-      CASE f WHEN 1 THEN name WHEN 2 THEN 'u' || l_suppkey || '@mail.com' ELSE '0801234' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') END AS normalized_value,
-      CAST(CASE f {blend} END AS INTEGER) AS confidence_pct
-    FROM lines, (SELECT unnest([1, 2, 3]) AS f) {extra}"""
+def _filled(found: int, blank: str):
+    """Expected cells of every row: three fields are found with this structure confidence, five are blank."""
+    return f"""WITH {LINES}, x AS (SELECT ord, n, sort_order, required, CASE sort_order WHEN 1 THEN name WHEN 2 THEN 'u' || l_suppkey || '@mail.com'
+          WHEN 3 THEN '0801234' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') WHEN 5 THEN 'false' ELSE '' END AS value
+        FROM lines JOIN v_template_fields ON template_id = CAST(ord % {TEMPLATES} AS VARCHAR))
+      SELECT CAST(ord AS VARCHAR) AS document_id, {{row}} AS output_row, sort_order, value AS normalized_value,
+        CAST(CASE WHEN sort_order IN (1, 3) THEN (90*72+{found}*28+50)//100 WHEN sort_order = 2 THEN (94*72+{found}*28+50)//100 ELSE {blank} END AS INTEGER) AS confidence_pct
+      FROM x"""
 
 
-RANK = "CAST(row_number() OVER (PARTITION BY ord, f ORDER BY n) AS INTEGER)"
+def _blank(structure: int) -> str:
+    return f"CASE WHEN required THEN least(68, (34*72+{structure}*28+50)//100) ELSE (68*72+{structure}*28+50)//100 END"
+
+
+TEMPLATES = "(SELECT count(*) // 8 FROM part)"
+RANK = "CAST(row_number() OVER (PARTITION BY ord, sort_order ORDER BY n) AS INTEGER)"
 ORACLE = {
     "s3_cell_tables": f"""WITH {LINES}, heads(c, t) AS (VALUES {CLEAN_HEAD}),
       v AS (SELECT ord, n, unnest([0,1,2,3,8,9]) AS c, unnest([name, email, phone, day, status, flag]) AS t FROM lines)
@@ -473,21 +476,17 @@ ORACLE = {
           WHEN 4 THEN '' WHEN 5 THEN 'false' WHEN 7 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE '' END AS value,
         CASE sort_order WHEN 1 THEN 90 WHEN 2 THEN 94 WHEN 3 THEN 90 WHEN 7 THEN 90 ELSE CASE WHEN required THEN 34 ELSE 68 END END AS v,
         CASE sort_order WHEN 1 THEN 72 WHEN 2 THEN 96 WHEN 3 THEN 90 WHEN 7 THEN 96 ELSE 58 END AS s
-      FROM lines JOIN f ON f.t = ord % 25)
+      FROM lines JOIN f ON f.t = ord % (SELECT count(*) // 8 FROM part))
       SELECT CAST(ord AS VARCHAR) AS document_id, CAST(r AS INTEGER) AS output_row, CASE WHEN n <= 4 THEN 1 ELSE 2 END AS source_page,
         sort_order, value AS normalized_value,
         CAST(CASE WHEN value IN ('', 'false') AND required THEN least(68, (v * 72 + s * 28 + 50) // 100) ELSE (v * 72 + s * 28 + 50) // 100 END AS INTEGER) AS confidence_pct,
         CASE WHEN value IN ('', 'false') AND required THEN 'missing_required' ELSE '' END AS issues FROM x""",
-    "l1_table_rows": f"""WITH {LINES} SELECT CAST(ord AS VARCHAR) AS document_id, row_number() OVER w AS row_number,
-        CAST(row_number() OVER w AS INTEGER) AS output_row, CASE WHEN n <= 4 THEN 1 ELSE 2 END AS source_page,
-        CAST(({{conf}} * 2 + 3) // 6 AS BIGINT) AS row_confidence_pct FROM lines WINDOW w AS (PARTITION BY ord ORDER BY n)""".replace(
-            "{conf}", "((90*72+72*28+50)//100 + (94*72+96*28+50)//100 + (90*72+90*28+50)//100)"),
     "w9_carried_headers": f"""WITH {LINES} SELECT DISTINCT CAST(ord AS VARCHAR) AS document_id, 0 AS table_index, 0 AS header_row, 0 AS header_table FROM lines
       UNION ALL SELECT DISTINCT CAST(ord AS VARCHAR), 1, NULL, 0 FROM lines WHERE n > 4""",
     "w4_column_mapping": """SELECT CAST(o_orderkey AS VARCHAR) AS document_id, f AS sort_order,
         CAST([0, 1, 2, 4, 5, 6, 3, 7][f] AS INTEGER) AS column_index, CAST([11, 0, 4, NULL, NULL, NULL, 0, NULL][f] AS INTEGER) AS score,
         CAST([72, 96, 90, 58, 58, 58, 96, 58][f] AS INTEGER) AS structure_pct
-      FROM orders, (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS f) WHERE (o_orderkey % 25) * 8 <= (SELECT max(p_partkey) FROM part)""",
+      FROM orders, (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS f) WHERE (o_orderkey % (SELECT count(*) // 8 FROM part)) * 8 <= (SELECT max(p_partkey) FROM part)""",
     "x2_suggested_fields": f"""WITH {LINES}, v AS (SELECT ord, n, unnest([8, 9]) AS c, unnest([status, flag]) AS t FROM lines),
       g AS (SELECT ord, c, string_agg(t, ',' ORDER BY p) AS samples, count(*) AS k FROM (SELECT ord, c, t, min(n) AS p FROM v GROUP BY ALL) GROUP BY ALL)
       SELECT CAST(ord AS VARCHAR) AS document_id, 'Line Status' AS label, CASE c WHEN 8 THEN 'line_status' ELSE 'line_status_2' END AS key,
@@ -542,7 +541,7 @@ ORACLE = {
             WHEN 7 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 5 THEN 'false' ELSE '' END AS value,
           CASE sort_order WHEN 1 THEN 90 WHEN 2 THEN 94 WHEN 7 THEN 90 ELSE CASE WHEN required THEN 34 ELSE 68 END END AS v,
           CASE WHEN sort_order IN (1, 2, 7) THEN 74 ELSE 62 END AS s
-        FROM orders JOIN v_template_fields ON template_id = CAST(o_orderkey % 25 AS VARCHAR))
+        FROM orders JOIN v_template_fields ON template_id = CAST(o_orderkey % (SELECT count(*) // 8 FROM part) AS VARCHAR))
         SELECT CAST(o_orderkey AS VARCHAR) AS document_id, sort_order, value AS normalized_value,
           CAST((v * 72 + s * 28 + 50) // 100 AS INTEGER) AS confidence_pct FROM x""", "v_template_fields"),
     "s4_anchor_tables": """SELECT CAST(c_custkey AS VARCHAR) AS document_id, CAST(r AS INTEGER) AS row_index, CAST(c AS INTEGER) AS column_index, r = 0 AS is_header,
@@ -556,26 +555,32 @@ ORACLE = {
         ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) = 1)
       SELECT CAST(l_orderkey AS VARCHAR) AS document_id, 1 AS page, 'W' || l_returnflag AS text, CAST(l_partkey % 500 AS DOUBLE) AS x, l_quantity AS y,
         12.0::DOUBLE AS width, 8.0::DOUBLE AS height, CAST(l_linenumber * 10 AS INTEGER) AS confidence_pct FROM l""",
-    "s2_ready_cells": f"""WITH {LINES} SELECT CAST(ord AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY ord, f ORDER BY n) - 1 AS INTEGER) AS place,
-        CAST(f AS INTEGER) AS sort_order, CASE f WHEN 1 THEN name WHEN 2 THEN CASE WHEN flag = 'R' THEN email ELSE '' END ELSE phone END AS raw_value,
-        CASE f WHEN 1 THEN name WHEN 2 THEN CASE WHEN flag = 'R' THEN 'u' || l_suppkey || '@mail.com' ELSE '' END ELSE '0801234' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') END AS normalized_value,
-        CAST(CASE f WHEN 1 THEN 90 WHEN 2 THEN CASE WHEN flag = 'R' THEN 78 WHEN required THEN 34 ELSE 68 END ELSE 90 END AS INTEGER) AS confidence_pct
-      FROM lines, (SELECT unnest([1, 2, 3]) AS f) JOIN v_template_fields ON template_id = CAST(ord % 25 AS VARCHAR) AND sort_order = f""",
+    "s2_ready_cells": f"""WITH {LINES}, x AS (SELECT ord, n, sort_order, required, flag, l_suppkey, name, phone,
+        CASE sort_order WHEN 1 THEN name WHEN 2 THEN CASE WHEN flag = 'R' THEN email ELSE '' END WHEN 3 THEN phone ELSE '' END AS raw
+      FROM lines JOIN v_template_fields ON template_id = CAST(ord % {TEMPLATES} AS VARCHAR))
+      SELECT CAST(ord AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY ord, sort_order ORDER BY n) - 1 AS INTEGER) AS place,
+        sort_order, raw AS raw_value,
+        CASE sort_order WHEN 2 THEN CASE WHEN flag = 'R' THEN 'u' || l_suppkey || '@mail.com' ELSE '' END
+          WHEN 3 THEN '0801234' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') WHEN 5 THEN 'false' ELSE raw END AS normalized_value,
+        CAST(CASE WHEN sort_order IN (1, 3) THEN 90 WHEN sort_order = 2 AND flag = 'R' THEN 78 WHEN required THEN 34 ELSE 68 END AS INTEGER) AS confidence_pct
+      FROM x""",
     "s2_ready_rows": f"""WITH {LINES}, r AS (SELECT ord, n, flag, row_number() OVER (PARTITION BY ord ORDER BY n) AS at FROM lines)
-      SELECT CAST(ord AS VARCHAR) AS document_id, CAST(CASE WHEN n > 2 THEN n * 10 ELSE r.at END AS INTEGER) AS row_number, n AS source_page,
-        CAST((2 * (180 + CASE WHEN flag = 'R' THEN 78 WHEN required THEN 34 ELSE 68 END) + 3) // 6 AS BIGINT) AS row_confidence_pct
-      FROM r JOIN v_template_fields ON template_id = CAST(ord % 25 AS VARCHAR) AND sort_order = 2""",
-    "l2_nested_word_tables": _short(
-        "WHEN 1 THEN (90*72+96*28+50)//100 WHEN 2 THEN (94*72+96*28+50)//100 ELSE (90*72+96*28+50)//100").replace("{row}", RANK),
-    "l4_grid_forms": _short(
-        "WHEN 1 THEN (90*72+96*28+50)//100 WHEN 2 THEN (94*72+96*28+50)//100 ELSE (90*72+96*28+50)//100").replace("{row}", RANK),
+      SELECT CAST(ord AS VARCHAR) AS document_id, CAST(CASE WHEN n > 2 THEN n * 10 ELSE any_value(r.at) END AS INTEGER) AS row_number, n AS source_page,
+        CAST((2 * sum(CASE WHEN sort_order IN (1, 3) THEN 90 WHEN sort_order = 2 AND flag = 'R' THEN 78 WHEN required THEN 34 ELSE 68 END) + 8) // 16 AS BIGINT) AS row_confidence_pct
+      FROM r JOIN v_template_fields ON template_id = CAST(ord % {TEMPLATES} AS VARCHAR) GROUP BY ord, n""",
+    "l2_nested_word_tables": _filled(96, _blank(58)).replace("{row}", RANK),
+    "l2_grid_word_tables": _filled(96, _blank(62)).replace("{row}", RANK),
+    "l4_grid_forms": _filled(96, "CASE WHEN required THEN 34 ELSE 50 END").replace("{row}", RANK),
+    # simple forms take no label away from another field: `Name` is two edits from `date`, so the date reads the name
+    "l4_nested_forms": _filled(96, f"CASE sort_order WHEN 7 THEN (40*72+72*28+50)//100 ELSE {_blank(56)} END").replace("{row}", "1").replace(
+        "SELECT CAST(ord AS VARCHAR) AS document_id", "SELECT ord || '-' || n AS document_id").replace("WHEN 1 THEN name", "WHEN 1 THEN name WHEN 7 THEN name"),
 }
-ORACLE["l2_grid_word_tables"] = ORACLE["l2_nested_word_tables"]
-ORACLE["l4_nested_forms"] = ORACLE["l4_grid_forms"].replace(RANK, "1").replace(
-    "SELECT CAST(ord AS VARCHAR) AS document_id", "SELECT ord || '-' || n AS document_id")
-for _name in ("l1_table_cells", "s2_ready_cells", "s2_ready_rows"):
+for _name in ("l1_table_cells", "s2_ready_cells", "s2_ready_rows", "l2_nested_word_tables", "l2_grid_word_tables", "l4_grid_forms", "l4_nested_forms"):
     ORACLE[_name] = ORACLE[_name].replace("WITH lines AS", f"WITH v_template_fields AS ({b.VIEWS['v_template_fields']}), lines AS", 1)
 
+ORACLE["l1_table_rows"] = f"""SELECT document_id, CAST(output_row AS BIGINT) AS row_number, output_row, source_page,
+  CAST((2 * sum(confidence_pct) + count(*)) // (2 * count(*)) AS BIGINT) AS row_confidence_pct FROM ({ORACLE["l1_table_cells"]}) GROUP BY ALL"""
+
 _TERM = "regexp_replace(replace(lower({0}), '&', ' and '), '[^a-z0-9]+', '', 'g')"
 _SCORE = """CASE WHEN a = t THEN 0
     WHEN least(length(a), length(t)) >= 3 AND (contains(a, t) OR contains(t, a)) THEN abs(length(a) - length(t)) + 2
@@ -681,7 +686,7 @@ ORACLE["j6_match_pairs"] = b.sql(
     """SELECT CAST(o_orderkey AS VARCHAR) AS document_id, sort_order,
       CAST(CASE sort_order WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 7 THEN 1 END AS INTEGER) AS item,
       CAST(CASE sort_order WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 7 THEN 0 END AS INTEGER) AS score
-    FROM orders JOIN v_template_fields ON template_id = CAST(o_orderkey % 25 AS VARCHAR)""", "v_template_fields")
+    FROM orders JOIN v_template_fields ON template_id = CAST(o_orderkey % (SELECT count(*) // 8 FROM part) AS VARCHAR)""", "v_template_fields")
 ORACLE["j8_block_links"] = f"""WITH {LINES}
   SELECT CAST(ord AS VARCHAR) AS document_id, p || n AS block_id, CAST(i AS INTEGER) AS at, c || n AS child_id
   FROM lines, (VALUES ('a', 0, 'w'), ('a', 1, 'v'), ('b', 0, 's'), ('b', 1, 'e')) x(p, i, c)"""

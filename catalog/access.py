@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from pyspark.sql import functions as F
 
 from catalog import bindings as b
+from tallysheet.session import checkpoint_root
 from tallysheet.operators import access as a
 from tallysheet.operators import storage as s
 
@@ -145,6 +147,15 @@ def q_s13_cells(spark, sf):
     return s.replace_by_document(*_reextracted(spark, sf))[1]
 
 
+def q_s13_parts(spark, sf):
+    """The same on a table stored by document, of which only the changed parts are written."""
+    rows, _, new, _ = _reextracted(spark, sf)
+    path = f"{checkpoint_root(spark)}/parts-{uuid.uuid4().hex}"
+    s.write_parts(rows, path, "document_id", parts=16)
+    s.replace_documents(spark, path, new, new, parts=16)
+    return s.read_parts(spark, path).select("record_id", "document_id")
+
+
 def q_s14_documents(spark, sf):
     gone = b.documents(spark, sf).filter(F.col("document_id").cast("bigint") % 7 == 0)
     docs, recs, cells = s.delete_documents(
@@ -240,7 +251,7 @@ QUERIES = {
     "t9_invitation_outbox": q_t9_outbox, "t10_role_members": q_t10_members,
     "t10_event_owners": q_t10_events, "t10_refused_changes": q_t10_refused,
     "t11_claimed_events": q_t11_events, "t11_claimed_members": q_t11_members,
-    "s12_upsert_users": q_s12, "s13_replaced_records": q_s13_records, "s13_replaced_cells": q_s13_cells,
+    "s12_upsert_users": q_s12, "s13_replaced_records": q_s13_records, "s13_replaced_cells": q_s13_cells, "s13_rewritten_parts": q_s13_parts,
     "s14_delete_documents": q_s14_documents, "s14_delete_events": q_s14_events,
     "s14_clear_references": q_s14_references, "s15_insert_skip_duplicates": q_s15,
     "s16_failed_documents": q_s16_failed, "s16_good_documents": q_s16_good, "u5_replace_slice": q_u5,
@@ -389,3 +400,4 @@ ORACLE = {
         """SELECT field_id, CAST(row_number() OVER (PARTITION BY template_id ORDER BY label DESC, field_id) AS INTEGER) AS sort_order
         FROM v_template_fields""", "v_template_fields"),
 }
+ORACLE["s13_rewritten_parts"] = ORACLE["s13_replaced_records"]

@@ -137,6 +137,19 @@ def q_s1(spark, sf):
         "record_id", "field_id", "normalized_value", "confidence", F.size("issues").alias("issue_count"), "raw_value")
 
 
+def q_s1_bucketed(spark, sf):
+    """The event summary of records and cells that are stored in buckets and meet in place."""
+    import uuid
+
+    from tallysheet.operators import reports
+
+    database, root = f"tallysheet_{uuid.uuid4().hex}", _stream_folder(spark, "buckets")
+    tables.write_bucketed(
+        {"attendance_records": b.records(spark, sf).drop("row_number"), "attendance_record_values": b.cells(spark, sf)}, database, root, 16)
+    loaded = tables.load_bucketed(spark, database, root, 16)
+    return reports.event_summary(loaded["attendance_records"], loaded["attendance_record_values"])
+
+
 def _run(query):
     query.awaitTermination()
 
@@ -205,7 +218,7 @@ def q_st3(spark, sf):
 
 QUERIES = {
     "j9_reconcile_fields": q_j9, "t6_rename_keys": q_t6, "t7_evolved_cells": q_t7, "u6_removed_fields": q_u6,
-    "x5_apply_suggestions": q_x5, "s1_stored_cells": q_s1, "s8_file_inventory": q_s8, "s9_export_lines": q_s9,
+    "x5_apply_suggestions": q_x5, "s1_stored_cells": q_s1, "s1_bucketed_summary": q_s1_bucketed, "s8_file_inventory": q_s8, "s9_export_lines": q_s9,
     "s10_sheet_rows": q_s10, "s10_typed_columns": q_s10_typed, "s11_export_names": q_s11,
     "st1_stream_activity": q_st1, "st2_stream_intake": q_st2, "st3_stream_review": q_st3,
 }
@@ -297,5 +310,12 @@ def _intake_oracle() -> str:
       FROM ({batch}) WHERE CAST(document_id AS BIGINT) % 10 <> 4"""
 
 
+def _summary_oracle() -> str:
+    from catalog.reports import ORACLE as reports
+
+    return reports["a2_event_summary"]
+
+
+ORACLE["s1_bucketed_summary"] = _summary_oracle()
 ORACLE["st2_stream_intake"] = _intake_oracle()
 ORACLE["st3_stream_review"] = _review_oracle()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallysheet.functions.text import redact_text
+from tallysheet.session import stage
 
 
 def upsert_by_key(
@@ -167,3 +168,70 @@ def quarantine(attempts: DataFrame, error: str = "error", name: str | None = Non
         F.coalesce(safe, F.array().cast("array<struct<name:string,message:string>>")).alias("causes"),
     )
     return good, diagnostic
+
+
+#: Parts of a table that is laid out by the hash of a key, and the columns that say so.
+PARTS = 256
+PART, MARKER = "part", "_marker"
+
+
+def part_of(key: str, parts: int = PARTS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def _write_parts(rows: DataFrame, path: str, numbers: DataFrame, mode: str) -> None:
+    """Write rows by part. Every part has a marker row, so one that loses all its rows is still replaced."""
+    marked = rows.withColumn(MARKER, F.lit(False)).unionByName(
+        numbers.withColumn(MARKER, F.lit(True)), allowMissingColumns=True
+    )
+    marked.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(PART).parquet(path)
+
+
+def write_parts(df: DataFrame, path: str, key: str, parts: int = PARTS) -> None:
+    """Write a table in parts by the hash of `key`, such as the document or event of its rows."""
+    numbers = df.sparkSession.range(parts).select(F.col("id").cast("int").alias(PART))
+    _write_parts(df.withColumn(PART, part_of(key, parts)), path, numbers, "static")
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).filter(~F.col(MARKER)).drop(MARKER, PART)
+
+
+def rewrite_parts(
+    spark: SparkSession, path: str, key: str, changed: DataFrame, change: Callable[[DataFrame], DataFrame],
+    parts: int = PARTS,
+) -> list[int]:
+    """S13, S14, U5 on a stored table: `change` gets the rows of the parts that hold a changed key
+    and returns them as they are to be; only these parts are read and written.
+
+    `changed` has the column `key`. Returns the numbers of the parts, of which there are `parts` at most.
+    """
+    touched = sorted(row[0] for row in changed.select(part_of(key, parts)).distinct().collect())
+    stored = spark.read.parquet(path).filter(F.col(PART).isin(touched) & ~F.col(MARKER)).drop(MARKER, PART)
+    # written aside first: the parts that were read are about to be replaced
+    after = stage(change(stored)).withColumn(PART, part_of(key, parts))
+    numbers = spark.range(parts).select(F.col("id").cast("int").alias(PART)).filter(F.col(PART).isin(touched))
+    _write_parts(after, path, numbers, "dynamic")
+    return touched
+
+
+def replace_documents(
+    spark: SparkSession, path: str, new: DataFrame, documents: DataFrame, parts: int = PARTS
+) -> list[int]:
+    """S13 on a table stored by document: the rows of `documents` are exchanged for `new`."""
+    gone = documents.select("document_id").distinct()
+    changed = gone.unionByName(new.select("document_id").distinct())
+
+    def change(stored: DataFrame) -> DataFrame:
+        return stored.join(gone, "document_id", "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))
+
+    return rewrite_parts(spark, path, "document_id", changed, change, parts)
+
+
+def drop_documents(spark: SparkSession, path: str, documents: DataFrame, parts: int = PARTS) -> list[int]:
+    """S14 on a table stored by document."""
+    gone = documents.select("document_id").distinct()
+    return rewrite_parts(
+        spark, path, "document_id", gone,
+        lambda stored: stored.join(gone, "document_id", "left_anti").select(*stored.columns), parts,
+    )

@@ -58,6 +58,8 @@ PIECE = re.compile(r"(?:[^\W_]|[@$!|+*])+")
 #: A digit or sign beside a letter, or a letter three times.
 SUSPECT = re.compile(r"[^\W\d_][\d@$!|+*]|[\d@$!|+*][^\W\d_]|([^\W\d_])\1\1")
 LETTER = re.compile(r"[^\W\d_]")
+#: What has to stand in a text that holds a suspect piece other than by repetition.
+SUBSTITUTE = re.compile(r"[\d@$!|+*]")
 #: Signs that end a word in plain writing.
 ENDS = "!|+*"
 #: Single characters in a row that are read as a word spelled out.
@@ -87,47 +89,71 @@ def letter(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The most probable reading of a token's lattice; a space is a word break or nothing."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for place, c in enumerate(token):
+class Choices(dict):
+    """What a character may stand for, by the character and whether it repeats the one before: number of the letter (or -1), cost, letter."""
+
+    def __missing__(self, key: tuple[str, bool]) -> list[tuple[int, float, str]]:
+        c, again = key
         if c in STANDS_FOR:
-            choices = [(x, SUBSTITUTED) for x in STANDS_FOR[c]] + [("", 2.0)]
+            found = [(x, SUBSTITUTED) for x in STANDS_FOR[c]] + [("", 2.0)]
         elif c.isalpha():
-            choices = [(c, 0.0)]
-            if place and token[place - 1] == c:
-                choices.append(("", DROPPED))
+            found = [(c, 0.0)] + ([("", DROPPED)] if again else [])
         elif c == " ":
-            choices = [("", 0.0), (" ", BROKEN)]
+            found = [("", 0.0), (" ", BROKEN)]
         else:
-            choices = [("", 0.0)]
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (value, text) in paths.items():
-            for x, cost in choices:
-                state, found = ((b, letter(x)), value - cost + model[a, b, letter(x)]) if x else ((a, b), value - cost)
-                if state not in after or found > after[state][0]:
-                    after[state] = (found, text + x)
+            found = [("", 0.0)]
+        self[key] = out = [(letter(x) if x else -1, cost, x) for x, cost in found]
+        return out
+
+
+CHOICES = Choices()
+
+
+def decoded(token: str, flat: list[float]) -> str:
+    """The most probable reading of a token's lattice; a space is a word break or nothing.
+
+    flat: the language model by number of the two letters before and of the letter.
+    """
+    paths: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    before = ""
+    for c in token:
+        choices, before = CHOICES[c, c == before], c
+        after: dict[int, tuple[float, str]] = {}
+        for state, (value, text) in paths.items():
+            for number, cost, x in choices:
+                if number < 0:
+                    to, found = state, value - cost
+                else:
+                    to, found = state % LETTERS * LETTERS + number, value - cost + flat[state * LETTERS + number]
+                known = after.get(to)
+                if known is None or found > known[0]:
+                    after[to] = (found, text + x)
         paths = after
-    return max((value + model[a, b, 0], text) for (a, b), (value, text) in paths.items())[1]
+    return max((value + flat[state * LETTERS], text) for state, (value, text) in paths.items())[1]
+
+
+def restore(token: str, model: np.ndarray) -> str:
+    """The most probable reading of a single token."""
+    return decoded(token, model.ravel().tolist())
 
 
 def evidence(word: str) -> list[str]:
     """The word as a whole and its beginnings."""
-    return ["=" + word, *(word[:k] for k in BEGINNINGS if len(word) > k)]
+    return ["=" + word, *[word[:k] for k in BEGINNINGS[: max(0, len(word) - BEGINNINGS[0])]]]
 
 
 class Reader:
     """Evidence in texts, with the lexicon and the language model known."""
 
     def __init__(self, lexicon: dict[str, float], model: np.ndarray):
-        self.lexicon, self.model = lexicon, model
+        self.lexicon, self.names, self.model = lexicon, frozenset(lexicon), model.ravel().tolist()
         self.whole = {name[1:] for name in lexicon if name[0] == "="}
         self.starts = {w[:k] for w in self.whole for k in range(len(w) + 1)}
         self.stops = {w[k:] for w in self.whole for k in range(len(w) + 1)}
-        self.known: dict[str, tuple[int, list[str]]] = {}
+        self.known: dict[str, tuple[int, set[str]]] = {}
         self.pieces: dict[str, set[str]] = {}
 
-    def token(self, token: str) -> tuple[int, list[str]]:
+    def token(self, token: str) -> tuple[int, set[str]]:
         """How many words and beginnings a token has, and those in the lexicon; also as restored."""
         found = self.known.get(token)
         if found is None:
@@ -136,8 +162,10 @@ class Reader:
             words = {token} if token.isalpha() else set(WORD.findall(token))
             if SUSPECT.search(token):
                 words.update(w for piece in PIECE.findall(token) for w in self.restored(piece))
-            parts = {p for w in words for p in evidence(w)}
-            found = self.known[token] = (len(parts), [p for p in parts if p in self.lexicon])
+            parts = set()
+            for w in words:
+                parts.update(evidence(w))
+            found = self.known[token] = (len(parts), parts & self.names)
         return found
 
     def readings(self, piece: str) -> set[str]:
@@ -145,26 +173,40 @@ class Reader:
         if not SUSPECT.search(piece):
             return set()
         ways = {piece, piece.rstrip(ENDS), piece.replace("*", "")}
-        return {restore(x, self.model) for x in ways if LETTER.search(x)}
+        return {decoded(x, self.model) for x in ways if LETTER.search(x)}
 
     def spelled(self, pieces: list[str]) -> set[str]:
         """Words spelled out as single characters."""
         words, run = set(), []
+        sizes = list(map(len, pieces))
+        if sizes.count(1) + sizes.count(2) < SPELLED:
+            return words
         for piece in [*pieces, ""]:
             if len(piece) == 1 or (len(piece) == 2 and piece[1] == "!"):
                 run.append(piece[0])
                 continue
             if len(run) >= SPELLED and any(map(LETTER.match, run)):
-                words.update(restore(" ".join(run), self.model).split())
+                words.update(decoded(" ".join(run), self.model).split())
             run = []
         return words
 
-    def joined(self, pieces: list[str]) -> set[str]:
+    def joined(self, pieces: list[str], substitutes: bool) -> set[str]:
         """Words of the lexicon that are split in two or three pieces."""
+        words, starts, stops, whole, last = set(), self.starts, self.stops, self.whole, len(pieces) - 1
+        for i, piece in enumerate(pieces):
+            # a word's first piece is one of its beginnings, its last one of its ends
+            if piece in starts and i < last:
+                if pieces[i + 1] in stops and piece + pieces[i + 1] in whole:
+                    words.add(piece + pieces[i + 1])
+                if i + 1 < last and pieces[i + 2] in stops and piece + pieces[i + 1] + pieces[i + 2] in whole:
+                    words.add(piece + pieces[i + 1] + pieces[i + 2])
+        if not substitutes:
+            return words
+        suspect = [i for i, piece in enumerate(pieces) if not piece.isalpha() and SUSPECT.search(piece)]
+        if not suspect:
+            return words
         two = list(map(add, pieces, pieces[1:]))
         three = list(map(add, two, pieces[2:]))
-        words = self.whole.intersection(two) | self.whole.intersection(three)
-        suspect = [i for i, piece in enumerate(pieces) if not piece.isalpha() and SUSPECT.search(piece)]
         for n, runs in ((2, two), (3, three)):
             for i in {i - k for i in suspect for k in range(n)}:
                 if 0 <= i < len(runs) and self.may_be_whole(runs[i]):
@@ -191,10 +233,10 @@ class Reader:
     def features(self, text: str | None) -> list[float]:
         low = (text or "").lower()
         tokens, pieces = set(low.split()), PIECE.findall(low)
-        tokens |= self.spelled(pieces) | self.joined(pieces)
-        seen, total = set(), 0
+        tokens |= self.spelled(pieces) | self.joined(pieces, SUBSTITUTE.search(low) is not None)
+        seen, total, known = set(), 0, self.known
         for token in tokens:
-            n, found = self.token(token)
+            n, found = known.get(token) or self.token(token)
             total += n
             if found:
                 seen.update(found)

@@ -52,14 +52,16 @@ SIMILARITY = 0.8
 DIFFERENT_BITS = 6
 #: Lines a cell may hold on average before cells get more bits; members from which on it is cut into slices.
 CROWD, SLICE = 512, 8192
+#: Members up to which a cell's pairs are compared without an index.
+SMALL = 256
 BITS = 1 << 27
 NORMAL = bytes(
     32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else 48 if 48 <= b <= 57 else b for b in range(256)
 )
 #: Bytes of an n-gram, and lines whose n-grams are counted at once.
 GRAM, COUNTED = 6, 2000
-#: The bits of a byte, the lowest first.
-BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float32)
+#: The lowest bit of each byte of a hash, and how many of them a byte can count.
+LOWEST, BYTE_COUNT = np.uint64(0x0101010101010101), 255
 #: Fingerprints that a task packs at once, and about as many a bucket holds.
 PACKED, BUCKET = 200_000, 1 << 15
 #: Parts of the pairs of one line when texts are joined to them.
@@ -92,12 +94,22 @@ def fingerprints(lines: list[bytes]) -> np.ndarray:
         for i in range(GRAM):
             code |= raw[i : i + n] << np.uint64(8 * i)
         whole = line[:n] == line[GRAM - 1 :]
-        hashes, line = mix(code[whole] + np.uint64(0x9E3779B97F4A7C15)), line[:n][whole]
-        # how often each byte of the hashes has each value gives how often each bit is set
-        place = line[:, None] * 2048 + np.arange(8) * 256 + hashes.view(np.uint8).reshape(-1, 8)
-        values = np.bincount(place.ravel(), minlength=len(some) * 2048).reshape(-1, 256).astype(np.float32)
-        most = 2 * (values @ BYTE_BITS).reshape(len(some), 64) > np.maximum(size - GRAM + 1, 0)[:, None]
-        out.append(np.packbits(most, axis=1, bitorder="little").view("<i8").ravel())
+        hashes, grams = mix(code[whole] + np.uint64(0x9E3779B97F4A7C15)), np.maximum(size - GRAM + 1, 0)
+        if not len(hashes):
+            out.append(np.zeros(len(some), np.int64))
+            continue
+        # eight bits of a hash are counted at once, in the bytes of a number, over BYTE_COUNT n-grams of a line at most
+        full = np.flatnonzero(grams)
+        parts = -(-grams[full] // BYTE_COUNT)
+        part_line, first = np.repeat(full, parts), np.cumsum(parts) - parts
+        begin = np.repeat((np.cumsum(grams) - grams)[full], parts) + (np.arange(len(part_line)) - np.repeat(first, parts)) * BYTE_COUNT
+        counts = np.empty((len(part_line), 8, 8), np.int32)
+        for k in range(8):
+            lanes = np.add.reduceat((hashes >> np.uint64(k)) & LOWEST, begin)
+            counts[:, :, k] = lanes.view(np.uint8).reshape(-1, 8)
+        total = np.zeros((len(some), 64), np.int64)
+        total[full] = np.add.reduceat(counts.reshape(-1, 64), first, axis=0)
+        out.append(np.packbits(2 * total > grams[:, None], axis=1, bitorder="little").view("<i8").ravel())
     return np.concatenate(out)
 
 
@@ -187,17 +199,23 @@ TREES = ["u", "v", "comp"]
 
 
 def _trees(fps: np.ndarray, cell: np.ndarray, salt: np.ndarray, allowed: int) -> pa.RecordBatch:
-    """Trees of cells: pairs of fingerprints and the set they join. fps are in the order of cell and Gray rank."""
+    """Trees of cells: pairs of fingerprints and the set they join. fps are in the order of their cells."""
     codes = fps.view(np.uint64)
     found = [np.zeros((2, 0), np.int64)]
-    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
     sizes = np.diff(np.r_[starts, len(cell)])
-    # pairs of a small cell are few; those of a large one would not be
-    for large in (False, True):
-        own = np.repeat((sizes > 256) == large, sizes)
-        at = np.flatnonzero(own)
-        if len(at):
-            found += [np.stack([at[u], at[v]]) for u, v in near_pairs(GrayIndex(codes[at], cell[at]), allowed, large)]
+    # each member of a small cell with the one that many places behind it; large cells through the index
+    rest = np.where(sizes <= SMALL, sizes, 0).repeat(sizes) - (np.arange(len(cell)) - starts.repeat(sizes)) - 1
+    active, step = np.flatnonzero(rest > 0), 1
+    while len(active):
+        near = active[np.bitwise_count(codes[active] ^ codes[active + step]) <= allowed]
+        found.append(np.stack([near, near + step]))
+        step += 1
+        active = active[rest[active] >= step]
+    at = np.flatnonzero((sizes > SMALL).repeat(sizes))
+    if len(at):
+        at = at[np.lexsort((gray_ranks(codes[at]), cell[at]))]
+        found += [np.stack([at[u], at[v]]) for u, v in near_pairs(GrayIndex(codes[at], cell[at]), allowed, True)]
     u, v = np.concatenate(found, axis=1)
     pairs, roots = tree(u, v, codes)
     a, b = np.array(pairs, np.int64).reshape(-1, 2).T
@@ -243,7 +261,7 @@ def _bucket_trees(masks: list[int], per_table: int, allowed: int, slice_rows: in
             fps = np.frombuffer(b"".join(r["payload"] for r in rows), np.int64)
             codes = fps.view(np.uint64)
             cell = codes & np.uint64(masks[t])
-            order = np.lexsort((gray_ranks(codes), cell))
+            order = np.argsort(cell)
             fps, cell = fps[order], cell[order]
             starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             sizes = np.diff(np.r_[starts, len(cell)])
@@ -265,7 +283,6 @@ def _slice_trees(allowed: int) -> Callable:
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in grouped(batches, "part"):
             fps = np.array([r["fp"] for r in rows], np.int64)
-            fps = fps[np.argsort(gray_ranks(fps.view(np.uint64)))]
             yield _trees(fps, np.zeros(len(fps), np.int64), np.full(len(fps), part, np.int64), allowed)
 
     return trees

@@ -10,8 +10,8 @@ normalised lines are one node. For near ones:
    (`simhash.cell_masks`; r grows with the number of lines and changes no result). Fingerprints
    travel packed to the buckets of their tables. Cells of more than SLICE members go on to a
    second exchange, where each pair of their slices is a cell.
-3. A cell returns a spanning tree of each set of candidates that hang together, by the closest
-   pairs, and the tree's pairs are compared by edit similarity. Where all are alike the set is
+3. A cell returns a spanning tree of each set of candidates that hang together, around the
+   smallest, and the tree's pairs are compared by edit similarity. Where all are alike the set is
    one group, whatever its other pairs. Where one is not, the set is open: its lines meet again
    and all pairs of lines that are in different groups by then are compared. So groups are those
    that comparing all candidates gives, without writing all pairs of a group of copies.
@@ -52,8 +52,8 @@ SIMILARITY = 0.8
 DIFFERENT_BITS = 6
 #: Lines a cell may hold on average before cells get more bits; members from which on it is cut into slices.
 CROWD, SLICE = 512, 8192
-#: Members up to which a cell's pairs are compared without an index.
-SMALL = 256
+#: Members up to which a cell's pairs are compared without an index, and pairs of cells that are held at once.
+SMALL, HELD = 256, 500_000
 BITS = 1 << 27
 NORMAL = bytes(
     32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else 48 if 48 <= b <= 57 else b for b in range(256)
@@ -173,9 +173,13 @@ def near_pairs(index: GrayIndex, allowed: int, whole: bool, apart_only: np.ndarr
 
 
 def tree(u: np.ndarray, v: np.ndarray, codes: np.ndarray) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """Pairs that join all that hang together, the closest first, and the root of each member of a pair."""
+    """Pairs that join all that hang together, and the root of each member of a pair.
+
+    Those with the smallest codes come first, so that the cells of several tables mostly
+    choose the same pairs, and paths are short.
+    """
     low, high = np.minimum(codes[u], codes[v]), np.maximum(codes[u], codes[v])
-    order = np.lexsort((high, low, np.bitwise_count(codes[u] ^ codes[v])))
+    order = np.lexsort((high, low))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -198,29 +202,59 @@ def tree(u: np.ndarray, v: np.ndarray, codes: np.ndarray) -> tuple[list[tuple[in
 TREES = ["u", "v", "comp"]
 
 
-def _trees(fps: np.ndarray, cell: np.ndarray, salt: np.ndarray, allowed: int) -> pa.RecordBatch:
+def _trees(fps: np.ndarray, cell: np.ndarray, salt: int, allowed: int) -> Iterator[pa.RecordBatch]:
     """Trees of cells: pairs of fingerprints and the set they join. fps are in the order of their cells."""
-    codes = fps.view(np.uint64)
-    found = [np.zeros((2, 0), np.int64)]
-    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
+    if not len(cell):
+        return
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
-    # each member of a small cell with the one that many places behind it; large cells through the index
-    rest = np.where(sizes <= SMALL, sizes, 0).repeat(sizes) - (np.arange(len(cell)) - starts.repeat(sizes)) - 1
-    active, step = np.flatnonzero(rest > 0), 1
+    small = sizes <= SMALL
+    # as many small cells at once as have about HELD pairs, each large one by itself
+    part = np.cumsum(np.where(small, sizes * (sizes - 1) // 2, HELD)) // HELD * 2 + ~small
+    cuts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | ~small[1:]][: len(part)])
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True):
+        if sizes[i:j].max() > 1:
+            begin, end = starts[i], starts[j] if j < len(starts) else len(cell)
+            codes = fps[begin:end].view(np.uint64)
+            found = _behind(codes, sizes[i:j], allowed) if small[i] else _through_index(codes, allowed)
+            yield _tree_rows(codes, found, salt)
+
+
+def _behind(codes: np.ndarray, sizes: np.ndarray, allowed: int) -> tuple[np.ndarray, np.ndarray]:
+    """All near pairs of small cells: each member with the one so many places behind it, for all places."""
+    ends = np.cumsum(sizes)
+    rest = ends.repeat(sizes) - np.arange(len(codes)) - 1
+    found, step = [np.zeros((2, 0), np.int64)], 1
+    active = np.flatnonzero(rest > 0)
     while len(active):
         near = active[np.bitwise_count(codes[active] ^ codes[active + step]) <= allowed]
         found.append(np.stack([near, near + step]))
         step += 1
         active = active[rest[active] >= step]
-    at = np.flatnonzero((sizes > SMALL).repeat(sizes))
-    if len(at):
-        at = at[np.lexsort((gray_ranks(codes[at]), cell[at]))]
-        found += [np.stack([at[u], at[v]]) for u, v in near_pairs(GrayIndex(codes[at], cell[at]), allowed, True)]
     u, v = np.concatenate(found, axis=1)
-    pairs, roots = tree(u, v, codes)
+    return u, v
+
+
+def _through_index(codes: np.ndarray, allowed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs of one cell that join all that hangs together; they are thinned to a tree whenever HELD are exceeded."""
+    order = np.argsort(gray_ranks(codes))
+    held, size = [np.zeros((2, 0), np.int64)], 0
+    for u, v in near_pairs(GrayIndex(codes[order], np.zeros(len(codes), np.int64)), allowed, True):
+        held.append(np.stack([order[u], order[v]]))
+        size += len(u)
+        if size > HELD:
+            kept = tree(*np.concatenate(held, axis=1), codes)[0]
+            held, size = [np.array(kept, np.int64).reshape(-1, 2).T], 0
+    u, v = np.concatenate(held, axis=1)
+    return u, v
+
+
+def _tree_rows(codes: np.ndarray, found: tuple[np.ndarray, np.ndarray], salt: int) -> pa.RecordBatch:
+    pairs, roots = tree(*found, codes)
     a, b = np.array(pairs, np.int64).reshape(-1, 2).T
     top = np.array([roots[x] for x in a.tolist()], np.int64)
-    comp = mix(mix(codes[top]) + salt[top].astype(np.uint64)).astype(np.int64)
+    comp = mix(mix(codes[top]) + np.uint64(salt & (1 << 64) - 1)).astype(np.int64)
+    fps = codes.view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(fps[a], fps[b])), pa.array(np.maximum(fps[a], fps[b])), pa.array(comp)], TREES)
 
 
@@ -266,9 +300,9 @@ def _bucket_trees(masks: list[int], per_table: int, allowed: int, slice_rows: in
             starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             sizes = np.diff(np.r_[starts, len(cell)])
             big = np.repeat(sizes > slice_rows, sizes)
-            found = _trees(fps[~big], cell[~big], np.full(len(fps) - big.sum(), t), allowed)
-            none = pa.nulls(found.num_rows, pa.int32()), pa.nulls(found.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*found.columns, *none], [*TREES, "t", "fp"])
+            for found in _trees(fps[~big], cell[~big], t, allowed):
+                none = pa.nulls(found.num_rows, pa.int32()), pa.nulls(found.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*found.columns, *none], [*TREES, "t", "fp"])
             if big.any():
                 n = int(big.sum())
                 empty = [pa.nulls(n, pa.int64())] * 3
@@ -283,7 +317,7 @@ def _slice_trees(allowed: int) -> Callable:
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in grouped(batches, "part"):
             fps = np.array([r["fp"] for r in rows], np.int64)
-            yield _trees(fps, np.zeros(len(fps), np.int64), np.full(len(fps), part, np.int64), allowed)
+            yield from _trees(fps, np.zeros(len(fps), np.int64), part, allowed)
 
     return trees
 

@@ -30,6 +30,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 from operator import add
 
 import numpy as np
@@ -64,6 +65,8 @@ SUBSTITUTE = re.compile(r"[\d@$!|+*]")
 ENDS = "!|+*"
 #: Single characters in a row that are read as a word spelled out.
 SPELLED = 3
+THREE_SINGLE = b"\x01" * SPELLED
+NOTHING: frozenset[str] = frozenset()
 #: Costs of the channel.
 SUBSTITUTED, DROPPED, BROKEN = 1.0, 0.4, 1.0
 LETTERS = 28  # 0: none, 1..26: a..z, 27: another letter
@@ -109,14 +112,17 @@ class Choices(dict):
 CHOICES = Choices()
 
 
-def decoded(token: str, flat: list[float]) -> str:
-    """The most probable reading of a token's lattice; a space is a word break or nothing.
+#: Two or more digits and signs that may stand for letters.
+SIGNS = re.compile("([" + re.escape("".join(STANDS_FOR)) + "]{2,})")
+#: Runs of signs whose paths a task keeps.
+KEPT_RUNS = 100_000
+Paths = dict[int, tuple[float, str]]
 
-    flat: the language model by number of the two letters before and of the letter.
-    """
-    paths: dict[int, tuple[float, str]] = {0: (0.0, "")}
+
+def _extended(paths: Paths, part: str, flat: list[float]) -> Paths:
+    """The best path to each state after some more characters."""
     before = ""
-    for c in token:
+    for c in part:
         choices, before = CHOICES[c, c == before], c
         after: dict[int, tuple[float, str]] = {}
         for state, (value, text) in paths.items():
@@ -129,12 +135,38 @@ def decoded(token: str, flat: list[float]) -> str:
                 if known is None or found > known[0]:
                     after[to] = (found, text + x)
         paths = after
+    return paths
+
+
+def decoded(token: str, flat: list[float], runs: dict[tuple[int, str], Paths]) -> str:
+    """The most probable reading of a token's lattice; a space is a word break or nothing.
+
+    flat: the language model by number of the two letters before and of the letter. runs: the
+    paths through runs of signs from the states met so far; the same few stand beside many words.
+    """
+    paths: Paths = {0: (0.0, "")}
+    for i, part in enumerate(SIGNS.split(token)):
+        if i % 2 == 0:
+            paths = _extended(paths, part, flat)
+            continue
+        after: Paths = {}
+        for state, (value, text) in paths.items():
+            through = runs.get((state, part))
+            if through is None:
+                if len(runs) > KEPT_RUNS:
+                    runs.clear()
+                through = runs[state, part] = _extended({state: (0.0, "")}, part, flat)
+            for to, (more, x) in through.items():
+                known = after.get(to)
+                if known is None or value + more > known[0]:
+                    after[to] = (value + more, text + x)
+        paths = after
     return max((value + flat[state * LETTERS], text) for state, (value, text) in paths.items())[1]
 
 
 def restore(token: str, model: np.ndarray) -> str:
     """The most probable reading of a single token."""
-    return decoded(token, model.ravel().tolist())
+    return decoded(token, model.ravel().tolist(), {})
 
 
 def evidence(word: str) -> list[str]:
@@ -150,10 +182,12 @@ class Reader:
         self.whole = {name[1:] for name in lexicon if name[0] == "="}
         self.starts = {w[:k] for w in self.whole for k in range(len(w) + 1)}
         self.stops = {w[k:] for w in self.whole for k in range(len(w) + 1)}
-        self.known: dict[str, tuple[int, set[str]]] = {}
+        self.first = {name[: BEGINNINGS[0]] for name in lexicon if name[0] != "="}
+        self.known: dict[str, tuple[int, frozenset[str] | set[str]]] = {}
         self.pieces: dict[str, set[str]] = {}
+        self.runs: dict[tuple[int, str], Paths] = {}
 
-    def token(self, token: str) -> tuple[int, set[str]]:
+    def token(self, token: str) -> tuple[int, frozenset[str] | set[str]]:
         """How many words and beginnings a token has, and those in the lexicon; also as restored."""
         found = self.known.get(token)
         if found is None:
@@ -162,10 +196,15 @@ class Reader:
             words = {token} if token.isalpha() else set(WORD.findall(token))
             if SUSPECT.search(token):
                 words.update(w for piece in PIECE.findall(token) for w in self.restored(piece))
-            parts = set()
-            for w in words:
-                parts.update(evidence(w))
-            found = self.known[token] = (len(parts), parts & self.names)
+            if len(words) == 1:
+                (word,) = words
+                n = 1 + len(BEGINNINGS[: max(0, len(word) - BEGINNINGS[0])])
+                # without its first beginning a word has none of the others
+                found = (n, self.names.intersection(evidence(word))) if word[: BEGINNINGS[0]] in self.first or "=" + word in self.names else (n, NOTHING)
+            else:
+                parts = {p for w in words for p in evidence(w)}
+                found = (len(parts), parts & self.names)
+            self.known[token] = found
         return found
 
     def readings(self, piece: str) -> set[str]:
@@ -173,20 +212,19 @@ class Reader:
         if not SUSPECT.search(piece):
             return set()
         ways = {piece, piece.rstrip(ENDS), piece.replace("*", "")}
-        return {decoded(x, self.model) for x in ways if LETTER.search(x)}
+        return {decoded(x, self.model, self.runs) for x in ways if LETTER.search(x)}
 
-    def spelled(self, pieces: list[str]) -> set[str]:
-        """Words spelled out as single characters."""
+    def spelled(self, pieces: list[str], marked: bool) -> set[str]:
+        """Words spelled out as single characters; marked: there may be a `!` behind one."""
         words, run = set(), []
-        sizes = list(map(len, pieces))
-        if sizes.count(1) + sizes.count(2) < SPELLED:
+        if not marked and THREE_SINGLE not in bytes(map(min, map(len, pieces), repeat(2))):
             return words
         for piece in [*pieces, ""]:
             if len(piece) == 1 or (len(piece) == 2 and piece[1] == "!"):
                 run.append(piece[0])
                 continue
             if len(run) >= SPELLED and any(map(LETTER.match, run)):
-                words.update(decoded(" ".join(run), self.model).split())
+                words.update(decoded(" ".join(run), self.model, self.runs).split())
             run = []
         return words
 
@@ -233,7 +271,7 @@ class Reader:
     def features(self, text: str | None) -> list[float]:
         low = (text or "").lower()
         tokens, pieces = set(low.split()), PIECE.findall(low)
-        tokens |= self.spelled(pieces) | self.joined(pieces, SUBSTITUTE.search(low) is not None)
+        tokens |= self.spelled(pieces, "!" in low) | self.joined(pieces, SUBSTITUTE.search(low) is not None)
         seen, total, known = set(), 0, self.known
         for token in tokens:
             n, found = known.get(token) or self.token(token)

@@ -48,6 +48,11 @@ class Vocabulary:
         by_id = F.sort_array(F.collect_list(F.struct("v", F.hex("k").alias("h"))))
         self.hexes = literal(spark, rows.agg(by_id.alias("a")).select(F.col("a.h").alias("a")), "array<string>")
 
+    def close(self) -> None:
+        """Drop the variables; tables that were made with them hold their values."""
+        for name in (self.ranks, self.hexes):
+            drop_literal(self.spark, name)
+
     def rank(self, x: str) -> str:
         return f"try_element_at(get({self.ranks}, pmod(hash({x}), {RANK_BUCKETS})), {x})"
 
@@ -92,6 +97,10 @@ def literal(spark: SparkSession, one: DataFrame, kind: str) -> str:
     return f"{name}_v"
 
 
+def drop_literal(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {name}")
+
+
 def bucketed(rows: DataFrame, buckets: int) -> DataFrame:
     """Columns k, v as one array of maps; k is in the map at hash(k) mod buckets."""
     found = rows.groupBy(F.pmod(F.hash("k"), F.lit(buckets)).alias("bucket")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
@@ -126,7 +135,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     found = lambda x: f"try_element_at(get({known}, pmod(hash({x}), {WORD_BUCKETS})), {x})"
     segments = docs.select(docs[id_col].alias("id"), cut.alias("segments"))
     ids = F.expr(f"array_join(transform(segments, s -> coalesce({found('s')}, {vocabulary.text_ids('s', found('q'))})), ' ')")
-    return segments.select(F.col("id").alias(id_col), ids.alias("ids"))
+    found_ids = segments.select(F.col("id").alias(id_col), ids.alias("ids"))
+    # the table holds the value, the session need not
+    drop_literal(spark, known)
+    return found_ids
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:

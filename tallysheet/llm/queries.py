@@ -39,7 +39,10 @@ def vocabulary(spark: SparkSession) -> Vocabulary:
 
 
 def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(documents(spark, sf_dir), vocabulary(spark))
+    known = vocabulary(spark)
+    found = round_trip(documents(spark, sf_dir), known)
+    known.close()
+    return found
 
 
 def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:

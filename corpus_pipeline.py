@@ -51,7 +51,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and their round trip."""
-    return round_trip(docs, vocabulary(spark))
+    known = vocabulary(spark)
+    found = round_trip(docs, known)
+    known.close()
+    return found
 
 
 STAGES = [

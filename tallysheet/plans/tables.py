@@ -84,6 +84,7 @@ def header_rows(cells: DataFrame, carry: bool) -> DataFrame:
         return tables.select(
             "document_id", "table_index", own.alias("header_row"), F.col("table_index").alias("header_table")
         )
+    tables = stage(tables)  # read three times below, the cells once
     first_table = tables.groupBy("document_id").agg(F.min("table_index").alias("_first_table"))
     carried = carry_forward(
         tables, ["document_id"], [F.col("table_index")], int_div(F.col("table_index"), F.lit(BAND)),

@@ -323,34 +323,31 @@ def ready_rows(rows: DataFrame, documents: DataFrame, fields: DataFrame) -> tupl
     """
     from tallysheet.sources.layouts import provider_pct
 
-    template = fields.groupBy("template_id").agg(
-        F.sort_array(F.collect_list(F.struct("sort_order", "field_id", "key"))).alias("_fields")
+    template = with_option_terms(fields).groupBy("template_id").agg(
+        F.sort_array(F.collect_list(F.struct("sort_order", "field_id", *RULES))).alias("_fields")
     )
     mine = lookup_join(rows, documents.select("document_id", "template_id"), "document_id", "inner", spread=["_at"])
     wide = lookup_join(mine, template, "template_id", "inner", spread=["document_id", "_at"])
     named = F.filter(
         "values", lambda v: F.coalesce(v["fieldKey"], v["key"]) == F.col("f.key")
     )
-    cells = wide.select("*", F.explode("_fields").alias("f")).withColumn(
+    own = ["document_id", "_at", "row_number", "source_page", "row_pct"]
+    cells = wide.select(*own, "data", "values", F.explode("_fields").alias("f")).withColumn(
         "_cell", F.element_at(F.when(F.size(named) > 0, named), -1)
     ).select(
-        "document_id", "template_id", "_at", "f.field_id", "f.sort_order", "_cell",
-        F.coalesce("_cell.rawValue", F.try_element_at("data", F.col("f.key")), F.lit("")).alias("given_raw"),
+        *own, "f.*", "_cell", F.coalesce("_cell.rawValue", F.try_element_at("data", F.col("f.key")), F.lit("")).alias("given_raw"),
     )
-    typed = lookup_join(
-        cells.withColumn("raw_text", F.col("given_raw")), field_rules(fields),
-        ["template_id", "field_id"], spread=["document_id", "_at"],
-    )
-    cleaned = normalize_cells(typed).select(
-        "document_id", "_at", "field_id", "sort_order", "key", F.col("given_raw").alias("raw_value"),
+    # cells keep what is known of their row, so that its mean needs no second reading of the rows
+    done = normalize_cells(cells.withColumn("raw_text", F.col("given_raw"))).select(
+        *own, "field_id", "sort_order", "key", F.col("given_raw").alias("raw_value"),
         F.coalesce("_cell.normalizedValue", "normalized_value").alias("normalized_value"), "value_kind",
         F.coalesce(provider_pct(F.col("_cell.confidence")), F.col("confidence_pct")).alias("confidence_pct"),
         F.coalesce("_cell.issues", "_cell.validationIssues", "issues").alias("issues"),
     )
-    averages = cleaned.groupBy("document_id", "_at").agg(
+    cleaned = done.drop("row_number", "source_page", "row_pct")
+    kept = done.groupBy(*own).agg(
         mean_of(F.sum(F.col("confidence_pct").cast("bigint")), F.count("confidence_pct")).alias("_mean")
-    )
-    kept = rows.join(averages, ["document_id", "_at"]).select(
+    ).select(
         "document_id", "_at", "row_number", "source_page",
         F.coalesce(F.col("row_pct").cast("bigint"), F.col("_mean")).alias("row_confidence_pct"),
     )

@@ -57,3 +57,21 @@ def test_forms_are_assigned_by_their_keys(spark):
         ("a", 1): ("Ada", "name", 1, 1), ("a", 2): ("ada@x.org", "email", 1, 1), ("b", 1): ("Bob", "name", 1, 2),
         ("b", 2): ("", "email", 1, 2), ("d", 1): ("Shut", "status", 1, 4), ("d", 2): ("Di", "name", 1, 4)}
     assert "form_keys" not in done.columns
+
+
+def test_ready_rows_are_read_once(spark):
+    documents, fields = _setup(spark)
+    cell = "array<struct<fieldKey:string,key:string,rawValue:string,normalizedValue:string,confidence:double,issues:array<string>,validationIssues:array<string>>>"
+    rows = spark.createDataFrame([
+        ("a", "p", 0, 1, 2, None, {"name": "Ada"}, [("email", None, "a at x dot org", None, 0.5, None, None)]),
+        ("a", "p", 1, 7, None, 33, {"name": ""}, []), ("d", "p", 0, 1, None, None, {"status": "open"}, None)],
+        f"document_id string, provider string, _at int, row_number int, source_page int, row_pct int, data map<string,string>, values {cell}")
+    with no_broadcast(spark):
+        kept, cells = tables.ready_rows(rows, documents, fields)
+        assert not [keys for keys in _exchanges(cells) if "field_id" in keys]
+        assert len([keys for keys in _exchanges(kept) if "document_id, _at" in keys]) == 1
+    assert sorted((r.document_id, r._at, r.row_number, r.source_page, r.row_confidence_pct) for r in kept.collect()) == [
+        ("a", 0, 1, 2, 70), ("a", 1, 7, None, 33), ("d", 0, 1, None, 63)]
+    values = {(r.document_id, r._at, r.key): (r.raw_value, r.normalized_value, r.confidence_pct) for r in cells.collect()}
+    assert values["a", 0, "email"] == ("a at x dot org", "a@x.org", 50)
+    assert values["d", 0, "status"] == ("open", "Open", 92) and values["a", 1, "name"] == ("", "", 34)

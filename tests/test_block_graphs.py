@@ -59,6 +59,20 @@ def test_keys_and_values_of_a_form(spark):
 def test_responses_are_parsed_once(spark):
     pairs = {"analyzeResult": {"keyValuePairs": [{"key": {"content": "a"}, "value": {"content": "b"}}]}}
     responses = spark.createDataFrame([("d", json.dumps(pairs)), ("none", "{}")], "document_id string, response string")
-    for read in (layouts.read_listed_pairs, layouts.blocks, layouts.read_ready_rows):
+    readers = (layouts.read_listed_pairs, layouts.blocks, layouts.read_ready_rows, layouts.read_cell_tables,
+               layouts.read_anchor_tables, layouts.read_suggestions, layouts.read_word_boxes)
+    for read in readers:
         assert _plan(read(responses.withColumn("response", F.concat("response", F.lit(" "))))).count("from_json") == 1
     assert [(r.document_id, r.key, r.value) for r in layouts.read_listed_pairs(responses).collect()] == [("d", "a", "b")]
+
+
+def test_words_are_nested_or_flat(spark):
+    box = {"vertices": [{"x": 1, "y": 2}, {"x": 4, "y": 6}]}
+    flat = [{"description": "all", "boundingPoly": box}, {"description": "F", "boundingPoly": box}]
+    nested = [{"blocks": [{"paragraphs": [{"words": [{"symbols": [{"text": "a"}, {"text": "b"}], "boundingBox": box}]}]}]}]
+    make = lambda pages, listed: json.dumps({"responses": [{"fullTextAnnotation": {"pages": pages}, "textAnnotations": listed}]})
+    responses = spark.createDataFrame(
+        [("n", make(nested, flat)), ("f", make([], flat)), ("g", make(None, flat)), ("none", "{}")], "document_id string, response string")
+    found = layouts.read_word_boxes(responses).collect()
+    assert sorted((r.document_id, r.word, r.text, r.width, r.confidence_pct) for r in found) == [
+        ("f", 0, "F", 3.0, 72), ("g", 0, "F", 3.0, 72), ("n", 0, "ab", 3.0, 82)]

@@ -75,3 +75,19 @@ def test_ready_rows_are_read_once(spark):
     values = {(r.document_id, r._at, r.key): (r.raw_value, r.normalized_value, r.confidence_pct) for r in cells.collect()}
     assert values["a", 0, "email"] == ("a at x dot org", "a@x.org", 50)
     assert values["d", 0, "status"] == ("open", "Open", 92) and values["a", 1, "name"] == ("", "", 34)
+
+
+def test_rules_meet_the_columns_of_a_table(spark):
+    documents, fields = _setup(spark)
+    cells = spark.createDataFrame(
+        [("a", 0, row, column, row == 0, text, None, 1, None) for row, line in enumerate((("Name", "Email"), ("Ada", "a at x dot org"), ("Bob", "")))
+         for column, text in enumerate(line)],
+        "document_id string, table_index int, row_index int, column_index int, is_header boolean, text string, provider_pct int, page int, "
+        "box struct<page:int,x:double,y:double,width:double,height:double,normalized:boolean>")
+    with no_broadcast(spark):
+        done = tables.table_rows(cells, documents, fields)
+        plan = re.sub(r"#\d+L?", "", done._jdf.queryExecution().executedPlan().toString())
+        # rules are looked up below the step that makes cells of a table's columns, once per column
+        assert plan.index("explode(transform(_columns") < plan.index("hashpartitioning(template_id, field_id")
+    assert {(r.output_row, r.key): (r.normalized_value, r.issues) for r in done.collect()} == {
+        (1, "name"): ("Ada", []), (1, "email"): ("a@x.org", []), (2, "name"): ("Bob", []), (2, "email"): ("", [])}

@@ -80,6 +80,17 @@ def page_tolerance(words: DataFrame, style: str) -> DataFrame:
     return words.groupBy(*PAGE).agg(tolerance.alias("_tolerance"))
 
 
+def page_levels(leveled: DataFrame, tolerance: DataFrame) -> DataFrame:
+    """The distinct levels of each page with their band and the tolerance of the page, dealt by band.
+
+    The tolerance meets the bands of a page first: levels joined by their page alone would all
+    lie in one task, and the windows over bands would stay there.
+    """
+    levels = leveled.select(*PAGE, "_level").distinct().withColumn("_band", F.floor(F.col("_level") / BAND_PIXELS))
+    reach = lookup_join(levels.select(*PAGE, "_band").distinct(), tolerance, PAGE)
+    return levels.join(reach, [*PAGE, "_band"])
+
+
 def with_lines(words: DataFrame, style: str) -> DataFrame:
     """line_no counts the lines of a page from the top (gaps and islands, D7).
 
@@ -88,10 +99,7 @@ def with_lines(words: DataFrame, style: str) -> DataFrame:
     """
     level = F.col("y") if style == "grid" else F.col("y") + F.col("height") / 2
     leveled = words.withColumn("_level", level)
-    levels = lookup_join(
-        leveled.select(*PAGE, "_level").distinct(), page_tolerance(words, style), PAGE,
-        spread=["_level"],
-    ).withColumn("_band", F.floor(F.col("_level") / BAND_PIXELS))
+    levels = page_levels(leveled, page_tolerance(words, style))
     inside = Window.partitionBy(*PAGE, "_band").orderBy("_level")
     gap = F.col("_level") - F.lag("_level").over(inside)
     marked = levels.withColumn(

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallysheet.operators import geometry, ordered, reports
@@ -104,6 +105,24 @@ def test_lines_of_a_tall_page(spark):
         assert got[i] == line
 
 
+def test_levels_of_a_long_page_lie_in_several_tasks(spark):
+    words = spark.range(0, 4000).select(
+        F.lit("hot").alias("document_id"), F.lit(1).alias("page"), (F.col("id") * 100.0).alias("_level"), F.lit(10.0).alias("height"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        levels = geometry.page_levels(words, geometry.page_tolerance(words, "grid"))
+        window = Window.partitionBy(*geometry.PAGE, "_band").orderBy("_level")
+        rows = levels.withColumn("at", F.row_number().over(window)).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in rows) == 4000
+    assert max(r["count"] for r in rows) < 2400
+
+
 def test_unique_keys_step_over_taken_and_literal_ones(spark):
     rows = [("d", 1, "a"), ("d", 2, "a"), ("d", 3, "a_2"), ("d", 4, "a"), ("d", 5, "b"), ("d", 6, "a_2"), ("e", 1, "b")]
     df = spark.createDataFrame(rows, "d string, p int, base string")

@@ -59,7 +59,7 @@ NORMAL = bytes(
     32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else 48 if 48 <= b <= 57 else b for b in range(256)
 )
 #: Bytes of an n-gram, and lines whose n-grams are counted at once.
-GRAM, COUNTED = 6, 2000
+GRAM, COUNTED = 6, 500
 #: The lowest bit of each byte of a hash, and how many of them a byte can count.
 LOWEST, BYTE_COUNT = np.uint64(0x0101010101010101), 255
 #: Fingerprints that a task packs at once, and about as many a bucket holds.
@@ -86,13 +86,12 @@ def fingerprints(lines: list[bytes]) -> np.ndarray:
     out = [np.zeros(0, np.int64)]
     for at in range(0, len(lines), COUNTED):
         some = lines[at : at + COUNTED]
-        raw = np.frombuffer(b"".join(b" " + x + b" " for x in some), np.uint8).astype(np.uint64)
+        raw = b"".join(b" " + x + b" " for x in some)
         size = np.array([len(x) + 2 for x in some])
         line = np.repeat(np.arange(len(some)), size)
         n = max(0, len(raw) - GRAM + 1)
-        code = np.zeros(n, np.uint64)
-        for i in range(GRAM):
-            code |= raw[i : i + n] << np.uint64(8 * i)
+        # the eight bytes from each place on, of which GRAM count
+        code = np.ndarray(n, "<u8", raw + bytes(8), strides=(1,)) & np.uint64((1 << 8 * GRAM) - 1)
         whole = line[:n] == line[GRAM - 1 :]
         hashes, grams = mix(code[whole] + np.uint64(0x9E3779B97F4A7C15)), np.maximum(size - GRAM + 1, 0)
         if not len(hashes):
@@ -103,9 +102,11 @@ def fingerprints(lines: list[bytes]) -> np.ndarray:
         parts = -(-grams[full] // BYTE_COUNT)
         part_line, first = np.repeat(full, parts), np.cumsum(parts) - parts
         begin = np.repeat((np.cumsum(grams) - grams)[full], parts) + (np.arange(len(part_line)) - np.repeat(first, parts)) * BYTE_COUNT
-        counts = np.empty((len(part_line), 8, 8), np.int32)
+        counts, lane = np.empty((len(part_line), 8, 8), np.int32), np.empty_like(hashes)
         for k in range(8):
-            lanes = np.add.reduceat((hashes >> np.uint64(k)) & LOWEST, begin)
+            np.right_shift(hashes, np.uint64(k), out=lane)
+            np.bitwise_and(lane, LOWEST, out=lane)
+            lanes = np.add.reduceat(lane, begin)
             counts[:, :, k] = lanes.view(np.uint8).reshape(-1, 8)
         total = np.zeros((len(some), 64), np.int64)
         total[full] = np.add.reduceat(counts.reshape(-1, 64), first, axis=0)
@@ -409,15 +410,29 @@ def _wanted_lines(wanted) -> Callable:
     return lines
 
 
+def common_start(a: str, b: str) -> int:
+    """Characters that two texts have in common at their start, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def without_ends(a: str, b: str) -> tuple[str, str]:
+    """Two texts without what they have in common at their start and at their end, which no edit needs to touch."""
+    low = common_start(a, b)
+    a, b = a[low:], b[low:]
+    high = common_start(a[::-1], b[::-1])
+    return a[: len(a) - high], b[: len(b) - high]
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance of two texts, or most + 1 if it is larger (bit-parallel, after Myers)."""
-    low, n = 0, min(len(a), len(b))
-    while low < n and a[low] == b[low]:
-        low += 1
-    high = 0
-    while high < n - low and a[-1 - high] == b[-1 - high]:
-        high += 1
-    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    a, b = without_ends(a, b)
     if min(len(a), len(b)) == 0 or abs(len(a) - len(b)) > most:
         return min(most + 1, max(len(a), len(b)))
     places: dict[str, int] = {}
@@ -438,10 +453,36 @@ def edits(a: str, b: str, most: int) -> int:
     return min(score, most + 1)
 
 
+def rewritten(a: list[str], b: list[str], most: int) -> int:
+    """Characters that are written anew if words are replaced, left out or put in one by one; the edit distance is never more.
+
+    It may be counted too high, and stops at a number over most.
+    """
+    if len(a) == len(b):
+        cost = sum([max(len(x), len(y)) for x, y in zip(a, b, strict=True) if x != y])
+        if cost <= most:
+            return cost
+    i = j = cost = 0
+    while i < len(a) and j < len(b) and cost <= most:
+        x, y = a[i], b[j]
+        if x != y:
+            if a[i + 1 : i + 3] == b[j : j + 2]:
+                cost, j = cost + len(x) + 1, j - 1
+            elif a[i : i + 2] == b[j + 1 : j + 3]:
+                cost, i = cost + len(y) + 1, i - 1
+            else:
+                cost += max(len(x), len(y))
+        i, j = i + 1, j + 1
+    return cost + sum([len(x) + 1 for x in (*a[i:], *b[j:])])
+
+
 def alike(a: str, b: str, share: float) -> bool:
     """1 - edit distance / longer length is at least ``share``."""
-    longest = max(len(a), len(b))
-    most = int((1 - share) * longest + 1e-9)
+    most = int((1 - share) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    if rewritten(a.split(" "), b.split(" "), most) <= most:
+        return True
     return edits(a, b, most) <= most
 
 

@@ -149,3 +149,18 @@ def test_documents_lose_lines(spark):
     assert {r.n_lines for r in kept.collect()} == {"x"}
     assert lines.dedup_lines(docs.filter("false")).count() == 0
     assert lines.dedup_lines(docs.withColumn("text", F.lit(None).cast("string"))).count() == 9
+
+
+def test_words_written_anew_bound_the_edit_distance():
+    rng = random.Random(5)
+    words = ["a", "bb", "abc", "cab", "x", ""]
+    for _ in range(3000):
+        a = [rng.choice(words) for _ in range(rng.randrange(1, 9))]
+        b = [w for w in a if rng.random() < 0.8] if rng.random() < 0.5 else [rng.choice([w, w, w, "abd"]) for w in a]
+        b = b or ["bb"]
+        one, other = " ".join(a), " ".join(b)
+        distance = lines.edits(one, other, 100)
+        assert lines.rewritten(a, b, 100) >= distance
+        assert lines.edits(other, one, 100) == distance
+        for share in (0.5, 0.8):
+            assert lines.alike(one, other, share) == (distance <= int((1 - share) * max(len(one), len(other)) + 1e-9))

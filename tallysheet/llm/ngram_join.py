@@ -291,16 +291,24 @@ def related_nodes(rows: DataFrame, nodes: DataFrame, words: int, percent: int, p
     return classes.withColumn("short", short_node).join(recur, "short").filter(F.col("recur") >= half - apart).select("node", "n", "rank")
 
 
+def by_shingle(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The columns shingle (unsigned, ascending) and met; they reach the driver as columns, a row of Python numbers takes ten times as much."""
+    table = often.select("shingle", "met").toArrow()
+    shingle, met = (table.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(shingle.astype(np.uint64))
+    return shingle.astype(np.uint64)[order], met.astype(np.int64)[order]
+
+
 def links_between(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
     """Links (a, b) that connect the same sets as all links do."""
     spark = sets.sparkSession
     often = (
         sets.select("shingles").mapInArrow(_met_often, "shingle bigint, met bigint").groupBy("shingle").agg(F.sum("met").alias("met"))
-        .orderBy(F.desc("met"), "shingle").limit(WIDESPREAD).collect()
+        .orderBy(F.desc("met"), "shingle").limit(WIDESPREAD)
     )
-    order = sorted((np.int64(r["shingle"]).astype(np.uint64), r["met"]) for r in often)
-    widespread = spark.sparkContext.broadcast((np.array([x for x, _ in order], np.uint64), np.array([m for _, m in order], np.int64)))
+    widespread = spark.sparkContext.broadcast(by_shingle(often))
     postings = stage(sets.select("node", "n", "shingles").mapInArrow(_prefixes(percent, widespread), "shingle bigint, node bigint, n bigint, rare bigint, reach bigint"))
+    widespread.destroy()
     # the pivot of a list is its set with the fewest shingles of its own: the others are mostly edits of it
     heads = postings.groupBy("shingle").agg(F.min(F.struct("rare", "node", "n", "reach")).alias("head"), F.count("*").alias("many")).filter("many > 1")
     heads = heads.select("shingle", F.col("head.node").alias("b"), F.col("head.n").alias("n_b"), F.col("head.reach").alias("reach_b"))
@@ -359,6 +367,7 @@ def grouped_rows(docs: DataFrame, id_col: str, text_col: str, words: int, percen
     wanted = broadcast_bitmap(related.select("node", "rank").mapInArrow(_row_keys, "keys binary"), bits)
     ranked = rows.select(F.coalesce("id", F.lit(-1).cast("bigint")).alias("rank"), "text")
     sets = stage(ranked.mapInArrow(_related_sets(words, wanted), "node bigint, n bigint, shingles binary"))
+    wanted.destroy()
     group = components(links_between(sets, percent, partitions))
     labels = nodes.filter("node is not null").select("node").distinct().join(group, "node", "left")
     return nodes.drop("rank").join(labels.select("node", F.coalesce("label", "node").alias("label")), "node", "left")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tallysheet.llm.bitmaps import broadcast_bitmap, holds
 from tallysheet.llm.components import components
 from tallysheet.llm.substrings import grouped
-from tallysheet.llm.words import WordHashes, as_bytes, mix, run_hashes, steps, texts_of
+from tallysheet.llm.words import WordHashes, as_bytes, mix, run_hashes, spread, steps, texts_of
 from tallysheet.session import stage
 
 WORDS = 5
@@ -219,29 +219,38 @@ def _met_often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(percent: int, widespread) -> Callable:
+    """A row per set: how many of its shingles are its own, and its prefix in the order of the lists."""
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = widespread.value
         for batch in batches:
-            nodes, sizes, own_only, reach, shingles = [], [], [], [], []
-            for node, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own_only, prefix = [], []
+            for n, raw in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
                 own = np.frombuffer(raw, np.uint64)
                 at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
                 weight = np.where(known[at] == own, met[at], 0) if len(known) else np.zeros(n, np.int64)
-                first = own[np.lexsort((own, weight))][: allowed_apart(n, percent) + 1]
-                shingles.append(first)
-                nodes.append(np.full(len(first), node))
-                sizes.append(np.full(len(first), n))
-                reach.append(n - np.arange(len(first)))
-                own_only.append(np.full(len(first), int((weight == 0).sum())))
-            if nodes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x).astype(np.int64)) for x in (shingles, nodes, sizes, own_only, reach)],
-                    ["shingle", "node", "n", "rare", "reach"],
-                )
+                prefix.append(own[np.lexsort((own, weight))][: allowed_apart(n, percent) + 1].tobytes())
+                own_only.append(int((weight == 0).sum()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(own_only, pa.int64()), pa.array(prefix, pa.binary())], ["node", "n", "rare", "prefix"]
+            )
 
     return prefixes
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shingle of the column prefix, with the other columns and its reach: how many shingles its set has from there on."""
+    for batch in batches:
+        raw = batch.column(batch.schema.get_field_index("prefix")).to_pylist()
+        many = np.array([len(x) // 8 for x in raw], dtype=np.int64)
+        shingle = np.frombuffer(b"".join(raw), np.uint64).astype(np.int64)
+        row, starts = spread(many)
+        place = np.arange(len(row)) - starts[row]
+        others = [name for name in batch.schema.names if name != "prefix"]
+        columns = {name: batch.column(batch.schema.get_field_index(name)).to_numpy()[row] for name in others}
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle, *columns.values(), columns["n"] - place)], ["shingle", *others, "reach"])
+
+
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a pivot and slot: the pivot's set, then the sets to compare."""
     pivot, place, out = None, None, []
@@ -307,8 +316,9 @@ def links_between(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
         .orderBy(F.desc("met"), "shingle").limit(WIDESPREAD)
     )
     widespread = spark.sparkContext.broadcast(by_shingle(often))
-    postings = stage(sets.select("node", "n", "shingles").mapInArrow(_prefixes(percent, widespread), "shingle bigint, node bigint, n bigint, rare bigint, reach bigint"))
+    prefixes = stage(sets.select("node", "n", "shingles").mapInArrow(_prefixes(percent, widespread), "node bigint, n bigint, rare bigint, prefix binary"))
     widespread.destroy()
+    postings = prefixes.mapInArrow(_entries, "shingle bigint, node bigint, n bigint, rare bigint, reach bigint")
     # the pivot of a list is its set with the fewest shingles of its own: the others are mostly edits of it
     heads = postings.groupBy("shingle").agg(F.min(F.struct("rare", "node", "n", "reach")).alias("head"), F.count("*").alias("many")).filter("many > 1")
     heads = heads.select("shingle", F.col("head.node").alias("b"), F.col("head.n").alias("n_b"), F.col("head.reach").alias("reach_b"))
@@ -326,8 +336,10 @@ def links_between(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
         .join(group, "node", "left")
         .select("node", "n", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("apart", F.lit(0)).alias("apart"), F.coalesce("label", "node").alias("label"))
     )
-    lists = (
-        postings.join(heads.select("shingle"), "shingle").join(members.select("node", "pivot", "label"), "node")
+    # the set's prefix meets its pivot in one row; lists are read three times, so they are made once
+    leaning = prefixes.select("node", "n", "prefix").join(members.select("node", "pivot", "label"), "node").select("pivot", "label", "n", "prefix")
+    lists = stage(
+        leaning.mapInArrow(_entries, "shingle bigint, pivot bigint, label bigint, n bigint, reach bigint")
         .groupBy("shingle", "pivot", "label").agg(F.max("reach").alias("reach"), F.min("n").alias("n"))
     )
     open_lists = lists.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")

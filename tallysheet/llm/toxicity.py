@@ -30,8 +30,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
-from operator import add
+from itertools import compress, repeat
+from operator import eq, not_
 
 import numpy as np
 import pyarrow as pa
@@ -56,13 +56,19 @@ STANDS_FOR = {
 }
 #: Runs of letters, digits and signs that may stand for letters.
 PIECE = re.compile(r"(?:[^\W_]|[@$!|+*])+")
+#: The same where no underline is: one class of characters is read faster.
+RUN = re.compile(r"[\w@$!|+*]+")
 #: A digit or sign beside a letter, or a letter three times.
 SUSPECT = re.compile(r"[^\W\d_][\d@$!|+*]|[\d@$!|+*][^\W\d_]|([^\W\d_])\1\1")
 LETTER = re.compile(r"[^\W\d_]")
+#: A letter three times, in a token of letters alone.
+THREE_ALIKE = re.compile(r"(.)\1\1")
 #: What has to stand in a text that holds a suspect piece other than by repetition.
 SUBSTITUTE = re.compile(r"[\d@$!|+*]")
 #: Signs that end a word in plain writing.
 ENDS = "!|+*"
+#: Letters that must follow each other in a word of the lexicon if they do in a piece read as one.
+GRAM = 4
 #: Single characters in a row that are read as a word spelled out.
 SPELLED = 3
 THREE_SINGLE = b"\x01" * SPELLED
@@ -121,9 +127,26 @@ Paths = dict[int, tuple[float, str]]
 
 def _extended(paths: Paths, part: str, flat: list[float]) -> Paths:
     """The best path to each state after some more characters."""
-    before = ""
-    for c in part:
-        choices, before = CHOICES[c, c == before], c
+    before, read = "", 0
+    while read < len(part):
+        if len(paths) == 1:
+            # one path stays one while characters stand for themselves
+            ((state, (value, text)),) = paths.items()
+            for c in part[read:]:
+                choices = CHOICES[c, c == before]
+                if len(choices) > 1:
+                    break
+                (number, cost, x), before, read = choices[0], c, read + 1
+                if number < 0:
+                    value -= cost
+                else:
+                    value, state = value - cost + flat[state * LETTERS + number], state % LETTERS * LETTERS + number
+                text += x
+            paths = {state: (value, text)}
+            if read == len(part):
+                return paths
+        c = part[read]
+        choices, before, read = CHOICES[c, c == before], c, read + 1
         after: dict[int, tuple[float, str]] = {}
         for state, (value, text) in paths.items():
             for number, cost, x in choices:
@@ -145,7 +168,8 @@ def decoded(token: str, flat: list[float], runs: dict[tuple[int, str], Paths]) -
     paths through runs of signs from the states met so far; the same few stand beside many words.
     """
     paths: Paths = {0: (0.0, "")}
-    for i, part in enumerate(SIGNS.split(token)):
+    parts = SIGNS.split(token)
+    for i, part in enumerate(parts):
         if i % 2 == 0:
             paths = _extended(paths, part, flat)
             continue
@@ -156,6 +180,12 @@ def decoded(token: str, flat: list[float], runs: dict[tuple[int, str], Paths]) -
                 if len(runs) > KEPT_RUNS:
                     runs.clear()
                 through = runs[state, part] = _extended({state: (0.0, "")}, part, flat)
+            if len(paths) == 1:
+                if i == len(parts) - 2 and not parts[-1]:
+                    # the token ends here: all its readings begin alike
+                    return text + max([(value + more + flat[to * LETTERS], x) for to, (more, x) in through.items()])[1]
+                after = {to: (value + more, text + x) for to, (more, x) in through.items()}
+                continue
             for to, (more, x) in through.items():
                 known = after.get(to)
                 if known is None or value + more > known[0]:
@@ -169,6 +199,27 @@ def restore(token: str, model: np.ndarray) -> str:
     return decoded(token, model.ravel().tolist(), {})
 
 
+def pieces_of(low: str) -> list[str]:
+    """The matches of PIECE."""
+    return RUN.findall(low.replace("_", " "))
+
+
+def plain(piece: str) -> bool:
+    """Whether all characters are letters other than the one before, so a piece has one reading: itself."""
+    return piece.isalpha() and not any(map(eq, piece, piece[1:]))
+
+
+class Counted(dict):
+    """How many words and beginnings a token has; a new token is counted by ``count``."""
+
+    def __init__(self, count: Callable[[str], int]):
+        self.count = count
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = self.count(token)
+        return n
+
+
 def evidence(word: str) -> list[str]:
     """The word as a whole and its beginnings."""
     return ["=" + word, *[word[:k] for k in BEGINNINGS[: max(0, len(word) - BEGINNINGS[0])]]]
@@ -182,37 +233,46 @@ class Reader:
         self.whole = {name[1:] for name in lexicon if name[0] == "="}
         self.starts = {w[:k] for w in self.whole for k in range(len(w) + 1)}
         self.stops = {w[k:] for w in self.whole for k in range(len(w) + 1)}
+        self.grams = {w[k : k + GRAM] for w in self.whole for k in range(len(w) - GRAM + 1)}
+        #: The longest word with up to GRAM first and last letters.
+        self.longest: dict[tuple[str, str], int] = {}
+        for w in self.whole:
+            for a in {w[:k] for k in range(GRAM + 1)}:
+                for b in {w[max(0, len(w) - k) :] for k in range(GRAM + 1)}:
+                    self.longest[a, b] = max(len(w), self.longest.get((a, b), 0))
         self.first = {name[: BEGINNINGS[0]] for name in lexicon if name[0] != "="}
-        self.known: dict[str, tuple[int, frozenset[str] | set[str]]] = {}
+        self.known = Counted(self.token)
+        #: Evidence of the known tokens that have some.
+        self.found: dict[str, frozenset[str] | set[str]] = {}
+        self.telling: set[str] = set()
         self.pieces: dict[str, set[str]] = {}
         self.runs: dict[tuple[int, str], Paths] = {}
 
-    def token(self, token: str) -> tuple[int, frozenset[str] | set[str]]:
-        """How many words and beginnings a token has, and those in the lexicon; also as restored."""
-        found = self.known.get(token)
-        if found is None:
-            if len(self.known) > 400_000:
-                self.known.clear()
-            words = {token} if token.isalpha() else set(WORD.findall(token))
-            if SUSPECT.search(token):
-                words.update(w for piece in PIECE.findall(token) for w in self.restored(piece))
-            if len(words) == 1:
-                (word,) = words
-                n = 1 + len(BEGINNINGS[: max(0, len(word) - BEGINNINGS[0])])
-                # without its first beginning a word has none of the others
-                found = (n, self.names.intersection(evidence(word))) if word[: BEGINNINGS[0]] in self.first or "=" + word in self.names else (n, NOTHING)
-            else:
-                parts = {p for w in words for p in evidence(w)}
-                found = (len(parts), parts & self.names)
-            self.known[token] = found
-        return found
+    def token(self, token: str) -> int:
+        """How many words and beginnings a token has; those in the lexicon are kept; also as restored."""
+        alone = token.isalpha()
+        words = {token} if alone else set(WORD.findall(token))
+        if THREE_ALIKE.search(token) if alone else SUSPECT.search(token):
+            words.update(w for piece in pieces_of(token) for w in self.restored(piece))
+        if len(words) == 1:
+            (word,) = words
+            n = 1 + min(max(0, len(word) - BEGINNINGS[0]), len(BEGINNINGS))
+            # without its first beginning a word has none of the others
+            found = self.names.intersection(evidence(word)) if word[: BEGINNINGS[0]] in self.first or word in self.whole else NOTHING
+        else:
+            parts = {p for w in words for p in evidence(w)}
+            n, found = len(parts), parts & self.names
+        if found:
+            self.found[token] = found
+            self.telling.add(token)
+        return n
 
     def readings(self, piece: str) -> set[str]:
         """A suspect piece as restored, with and without the signs at its end and its stars."""
         if not SUSPECT.search(piece):
             return set()
         ways = {piece, piece.rstrip(ENDS), piece.replace("*", "")}
-        return {decoded(x, self.model, self.runs) for x in ways if LETTER.search(x)}
+        return {x if plain(x) else decoded(x, self.model, self.runs) for x in ways if LETTER.search(x)}
 
     def spelled(self, pieces: list[str], marked: bool) -> set[str]:
         """Words spelled out as single characters; marked: there may be a `!` behind one."""
@@ -231,34 +291,46 @@ class Reader:
     def joined(self, pieces: list[str], substitutes: bool) -> set[str]:
         """Words of the lexicon that are split in two or three pieces."""
         words, starts, stops, whole, last = set(), self.starts, self.stops, self.whole, len(pieces) - 1
-        for i, piece in enumerate(pieces):
-            # a word's first piece is one of its beginnings, its last one of its ends
-            if piece in starts and i < last:
+        # a word's first piece is one of its beginnings, its last one of its ends
+        for i in compress(range(last), map(starts.__contains__, pieces)):
+            piece = pieces[i]
+            if pieces[i + 1] in stops or (i + 1 < last and pieces[i + 2] in stops):
                 if pieces[i + 1] in stops and piece + pieces[i + 1] in whole:
                     words.add(piece + pieces[i + 1])
                 if i + 1 < last and pieces[i + 2] in stops and piece + pieces[i + 1] + pieces[i + 2] in whole:
                     words.add(piece + pieces[i + 1] + pieces[i + 2])
         if not substitutes:
             return words
-        suspect = [i for i, piece in enumerate(pieces) if not piece.isalpha() and SUSPECT.search(piece)]
-        if not suspect:
-            return words
-        two = list(map(add, pieces, pieces[1:]))
-        three = list(map(add, two, pieces[2:]))
-        for n, runs in ((2, two), (3, three)):
+        signed = compress(range(len(pieces)), map(not_, map(str.isalpha, pieces)))
+        suspect = [i for i in signed if SUSPECT.search(pieces[i])]
+        for n in (2, 3):
             for i in {i - k for i in suspect for k in range(n)}:
-                if 0 <= i < len(runs) and self.may_be_whole(runs[i]):
-                    words.update(self.whole.intersection(self.restored(runs[i])))
+                # letters that no reading drops are the beginning of a word, or it is none of the lexicon
+                if 0 <= i <= len(pieces) - n and (pieces[i] in starts or not plain(pieces[i])):
+                    run = "".join(pieces[i : i + n])
+                    if self.may_be_whole(run):
+                        words.update(self.whole.intersection(self.restored(run)))
         return words
 
     def may_be_whole(self, piece: str) -> bool:
-        """Whether a word of the lexicon has the first and last letters of a piece, which no reading drops."""
+        """Whether words of the lexicon have the first, the last and the successive letters of a piece that no reading drops."""
         low, high = 0, len(piece)
         while low < high and piece[low].isalpha() and (not low or piece[low] != piece[low - 1]):
             low += 1
+            # a beginning has all its own beginnings
+            if piece[:low] not in self.starts:
+                return False
         while high and piece[high - 1].isalpha() and (high == 1 or piece[high - 1] != piece[high - 2]):
             high -= 1
-        return piece[:low] in self.starts and piece[high:] in self.stops
+        if piece[:low] not in self.starts or piece[high:] not in self.stops:
+            return False
+        longest = self.longest.get((piece[:low][:GRAM], piece[high:][-GRAM:]), 0)
+        if len(piece) > longest:
+            # one reading is without stars, so letters beside them may repeat each other
+            left = piece.replace("*", "")
+            if sum([c.isalpha() and c != before for before, c in zip(" " + left, left, strict=False)]) > longest:
+                return False
+        return all(run[k : k + GRAM] in self.grams for run in WORD.findall(piece) if plain(run) for k in range(len(run) - GRAM + 1))
 
     def restored(self, piece: str) -> set[str]:
         found = self.pieces.get(piece)
@@ -270,14 +342,15 @@ class Reader:
 
     def features(self, text: str | None) -> list[float]:
         low = (text or "").lower()
-        tokens, pieces = set(low.split()), PIECE.findall(low)
+        tokens, pieces = set(low.split()), pieces_of(low)
         tokens |= self.spelled(pieces, "!" in low) | self.joined(pieces, SUBSTITUTE.search(low) is not None)
-        seen, total, known = set(), 0, self.known
-        for token in tokens:
-            n, found = known.get(token) or self.token(token)
-            total += n
-            if found:
-                seen.update(found)
+        if len(self.known) > 400_000:
+            # between texts only: a text needs all its tokens
+            self.known.clear()
+            self.found.clear()
+            self.telling.clear()
+        total = sum(map(self.known.__getitem__, tokens))
+        seen = set().union(*map(self.found.__getitem__, tokens & self.telling))
         strong = sorted((self.lexicon[p] for p in seen), reverse=True)
         return [1.0, strong[0] if strong else 0.0, strong[1] if len(strong) > 1 else 0.0, sum(strong) / 10, sum(strong) / math.sqrt(total + 5)]
 
